@@ -59,9 +59,18 @@ def hash_bucket(value: Column, buckets: int) -> Column:
 
 
 def fingerprint(fields: dict[str, Column]) -> Column:
-    """A short digest of named values; the names are taken in sorted order."""
-    ordered = F.to_json(F.struct(*[fields[name].alias(name) for name in sorted(fields)]))
-    return F.substring(F.sha1(ordered), 1, FINGERPRINT_CHARS)
+    """A short digest of named plain values, written as JSON with sorted names.
+
+    The text has a space after every colon and comma, so digests agree with records made elsewhere
+    in that common layout.
+    """
+
+    def entry(name: str) -> Column:
+        value = F.to_json(F.struct(fields[name].alias("v")), {"ignoreNullFields": "false"})
+        return F.concat(F.lit(f'"{name}": '), F.regexp_extract(value, r'(?s)^\{"v":(.*)\}$', 1))
+
+    record = F.concat(F.lit("{"), F.concat_ws(", ", *[entry(n) for n in sorted(fields)]), F.lit("}"))
+    return F.substring(F.sha1(record), 1, FINGERPRINT_CHARS)
 
 
 def parse_run_name(file_name: Column, sizes: dict[str, int] = RUN_SIZES) -> Column:

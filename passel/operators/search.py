@@ -65,7 +65,8 @@ def encode_queries(queries: DataFrame, encoder: Callable[[Column], Column], text
     return queries.withColumn("embedding", encoder(F.col(text)))
 
 
-def _prefiltered(corpus: DataFrame, options: SearchOptions) -> DataFrame:
+def prefiltered(corpus: DataFrame, options: SearchOptions) -> DataFrame:
+    """The corpus of the wanted source when the filter comes before the scoring."""
     if options.source is None or options.filter_stage != "pre":
         return corpus
     return corpus.where(source_matches(F.col("source"), options.source))
@@ -76,13 +77,13 @@ def exact(queries: DataFrame, corpus: DataFrame, options: SearchOptions) -> Data
     late = options.source is not None and options.filter_stage != "pre"
     fetch = options.k * options.overfetch if late else options.k
     scoring = Scoring(fetch, options.metric, options.dedup)
-    found = topk(queries, _prefiltered(corpus, options), scoring, options.carried(), **options.limits())
+    found = topk(queries, prefiltered(corpus, options), scoring, options.carried(), **options.limits())
     return filter_after(found, options.source, options.k) if late else found
 
 
 def _shard_candidates(queries: DataFrame, corpus: DataFrame, options: SearchOptions) -> DataFrame:
     scoring = Scoring(options.k * options.alpha, options.metric, distinct_uids=False, per_bucket=True)
-    found = topk(queries, _prefiltered(corpus, options), scoring, options.carried(), options.shard, **options.limits())
+    found = topk(queries, prefiltered(corpus, options), scoring, options.carried(), options.shard, **options.limits())
     return found.withColumnRenamed("rank", "shard_rank")
 
 
