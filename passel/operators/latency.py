@@ -102,12 +102,18 @@ def throughput(n: Column, total_ms: Column) -> Column:
 
 
 def latency_summary(
-    df: DataFrame, keys: Sequence[str], value: str, metric: Column | None = None, method: str = "linear"
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    metric: Column | None = None,
+    method: str = "linear",
+    decimals: int = SUMMARY_DECIMALS,
+    total_decimals: int = TOTAL_DECIMALS,
 ) -> DataFrame:
     """Count, mean, percentiles, total and throughput per group, rounded half to even."""
     if not keys:
         whole = df.select(F.lit(0).alias("_all"), F.col(value).alias("_value"))
-        return latency_summary(whole, ["_all"], "_value", metric, method).drop("_all")
+        return latency_summary(whole, ["_all"], "_value", metric, method, decimals, total_decimals).drop("_all")
     totals = df.groupBy(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(keys)]).agg(
         F.count(value).alias("n_queries"),
         F.coalesce(F.avg(value), F.lit(0.0)).alias("_avg"),
@@ -121,10 +127,10 @@ def latency_summary(
     return joined.select(
         *[F.col(f"_t{i}").alias(c) for i, c in enumerate(keys)],
         "n_queries",
-        F.bround("_avg", SUMMARY_DECIMALS).alias("avg_ms"),
-        *[F.bround(p, SUMMARY_DECIMALS).alias(p) for p in PERCENTILES],
-        F.bround(throughput(F.col("n_queries"), F.col("_total")), SUMMARY_DECIMALS).alias("qps"),
-        F.bround("_total", TOTAL_DECIMALS).alias("total_elapsed_ms"),
+        F.bround("_avg", decimals).alias("avg_ms"),
+        *[F.bround(p, decimals).alias(p) for p in PERCENTILES],
+        F.bround(throughput(F.col("n_queries"), F.col("_total")), decimals).alias("qps"),
+        F.bround("_total", total_decimals).alias("total_elapsed_ms"),
         *tag,
     )
 

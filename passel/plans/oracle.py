@@ -497,9 +497,9 @@ FROM placed GROUP BY event_type
 
 def summary(source: str, keys: str, value: str = "value") -> str:
     return f"""
-  SELECT {keys}, count({value}) AS n_queries, round_even(avg({value}), 2) AS avg_ms,
-         round_even(quantile_cont({value}, 0.5), 2) AS p50_ms, round_even(quantile_cont({value}, 0.9), 2) AS p90_ms,
-         round_even(count({value}) / (sum({value}) / 1000.0), 2) AS qps, round_even(sum({value}), 1) AS total_elapsed_ms
+  SELECT {keys}, count({value}) AS n_queries, round(avg({value}), 6) AS avg_ms,
+         round(quantile_cont({value}, 0.5), 6) AS p50_ms, round(quantile_cont({value}, 0.9), 6) AS p90_ms,
+         round(count({value}) / (sum({value}) / 1000.0), 6) AS qps, round(sum({value}), 6) AS total_elapsed_ms
   FROM {source} GROUP BY {keys}"""
 
 

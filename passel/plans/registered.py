@@ -128,8 +128,12 @@ def parsed_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def latency_figures(log: DataFrame, keys: list[str], metric: Column | None = None) -> DataFrame:
+    return latency.latency_summary(log, keys, "value", metric, decimals=DIGITS, total_decimals=DIGITS)
+
+
 def run_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    return latency.latency_summary(parsed_runs(spark, folder), ["domain", "backend", "size"], "value")
+    return latency_figures(parsed_runs(spark, folder), ["domain", "backend", "size"])
 
 
 # ---------------------------------------------------------------- sources
@@ -403,12 +407,25 @@ def normalize_vectors(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- search
 
 
-def vector_search(spark: SparkSession, folder: str, **options) -> DataFrame:
-    return search(label_queries(spark, folder), vector_corpus(spark, folder), K, **options)
+def vector_search(spark: SparkSession, folder: str, asked: DataFrame | None = None, **options) -> DataFrame:
+    asked = label_queries(spark, folder) if asked is None else asked
+    return search(asked, vector_corpus(spark, folder), K, **options)
+
+
+def shard_search(spark: SparkSession, folder: str, asked: DataFrame | None = None, **options) -> DataFrame:
+    asked = label_queries(spark, folder) if asked is None else asked
+    return search(asked, sharded_corpus(spark, folder), K, **options)
+
+
+def stored_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """The label queries, stored for jobs that read them more than once."""
+    return materialise(label_queries(spark, folder))
 
 
-def shard_search(spark: SparkSession, folder: str, **options) -> DataFrame:
-    return search(label_queries(spark, folder), sharded_corpus(spark, folder), K, **options)
+def cell_search(spark: SparkSession, folder: str, asked: DataFrame, nprobe: int, **options) -> DataFrame:
+    """The approximate search with cells around the label means."""
+    centres = ann.collect_centroids(asked, "qid")
+    return vector_search(spark, folder, asked, strategy="ivf", centroids=centres, nprobe=nprobe, **options)
 
 
 @registered
@@ -473,8 +490,7 @@ def dedup_best_hit(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def topk_ivf(spark: SparkSession, folder: str) -> DataFrame:
     """Cells around the label means, three of them probed."""
-    centres = ann.collect_centroids(label_queries(spark, folder), "qid")
-    return rounded_hits(vector_search(spark, folder, strategy="ivf", centroids=centres, nprobe=3))
+    return rounded_hits(cell_search(spark, folder, stored_queries(spark, folder), 3))
 
 
 @registered
@@ -505,9 +521,8 @@ def search_text(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def attach_metadata(spark: SparkSession, folder: str) -> DataFrame:
-    searchable = vector_corpus(spark, folder)
-    found = search(label_queries(spark, folder), searchable, K)
-    return rounded_hits(hits.attach_metadata(found, searchable, ["id", "source", "label"]), "id", "source", "label")
+    found = hits.attach_metadata(vector_search(spark, folder), vector_corpus(spark, folder), ["id", "source", "label"])
+    return rounded_hits(found, "id", "source", "label")
 
 
 def text_hits(spark: SparkSession, folder: str) -> DataFrame:
@@ -536,22 +551,22 @@ def first_hit_per_query(spark: SparkSession, folder: str) -> DataFrame:
 # ---------------------------------------------------------------- evaluation
 
 
-def ivf_hits(spark: SparkSession, folder: str, nprobe: int, **options) -> DataFrame:
-    centres = ann.collect_centroids(label_queries(spark, folder), "qid")
-    return vector_search(spark, folder, strategy="ivf", centroids=centres, nprobe=nprobe, **options)
+def exact_gold(spark: SparkSession, folder: str, asked: DataFrame) -> DataFrame:
+    return vector_search(spark, folder, asked).select("qid", "uid")
 
 
 @registered
 def recall_mrr(spark: SparkSession, folder: str) -> DataFrame:
     """The two-cell search measured against the exact one."""
-    gold = vector_search(spark, folder).select("qid", "uid")
-    return evaluate.recall_mrr(ivf_hits(spark, folder, 2), gold, label_queries(spark, folder))
+    asked = stored_queries(spark, folder)
+    return evaluate.recall_mrr(cell_search(spark, folder, asked, 2), exact_gold(spark, folder, asked), asked)
 
 
 @registered
 def recall_per_query(spark: SparkSession, folder: str) -> DataFrame:
-    gold = vector_search(spark, folder).select("qid", "uid")
-    per_query = evaluate.recall_per_query(ivf_hits(spark, folder, 1), gold, label_queries(spark, folder))
+    asked = stored_queries(spark, folder)
+    found = cell_search(spark, folder, asked, 1)
+    per_query = evaluate.recall_per_query(found, exact_gold(spark, folder, asked), asked)
     return per_query.select(
         "qid", "n_gold", "n_found", *[F.round(c, DIGITS).alias(c) for c in ("recall", "reciprocal_rank")]
     )
@@ -559,15 +574,17 @@ def recall_per_query(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def topk_agreement(spark: SparkSession, folder: str) -> DataFrame:
-    report = evaluate.agreement(vector_search(spark, folder), ivf_hits(spark, folder, 1), K)
+    asked = stored_queries(spark, folder)
+    report = evaluate.agreement(vector_search(spark, folder, asked), cell_search(spark, folder, asked, 1), K)
     return report.withColumns({c: F.array_join(c, ",") for c in ("only_a", "only_b")})
 
 
 @registered
 def agreement_ratio(spark: SparkSession, folder: str) -> DataFrame:
     """Shard fan-out against the local search: every query agrees."""
-    report = evaluate.agreement(shard_search(spark, folder, strategy="fanout"), vector_search(spark, folder), K)
-    return evaluate.agreement_ratio(report)
+    asked = stored_queries(spark, folder)
+    merged = shard_search(spark, folder, asked, strategy="fanout")
+    return evaluate.agreement_ratio(evaluate.agreement(merged, vector_search(spark, folder, asked), K))
 
 
 @registered
@@ -603,7 +620,7 @@ def latency_percentiles_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def latency_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return latency.latency_summary(table(spark, folder, "events"), ["event_type"], "value", F.lit("ip"))
+    return latency_figures(table(spark, folder, "events"), ["event_type"], F.lit("ip"))
 
 
 @registered
@@ -628,11 +645,11 @@ def system_comparison(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def run_record(spark: SparkSession, folder: str) -> DataFrame:
     """One run's record from the timing log and the two-cell search."""
-    gold = vector_search(spark, folder).select("qid", "uid")
-    found = ivf_hits(spark, folder, 2, carry=["source"])
+    asked = stored_queries(spark, folder)
+    found = materialise(cell_search(spark, folder, asked, 2, carry=["source"]))
     record = run_summary(
-        table(spark, folder, "events"), found, gold, label_queries(spark, folder), backend="ivf", index_key="vectors",
-        metric="ip", iters=1, top_k=K, value="value",
+        table(spark, folder, "events"), found, exact_gold(spark, folder, asked), asked, backend="ivf",
+        index_key="vectors", metric="ip", iters=1, top_k=K, value="value", decimals=DIGITS, total_decimals=DIGITS,
     )
     mix = F.transform(F.map_entries("source_mix"), lambda e: F.concat_ws("=", e["key"], F.format_number(e["value"], 4)))
     return record.select(

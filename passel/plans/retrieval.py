@@ -34,13 +34,14 @@ def answer_context(queries: DataFrame, corpus: DataFrame, chunks: DataFrame, k:
 
 def run_summary(
     timings: DataFrame, hits: DataFrame, gold: DataFrame, queries: DataFrame, *, backend: str, index_key: str,
-    metric: str, iters: int, top_k: int, value: str = "ms",
+    metric: str, iters: int, top_k: int, value: str = "ms", **rounding: int,
 ) -> DataFrame:
     """One record of a run: latency figures, source mix and quality.
 
-    The three parts are one row each; they are stacked and folded into one.
+    The three parts are one row each; they are stacked and folded into one. ``hits`` is read twice
+    and should be a stored hit log.
     """
-    figures = latency_summary(timings, [], value, F.lit(metric))
+    figures = latency_summary(timings, [], value, F.lit(metric), **rounding)
     mix = source_mix_map(source_mix(hits))
     quality = recall_mrr(hits, gold, queries).select(F.struct("recall_at_k", "mrr").alias("quality"))
     stacked = figures.unionByName(mix, allowMissingColumns=True).unionByName(quality, allowMissingColumns=True)
