@@ -38,6 +38,7 @@ MAX_CENTROID_BYTES = 64 << 20
 DEFAULT_CELLS = 16
 DEFAULT_NPROBE = 4
 DEFAULT_TABLES = 8
+TRAINING_ROWS = 1_000_000
 # One table's hash values stay within this distance of each other in the bucket numbers.
 _TABLE_STRIDE = 1 << 40
 
@@ -53,13 +54,26 @@ def mean_vectors(df: DataFrame, key: str, embedding: str = "embedding") -> DataF
 
 
 def train_cells(
-    corpus: DataFrame, n_cells: int = DEFAULT_CELLS, seed: int = 42, max_iter: int = 20, embedding: str = "embedding"
+    corpus: DataFrame,
+    n_cells: int = DEFAULT_CELLS,
+    seed: int = 42,
+    max_iter: int = 20,
+    training_rows: int = TRAINING_ROWS,
+    embedding: str = "embedding",
 ) -> np.ndarray:
-    """Cell centres by spherical k-means over the whole corpus; MLlib keeps the work distributed."""
+    """Cell centres by spherical k-means; MLlib keeps the work distributed.
+
+    The centres of a corpus beyond ``training_rows`` are learned from a random part of about that
+    size. Every vector is assigned to a cell all the same, so only the shape of the cells depends
+    on it.
+    """
     _check_cells(n_cells, 1)
     points = corpus.where(F.col(embedding).isNotNull()).select(
         array_to_vector(F.col(embedding).cast("array<double>")).alias("features")
     )
+    rows = points.count()
+    if rows > training_rows:
+        points = points.sample(training_rows / rows, seed)
     model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, distanceMeasure="cosine").fit(points)
     return np.array(model.clusterCenters())
 
@@ -202,13 +216,15 @@ def lsh(queries: DataFrame, corpus: DataFrame, options: SearchOptions) -> DataFr
     if block is None:
         local = block_join_topk(asked, filed, scoring, carry, "bucket")
     else:
+        # As many rows as queries times tables, and the queries are within their bound.
         rows = asked.select("qid", "bucket").toArrow()
         position = {int(q): i for i, q in enumerate(block.qids)}
         found: dict[int, list[int]] = {}
         for qid, bucket in zip(rows["qid"].to_pylist(), rows["bucket"].to_pylist()):
             found.setdefault(bucket, []).append(position[qid])
         probed = QueryBlock(block.qids, block.vectors, {b: np.unique(p) for b, p in found.items()})
-        near = filed.join(asked.select("bucket").distinct(), "bucket", "left_semi")
+        probed_buckets = corpus.sparkSession.createDataFrame([(b,) for b in found], "bucket long")
+        near = filed.join(F.broadcast(probed_buckets), "bucket", "left_semi")
         local = broadcast_topk(probed, near, scoring, carry, "bucket")
     return merge_local(local, scoring, carry)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from passel.functions.ids import build_uid
 from passel.functions.text import normalize_label, pick_text, resolve_source
 from passel.operators.topk import rank_hits
+from passel.session import broadcast_if_small
 
 NO_SCORE = -1e30
 
@@ -51,11 +52,16 @@ def first_hit_per_query(hits: DataFrame) -> DataFrame:
 def attach_metadata(hits: DataFrame, meta: DataFrame, columns: Sequence[str], keep_unmatched: bool = False) -> DataFrame:
     """Look up metadata columns by uid, after the top-k.
 
-    The hits are the small side, so Spark can broadcast them and stream the metadata past. Copies
-    of a passage collapse in the map-side half of the aggregation; each hit gives one row.
+    The hits are the small side: stored, counted and, within the bound, broadcast, so that the
+    metadata streams past them unshuffled. Copies of a passage collapse in the map-side half of the
+    aggregation; each hit gives one row. Hits without metadata are kept on request, at the price
+    of a shuffle of the metadata.
     """
     wanted = meta.select("uid", *[F.col(c).alias(f"_meta_{c}") for c in columns])
-    joined = hits.join(wanted, "uid", "left" if keep_unmatched else "inner")
+    if keep_unmatched:
+        joined = hits.join(wanted, "uid", "left")
+    else:
+        joined = wanted.join(broadcast_if_small(hits), "uid")
     found = joined.groupBy(*hits.columns).agg(F.min(F.struct(*[f"_meta_{c}" for c in columns])).alias("_meta"))
     return found.select(*hits.columns, *[F.col(f"_meta._meta_{c}").alias(c) for c in columns])
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passel.functions.vectors import score_type
+from passel.session import broadcast_if_small
 
 # The percentiles reported and the decimals of the report.
 PERCENTILES = {"p50_ms": 50.0, "p90_ms": 90.0}
@@ -41,59 +42,73 @@ def exact_percentiles(
     running count. Groups of up to ``accuracy`` rows are not bracketed. Should a rank ever fall
     outside its bracket, the job fails rather than return an approximate value.
     """
+    return _figures(df, keys, value, percentiles, method, accuracy).drop("_n", "_total")
+
+
+def _figures(
+    df: DataFrame, keys: Sequence[str], value: str, percentiles: Mapping[str, float], method: str, accuracy: int
+) -> DataFrame:
+    """Keys, number of values ``_n``, their sum ``_total`` and the percentiles."""
     if method not in ("linear", "nearest"):
         raise ValueError("method must be linear or nearest")
     if not keys:
         whole = df.select(F.lit(0).alias("_all"), F.col(value).alias("_value"))
-        return exact_percentiles(whole, ["_all"], "_value", percentiles, method, accuracy).drop("_all")
-    names, fractions = list(percentiles), [p / 100.0 for p in percentiles.values()]
-    k = len(keys)
-    group = [f"_k{i}" for i in range(k)]
+        return _figures(whole, ["_all"], "_value", percentiles, method, accuracy).drop("_all")
+    fractions = {name: p / 100.0 for name, p in percentiles.items()}
+    group = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(c).alias(g) for c, g in zip(keys, group)], F.col(value).cast("double").alias("_v"))
-    margin = 6.0 / accuracy
-    ends = [e for f in fractions for e in (max(0.0, f - margin), min(1.0, f + margin))]
-    sketch = rows.groupBy(*[F.col(g).alias(f"_s{i}") for i, g in enumerate(group)]).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), accuracy).alias("_ends"),
-    )
-    keyed = rows.join(sketch, _same_keys(k, "_k", "_s"))
-    v, small = F.col("_v"), F.col("_n") <= accuracy
-    # Entry -1 stands for the group itself, so that one without values stays in the result.
-    entries = [F.struct(F.lit(-1).alias("i"), F.lit(None).cast("double").alias("v"))]
-    for i in range(len(names)):
-        low, high = F.get("_ends", F.lit(2 * i)), F.get("_ends", F.lit(2 * i + 1))
-        counted = F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("v"))
-        listed = F.struct(F.lit(i).alias("i"), v.alias("v"))
-        entries.append(F.when(v.isNotNull() & ~small & (v < low), counted).when(small & v.isNotNull(), listed).when(v <= high, listed))
-    spread = keyed.select(*group, "_n", F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("_e"))
-    cells = spread.groupBy(*group, "_n", "_e.i", "_e.v").agg(F.count("*").alias("_c"))
-
-    earlier = Window.partitionBy(*group, "i").orderBy(F.asc_nulls_first("v"))
-    before = F.coalesce(F.sum("_c").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    running = cells.withColumn("_before", before)
-    results = []
-    for i, fraction in enumerate(fractions):
-        n = F.col("_n")
+    cells = _bracketed_counts(rows, group, list(fractions.values()), accuracy)
+    before = Window.partitionBy(*group, "i").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1)
+    running = cells.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+
+    def value_at(i: int, rank: Column) -> Column:
+        covers = (F.col("i") == i) & (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
+        return F.max(F.when(covers, F.col("v")))
+
+    n = F.col("_n")
+    ends = []
+    for i, fraction in enumerate(fractions.values()):
         place = n * F.lit(fraction) if method == "nearest" else (n - 1) * F.lit(fraction)
         first = F.least(F.floor(place), n - 1)
         second = first if method == "nearest" else F.ceil(place)
-
-        def at(rank: Column, i: int = i) -> Column:
-            covers = (F.col("i") == i) & (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
-            return F.max(F.when(covers, F.col("v")))
-
-        results += [at(first).alias(f"_first{i}"), at(second).alias(f"_second{i}")]
-    found = running.groupBy(*group, "_n").agg(*results)
+        ends += [value_at(i, first).alias(f"_first{i}"), value_at(i, second).alias(f"_second{i}")]
+    found = running.groupBy(*group, "_n", "_total").agg(*ends)
     out = []
-    for i, (name, fraction) in enumerate(zip(names, fractions)):
+    for i, (name, fraction) in enumerate(fractions.items()):
         a, b = F.col(f"_first{i}"), F.col(f"_second{i}")
-        place = (F.col("_n") - 1) * F.lit(fraction)
+        place = (n - 1) * F.lit(fraction)
         share = place - F.floor(place)
-        linear = F.when(share == 0, a).otherwise(a * (1 - share) + b * share)
-        exact = a if method == "nearest" else linear
+        exact = a if method == "nearest" else F.when(share == 0, a).otherwise(a * (1 - share) + b * share)
         missed = F.raise_error(F.lit("percentile rank outside its bracket")).cast("double")
-        out.append(F.when(F.col("_n") == 0, 0.0).when(a.isNull() | b.isNull(), missed).otherwise(exact).alias(name))
-    return found.select(*[F.col(g).alias(c) for g, c in zip(group, keys)], *out)
+        out.append(F.when(n == 0, 0.0).when(a.isNull() | b.isNull(), missed).otherwise(exact).alias(name))
+    return found.select(*[F.col(g).alias(c) for g, c in zip(group, keys)], "_n", "_total", *out)
+
+
+def _bracketed_counts(rows: DataFrame, group: list[str], fractions: list[float], accuracy: int) -> DataFrame:
+    """Counts ``_c`` per group, percentile number ``i`` and value ``v`` near the percentile.
+
+    A null value stands for everything below the bracket. Entry -1 stands for the group itself, so
+    that one without values stays in the result.
+    """
+    margin = 6.0 / accuracy
+    bounds = [bound for f in fractions for bound in (max(0.0, f - margin), min(1.0, f + margin))]
+    sketch = rows.groupBy(*[F.col(g).alias(f"_s{i}") for i, g in enumerate(group)]).agg(
+        F.count("_v").alias("_n"),
+        F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_total"),
+        F.percentile_approx("_v", F.array(*[F.lit(b) for b in bounds]), accuracy).alias("_bounds"),
+    )
+    keyed = rows.join(broadcast_if_small(sketch), _same_keys(len(group), "_k", "_s"))
+    v, known, small = F.col("_v"), F.col("_v").isNotNull(), F.col("_n") <= accuracy
+    no_value = F.lit(None).cast("double").alias("v")
+    entries = [F.struct(F.lit(-1).alias("i"), no_value)]
+    for i in range(len(fractions)):
+        low, high = F.get("_bounds", F.lit(2 * i)), F.get("_bounds", F.lit(2 * i + 1))
+        number = F.lit(i).alias("i")
+        below = F.when(known & ~small & (v < low), F.struct(number, no_value))
+        entries.append(below.when(known & (small | (v <= high)), F.struct(number, v.alias("v"))))
+    present = F.filter(F.array(*entries), lambda e: e.isNotNull())
+    listed = keyed.select(*group, "_n", "_total", F.explode(present).alias("_e"))
+    return listed.groupBy(*group, "_n", "_total", "_e.i", "_e.v").agg(F.count("*").alias("_c"))
 
 
 def throughput(n: Column, total_ms: Column) -> Column:
@@ -111,26 +126,16 @@ def latency_summary(
     total_decimals: int = TOTAL_DECIMALS,
 ) -> DataFrame:
     """Count, mean, percentiles, total and throughput per group, rounded half to even."""
-    if not keys:
-        whole = df.select(F.lit(0).alias("_all"), F.col(value).alias("_value"))
-        return latency_summary(whole, ["_all"], "_value", metric, method, decimals, total_decimals).drop("_all")
-    totals = df.groupBy(*[F.col(c).alias(f"_t{i}") for i, c in enumerate(keys)]).agg(
-        F.count(value).alias("n_queries"),
-        F.coalesce(F.avg(value), F.lit(0.0)).alias("_avg"),
-        F.coalesce(F.sum(value), F.lit(0.0)).alias("_total"),
-    )
-    percentiles = exact_percentiles(df, keys, value, method=method)
-    for i, c in enumerate(keys):
-        percentiles = percentiles.withColumnRenamed(c, f"_p{i}")
-    joined = totals.join(percentiles, _same_keys(len(keys), "_t", "_p"))
+    figures = _figures(df, keys, value, PERCENTILES, method, SKETCH_ACCURACY)
+    n, total = F.col("_n"), F.col("_total")
     tag = [] if metric is None else [score_type(metric).alias("score_type")]
-    return joined.select(
-        *[F.col(f"_t{i}").alias(c) for i, c in enumerate(keys)],
-        "n_queries",
-        F.bround("_avg", decimals).alias("avg_ms"),
+    return figures.select(
+        *keys,
+        n.alias("n_queries"),
+        F.bround(F.coalesce(F.try_divide(total, n), F.lit(0.0)), decimals).alias("avg_ms"),
         *[F.bround(p, decimals).alias(p) for p in PERCENTILES],
-        F.bround(throughput(F.col("n_queries"), F.col("_total")), decimals).alias("qps"),
-        F.bround("_total", total_decimals).alias("total_elapsed_ms"),
+        F.bround(throughput(n, total), decimals).alias("qps"),
+        F.bround(total, total_decimals).alias("total_elapsed_ms"),
         *tag,
     )
 

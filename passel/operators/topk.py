@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passel.functions.vectors import NORM_FLOOR, canonical_metric
-from passel.session import materialise, merge_salts
+from passel.session import broadcast_if_small, materialise, merge_salts
 
 # A query set is broadcast up to these sizes and joined block by block beyond them.
 BROADCAST_QUERIES = 20_000
@@ -303,7 +303,7 @@ def block_join_topk(
     left = materialise(left.withColumn("_place", F.monotonically_increasing_id()))
     right = queries.select("qid", F.col("embedding").alias("_vector"), probe.cast("bigint").alias("bucket"))
     right = materialise(right.withColumn("_place", F.monotonically_increasing_id()))
-    grid = (
+    grid = broadcast_if_small(
         left.groupBy("bucket")
         .agg(F.ceil(F.count("*") / corpus_block).alias("_corpus_blocks"))
         .join(right.groupBy("bucket").agg(F.ceil(F.count("*") / query_block).alias("_query_blocks")), "bucket")
@@ -351,15 +351,15 @@ def keep_best_per_uid(hits: DataFrame, keys: Sequence[str], carry: Sequence[str]
 def rank_hits(hits: DataFrame, k: int | None, keys: Sequence[str] = ("qid",), rank: str = "rank") -> DataFrame:
     """Rank by (score desc, uid asc) inside the keys and keep ``k``.
 
-    On a wide cluster the rows are first cut to ``k`` in salted sub-groups; the salt is a hash of
-    the uid, so the result does not depend on it.
+    On a wide cluster the rows are first cut to ``k`` in sub-groups by the task they come from, so
+    that neither a query nor a uid with very many candidates meets in one task.
     """
     order = [F.desc("score"), F.asc("uid")]
     salts = merge_salts(hits.sparkSession)
     if k is not None and salts > 1:
         part = Window.partitionBy(*keys, "_salt").orderBy(*order)
         hits = (
-            hits.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(salts)))
+            hits.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
             .withColumn("_cut", F.row_number().over(part))
             .where(F.col("_cut") <= k)
             .drop("_salt", "_cut")

@@ -149,7 +149,8 @@ SELECT * FROM (
 ORACLE["clean_html_pages"] = r"""
 SELECT * FROM (
   SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(
-           replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'),
+           regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '&copy;?', '©', 'g'), '&middot;?', '·', 'g'),
+             '&quot;?', '"', 'g'), '&amp;?', '&', 'g'),
            '<[^>]+>', ' ', 'g'), 'http\S+|www\S+', ' ', 'g'), '\s+', ' ', 'g')) AS clean_text
   FROM pages
 ) WHERE length(clean_text) > 100

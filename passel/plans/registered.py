@@ -16,7 +16,7 @@ from passel.functions import ids, text, vectors
 from passel.functions.encode import hashing_encoder
 from passel.operators import ann, corpus, evaluate, hits, latency, metadata, validate
 from passel.operators.chunk import chunk_documents
-from passel.operators.documents import clean_documents
+from passel.operators.documents import clean_documents, with_computed
 from passel.operators.search import encode_queries, search, search_many
 from passel.plans.corpus import embed_passages, passages
 from passel.plans.retrieval import run_summary
@@ -122,10 +122,8 @@ def run_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parsed_runs(spark: SparkSession, folder: str) -> DataFrame:
-    log = run_log(spark, folder)
-    return log.select("event_id", "value", ids.parse_run_name(F.col("file_name")).alias("_run")).select(
-        "event_id", "value", "_run.*"
-    )
+    log = with_computed(run_log(spark, folder), "_run", ids.parse_run_name(F.col("file_name")))
+    return log.select("event_id", "value", "_run.*")
 
 
 def latency_figures(log: DataFrame, keys: list[str], metric: Column | None = None) -> DataFrame:
@@ -325,10 +323,8 @@ def record_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def parse_run_name(spark: SparkSession, folder: str) -> DataFrame:
-    log = run_log(spark, folder)
-    return log.select("event_id", "file_name", ids.parse_run_name(F.col("file_name")).alias("_run")).select(
-        "event_id", "file_name", "_run.*"
-    )
+    log = with_computed(run_log(spark, folder), "_run", ids.parse_run_name(F.col("file_name")))
+    return log.select("event_id", "file_name", "_run.*")
 
 
 # ---------------------------------------------------------------- corpus

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+# Shuffle widths up to this merge the rows of a key in one step.
 MERGE_SALT_FROM = 64
+# Lookup tables up to this many narrow rows are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -41,22 +47,44 @@ def merge_salts(spark: SparkSession) -> int:
     return 1 if width <= MERGE_SALT_FROM else max(2, int(width**0.5))
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables: the one named by ``spark.checkpoint.dir``.
+
+    Only a local session may fall back to a folder of its own, because no other machine could
+    read it.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return _local_scratch()
+
+
+@cache
+def _local_scratch() -> str:
+    return tempfile.mkdtemp(prefix="passel-")
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
+    """Write an intermediate table to the shared folder and read it back.
 
-    The folder is the one named by ``spark.checkpoint.dir``. Only a local session may fall back to
-    a scratch folder, because no other machine could read it.
+    Cuts the lineage like a reliable checkpoint: a lost executor costs a re-read. Being Parquet,
+    it is also read by column, so a later pass over one key does not touch vectors or text.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            configured = tempfile.mkdtemp(prefix="passel-checkpoint-")
-        context.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    path = f"{scratch_folder(df.sparkSession)}/passel-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Store a lookup table, count it, and mark it for broadcast when it is within the bound.
+
+    Beyond the bound Spark joins it by shuffle. Without the mark a large other side might be
+    shuffled before the small size of this one is known.
+    """
+    stored = materialise(df)
+    return F.broadcast(stored) if stored.count() <= max_rows else stored
 
 
 def spread(df: DataFrame) -> DataFrame:

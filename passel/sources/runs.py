@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passel.functions.ids import RUN_SUFFIX, parse_run_name
 from passel.schema import HIT_LOG_COLUMNS, MERGED_HIT_COLUMNS, RUN_SUMMARY
+from passel.session import broadcast_if_small
 
 # Fixed value: how a run identifier spells its start time.
 RUN_TIME = "yyyyMMdd-HHmmss"
@@ -81,10 +82,10 @@ def write_merged_hits(hits: DataFrame, path: str) -> None:
 def latest_run(log: DataFrame, key: str, started: str) -> DataFrame:
     """All rows of the latest run of every key, ties included.
 
-    The latest time comes from a partial aggregation and is joined back, so the rows of a key that
-    holds most of the log never meet in one task.
+    The latest times come from a partial aggregation and are broadcast back within a checked bound,
+    so the rows of a key that holds most of the log never meet in one task.
     """
-    newest = log.groupBy(F.col(key).alias("_key")).agg(F.max(started).alias("_newest"))
+    newest = broadcast_if_small(log.groupBy(F.col(key).alias("_key")).agg(F.max(started).alias("_newest")))
     same = F.col(key).eqNullSafe(F.col("_key")) & (F.col(started) == F.col("_newest"))
     return log.join(newest, same, "left_semi")
 
