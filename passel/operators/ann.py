@@ -68,9 +68,9 @@ def train_cells(
     on it.
     """
     _check_cells(n_cells, 1)
-    points = corpus.where(F.col(embedding).isNotNull()).select(
-        array_to_vector(F.col(embedding).cast("array<double>")).alias("features")
-    )
+    # The cosine of a zero vector is undefined; it teaches nothing about the cells.
+    usable = F.exists(embedding, lambda x: x != 0) & ~F.exists(embedding, F.isnan)
+    points = corpus.where(usable).select(array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
     rows = points.count()
     if rows > training_rows:
         points = points.sample(training_rows / rows, seed)
@@ -142,10 +142,8 @@ def search_cells(
     scoring = Scoring(options.k, options.metric, options.dedup)
     block = collect_queries(queries, **options.limits())
     if block is not None:
-        if len(block.qids) == 0:
-            local = broadcast_topk(block, corpus, scoring, options.carried(), cell)
-            return merge_local(local, scoring, options.carried())
-        probed = _probe_block(block, _nearest(block.vectors, centroids, nprobe))
+        nearest = _nearest(block.vectors, centroids, nprobe) if len(block.qids) else np.zeros((0, nprobe), int)
+        probed = _probe_block(block, nearest)
         # Only probed cells are read when the corpus is stored by cell.
         near = corpus.where(F.col(cell).isin([int(c) for c in probed.probes]))
         local = broadcast_topk(probed, near, scoring, options.carried(), cell)

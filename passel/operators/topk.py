@@ -273,7 +273,10 @@ def broadcast_topk(
         if found is not None:
             yield from found.to_batches(max_chunksize=_OUTPUT_ROWS)
 
-    return _corpus_columns(corpus, carry, bucket).mapInArrow(task, schema)
+    read = _corpus_columns(corpus, carry, bucket)
+    if len(block.qids) == 0:
+        read = read.where(F.lit(False))
+    return read.mapInArrow(task, schema)
 
 
 def block_join_topk(
