@@ -19,8 +19,12 @@ DEFAULT_DIM = 64
 DEFAULT_MODEL = "md5-token-buckets"
 
 
-def _token_bucket(token: str, dim: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim
+def _token_buckets(tokens: pa.Array, dim: int) -> np.ndarray:
+    """The first 32 bits of the MD5 of every token, modulo ``dim``; -1 for an empty token."""
+    heads = b"".join([hashlib.md5(t).digest()[:4] for t in tokens.cast(pa.binary()).to_pylist()])
+    buckets = np.frombuffer(heads, dtype=">u4").astype(np.int64) % dim
+    buckets[pc.equal(tokens, "").to_numpy(zero_copy_only=False)] = -1
+    return buckets
 
 
 def _bucket_counts(texts: pa.Array, dim: int) -> np.ndarray:
@@ -29,8 +33,7 @@ def _bucket_counts(texts: pa.Array, dim: int) -> np.ndarray:
     tokens = pc.list_flatten(words).dictionary_encode()
     if len(tokens) == 0:
         return np.zeros((len(texts), dim))
-    buckets = np.array([_token_bucket(t, dim) if t else -1 for t in tokens.dictionary.to_pylist()])
-    bucket = buckets[tokens.indices.to_numpy()]
+    bucket = _token_buckets(tokens.dictionary, dim)[tokens.indices.to_numpy()]
     row = pc.list_parent_indices(words).to_numpy()
     kept = bucket >= 0
     cell = row[kept] * dim + bucket[kept]

@@ -20,7 +20,7 @@ ANSWER_SEPARATOR = "\n\n[ANSWER]\n\n"
 TEXT_FIELDS = ("chunk_text", "text", "preview", "content")
 
 # Java's whitespace class leaves out the four ASCII separators that the cleaned text must not keep.
-_BLANKS = r"(?U)[\s\x1c-\x1f]+"
+_BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
 _URL_UNICODE = r"(?U)http[^\s\x1c-\x1f]+|www[^\s\x1c-\x1f]+"
 
 
@@ -41,7 +41,7 @@ def unescape_html(text: Column) -> Column:
 
 def collapse_blanks(text: Column) -> Column:
     """Every run of Unicode whitespace becomes one space; none is left at the ends."""
-    return F.trim(F.regexp_replace(text, _BLANKS, " "))
+    return F.trim(F.regexp_replace(text, _BLANK_RUN, " "))
 
 
 def tokenise(text: Column) -> Column:
@@ -54,15 +54,22 @@ def _or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def _where_bracketed(text: Column, replaced: Column) -> Column:
+    """Search for marks only in texts that have a bracket at all."""
+    return F.when(text.contains("["), replaced).otherwise(text)
+
+
 def clean_encyclopedia(text: Column) -> Column:
     """Decode entities, drop ``[12]`` and ``[edit]`` marks, collapse whitespace."""
-    marks_gone = F.regexp_replace(unescape_html(_or_empty(text)), "(?U)" + CITATION_NUMBER_OR_EDIT, " ")
+    decoded = unescape_html(_or_empty(text))
+    marks_gone = _where_bracketed(decoded, F.regexp_replace(decoded, "(?U)" + CITATION_NUMBER_OR_EDIT, " "))
     return collapse_blanks(marks_gone)
 
 
 def clean_abstract(text: Column) -> Column:
     """Decode entities, drop ``[1, 2; 3]`` citation lists, collapse whitespace."""
-    return collapse_blanks(F.regexp_replace(unescape_html(_or_empty(text)), CITATION_LIST, " "))
+    decoded = unescape_html(_or_empty(text))
+    return collapse_blanks(_where_bracketed(decoded, F.regexp_replace(decoded, CITATION_LIST, " ")))
 
 
 def clean_html(text: Column) -> Column:

@@ -106,8 +106,7 @@ def _bracketed_counts(rows: DataFrame, group: list[str], fractions: list[float],
         number = F.lit(i).alias("i")
         below = F.when(known & ~small & (v < low), F.struct(number, no_value))
         entries.append(below.when(known & (small | (v <= high)), F.struct(number, v.alias("v"))))
-    present = F.filter(F.array(*entries), lambda e: e.isNotNull())
-    listed = keyed.select(*group, "_n", "_total", F.explode(present).alias("_e"))
+    listed = keyed.select(*group, "_n", "_total", F.explode(F.array(*entries)).alias("_e")).where("_e is not null")
     return listed.groupBy(*group, "_n", "_total", "_e.i", "_e.v").agg(F.count("*").alias("_c"))
 
 

@@ -261,11 +261,11 @@ def broadcast_topk(
     """Per-task winners with the whole query block in every task; the corpus is not shuffled."""
     schema = _output_schema(corpus, carry, scoring.per_bucket)
     names = schema.names
-    shared = corpus.sparkSession.sparkContext.broadcast(block)
+    shared = corpus.sparkSession.sparkContext.broadcast((block.qids, block.vectors, block.probes))
     carried = list(carry)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        winners = TaskWinners(shared.value, scoring)
+        winners = TaskWinners(QueryBlock(*shared.value), scoring)
         for batch in batches:
             if batch.num_rows:
                 _feed(winners, batch, carried, bucket is not None)

@@ -20,7 +20,7 @@ from passel.operators.documents import clean_documents, with_computed
 from passel.operators.search import encode_queries, search, search_many
 from passel.plans.corpus import embed_passages, passages
 from passel.plans.retrieval import run_summary
-from passel.session import materialise, spread
+from passel.session import broadcast_if_small, materialise, spread
 from passel.sources import documents as raw
 from passel.sources import runs
 from passel.sources.queries import query_lines
@@ -122,8 +122,10 @@ def run_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parsed_runs(spark: SparkSession, folder: str) -> DataFrame:
-    log = with_computed(run_log(spark, folder), "_run", ids.parse_run_name(F.col("file_name")))
-    return log.select("event_id", "value", "_run.*")
+    """The log with its run fields; every distinct file name is parsed once."""
+    log = run_log(spark, folder)
+    names = log.select("file_name").distinct().select("file_name", ids.parse_run_name(F.col("file_name")).alias("_run"))
+    return log.join(broadcast_if_small(names), "file_name").select("event_id", "value", "_run.*")
 
 
 def latency_figures(log: DataFrame, keys: list[str], metric: Column | None = None) -> DataFrame:

@@ -1,5 +1,9 @@
 """Every registered query against its SQL, and the contract of the entry module."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from compare import connect, differences
 
@@ -52,3 +56,18 @@ def test_no_query_stops_at_a_prefix(spark, tables):
     documents = spark.read.parquet(f"{tables}/documents.parquet").count()
     assert contract.queries()["hash_shards"](spark, tables).count() == documents
     assert contract.queries()["contiguous_shards"](spark, tables).agg(F.max("row_index")).first()[0] == documents - 1
+
+
+def test_workers_need_no_installed_package(tables, tmp_path):
+    """From another folder the Python workers cannot import the package; its code comes with the job."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from passel.session import local_session\n"
+        "import __spark_entry__ as e\n"
+        "spark = local_session('elsewhere', '2', 2)\n"
+        "for name in ('search_text', 'topk_fanout', 'topk_ivf'):\n"
+        f"    assert e.queries()[name](spark, {tables!r}).count() > 0\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
