@@ -109,12 +109,15 @@ def assign_shards(
 
 
 def domain_counts(df: DataFrame, shard: str = "shard", domain: str = "domain") -> DataFrame:
-    """Rows per domain, in total (null shard) and per shard, in one pass."""
-    named = df.select(F.col(shard).alias("shard"), F.coalesce(F.col(domain).cast("string"), F.lit(NULL_DOMAIN)).alias("domain"))
+    """Rows per domain, in total (null shard) and per shard.
+
+    The rows are counted once per (shard, domain); the grouping sets work on those few counts.
+    """
+    named = F.coalesce(F.col(domain).cast("string"), F.lit(NULL_DOMAIN))
+    cells = df.groupBy(F.col(shard).alias("shard"), named.alias("domain")).agg(F.count("*").alias("_n"))
     shard_col, domain_col = F.col("shard"), F.col("domain")
-    return named.groupingSets([[shard_col, domain_col], [domain_col]], shard_col, domain_col).agg(
-        F.count("*").alias("n")
-    )
+    sets = cells.groupingSets([[shard_col, domain_col], [domain_col]], shard_col, domain_col)
+    return sets.agg(F.sum("_n").alias("n"))
 
 
 def shard_counts(df: DataFrame, n_shards: int, shard: str = "shard") -> DataFrame:

@@ -18,33 +18,32 @@ def recall_per_query(hits: DataFrame, gold: DataFrame, queries: DataFrame) -> Da
     """Recall and reciprocal rank of every query that has gold.
 
     ``gold`` is ``(qid, uid)``. A query without hits scores 0 in both. Hits without an identifier
-    do not count towards the rank. The gold lists may be long: they are counted and joined by
-    (qid, uid), never collected.
+    do not count towards the rank. Hits and gold are stacked and counted per (query, uid), each
+    read once; long gold lists are never collected.
     """
-    wanted = gold.where(F.col("uid").isNotNull()).select("qid", "uid").distinct()
-    sizes = wanted.groupBy("qid").agg(F.count("*").alias("n_gold"))
-    run = queries.select("qid").distinct()
     in_order = Window.partitionBy("qid").orderBy("rank")
     key = F.nullif(F.col("uid"), F.lit(""))
     if "id" in hits.columns:
         key = F.coalesce(key, F.nullif(F.col("id").cast("string"), F.lit("")))
     known = hits.select("qid", "rank", key.alias("uid")).where(F.col("uid").isNotNull())
-    placed = known.select("qid", "uid", F.row_number().over(in_order).alias("_place"))
+    placed = known.select("qid", "uid", F.row_number().over(in_order).alias("_place"), F.lit(0).alias("_gold"))
+    wanted = gold.where(F.col("uid").isNotNull()).select(
+        "qid", "uid", F.lit(None).cast("int").alias("_place"), F.lit(1).alias("_gold")
+    )
     # The first place of a uid stands for all its places.
-    once = placed.groupBy("qid", "uid").agg(F.min("_place").alias("_place"))
-    found = (
-        once.join(wanted, ["qid", "uid"], "left_semi")
-        .groupBy("qid")
-        .agg(F.count("*").alias("_found"), F.min("_place").alias("_first"))
+    cells = placed.unionAll(wanted).groupBy("qid", "uid").agg(F.min("_place").alias("_place"), F.max("_gold").alias("_gold"))
+    place = F.when(F.col("_gold") == 1, F.col("_place"))
+    judged = cells.groupBy("qid").agg(
+        F.sum("_gold").alias("n_gold"), F.count(place).alias("n_found"), F.min(place).alias("_first")
     )
     return (
-        run.join(sizes, "qid")
-        .join(found, "qid", "left")
+        judged.where("n_gold > 0")
+        .join(queries.select("qid"), "qid", "left_semi")
         .select(
             "qid",
             "n_gold",
-            F.coalesce("_found", F.lit(0)).alias("n_found"),
-            (F.coalesce("_found", F.lit(0)) / F.greatest("n_gold", F.lit(1))).alias("recall"),
+            "n_found",
+            (F.col("n_found") / F.greatest("n_gold", F.lit(1))).alias("recall"),
             F.coalesce(1.0 / F.col("_first"), F.lit(0.0)).alias("reciprocal_rank"),
         )
     )

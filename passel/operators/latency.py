@@ -51,9 +51,6 @@ def _figures(
     """Keys, number of values ``_n``, their sum ``_total`` and the percentiles."""
     if method not in ("linear", "nearest"):
         raise ValueError("method must be linear or nearest")
-    if not keys:
-        whole = df.select(F.lit(0).alias("_all"), F.col(value).alias("_value"))
-        return _figures(whole, ["_all"], "_value", percentiles, method, accuracy).drop("_all")
     fractions = {name: p / 100.0 for name, p in percentiles.items()}
     group = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*[F.col(c).alias(g) for c, g in zip(keys, group)], F.col(value).cast("double").alias("_v"))
@@ -97,7 +94,16 @@ def _bracketed_counts(rows: DataFrame, group: list[str], fractions: list[float],
         F.coalesce(F.sum("_v"), F.lit(0.0)).alias("_total"),
         F.percentile_approx("_v", F.array(*[F.lit(b) for b in bounds]), accuracy).alias("_bounds"),
     )
-    keyed = rows.join(broadcast_if_small(sketch), _same_keys(len(group), "_k", "_s"))
+    if group:
+        keyed = rows.join(broadcast_if_small(sketch), _same_keys(len(group), "_k", "_s"))
+    else:
+        n, total, found = sketch.first()
+        keyed = rows.select(
+            "_v",
+            F.lit(n).alias("_n"),
+            F.lit(total).alias("_total"),
+            F.array(*[F.lit(b) for b in found or []]).cast("array<double>").alias("_bounds"),
+        )
     v, known, small = F.col("_v"), F.col("_v").isNotNull(), F.col("_n") <= accuracy
     no_value = F.lit(None).cast("double").alias("v")
     entries = [F.struct(F.lit(-1).alias("i"), no_value)]

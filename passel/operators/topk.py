@@ -25,7 +25,7 @@ BROADCAST_QUERIES = 20_000
 BROADCAST_BYTES = 64 << 20
 # Rows of one cell of the block join.
 CORPUS_BLOCK = 50_000
-QUERY_BLOCK = 4_000
+QUERY_BLOCK = 16_000
 # Shards that every query of a large set may be paired with.
 MAX_BUCKETS = 10_000
 
@@ -33,6 +33,7 @@ MAX_BUCKETS = 10_000
 # row stands in a block; without rounding, equal vectors could rank differently from run to run.
 SCORE_DECIMALS = 9
 
+_ROUNDING_SLACK = 10.0**-SCORE_DECIMALS
 _CELLS_PER_PRODUCT = 1 << 22
 _COMPACT_FROM = 20_000
 _OUTPUT_ROWS = 10_000
@@ -84,14 +85,19 @@ def unit_rows(matrix: np.ndarray) -> np.ndarray:
 
 
 def score_matrix(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of all queries against a block, higher always better; l2 is the negated square."""
+    """Unrounded scores of all queries against a block, higher always better; l2 is the negated square."""
     if metric == "cosine":
         queries, vectors = unit_rows(queries), unit_rows(vectors)
     scores = queries @ vectors.T
     if metric == "l2":
         squares = (queries * queries).sum(axis=1)[:, None] + (vectors * vectors).sum(axis=1)[None, :]
         scores = -np.maximum(squares - 2.0 * scores, 0.0)
-    return np.round(scores, SCORE_DECIMALS) + 0.0
+    return scores
+
+
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """Scores as they are compared and reported; those that are not numbers rank nowhere."""
+    return np.where(np.isfinite(scores), np.round(scores, SCORE_DECIMALS) + 0.0, -np.inf)
 
 
 def _uid_ranks(uids: pa.Array) -> np.ndarray:
@@ -130,6 +136,13 @@ def _floor_of_block(scores: np.ndarray, uid_rank: np.ndarray, k: int, distinct:
     return np.partition(scores, n - k, axis=1)[:, n - k]
 
 
+def _worst_of_full_groups(group: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The groups that have all their k rows, and the last score of each; the input is in order."""
+    last = np.flatnonzero(np.diff(group, append=-1))
+    full = last[np.diff(last, prepend=-1) == k]
+    return group[full], score[full]
+
+
 class TaskWinners:
     """The best rows a task has seen, per query or per query and bucket."""
 
@@ -160,19 +173,25 @@ class TaskWinners:
         slot = self.buckets.setdefault(bucket if scoring.per_bucket else 0, len(self.buckets))
         floors = self.floors.setdefault(slot, np.full(width, -np.inf))
         block = vectors if len(rows) == len(uids) else vectors[rows]
-        uid_rank = _uid_ranks(uids.take(pa.array(rows)))
         step = max(1, _CELLS_PER_PRODUCT // len(rows))
         for start in range(0, len(asking), step):
             some = asking[start : start + step]
-            scores = score_matrix(self.queries.vectors[some], block, scoring.metric)
-            scores[~np.isfinite(scores)] = -np.inf
+            raw = score_matrix(self.queries.vectors[some], block, scoring.metric)
+            # Once the floors have risen, few rows are left to look at more closely.
+            near = np.flatnonzero((raw >= (floors[some] - _ROUNDING_SLACK)[:, None]).any(axis=0))
+            if not len(near):
+                continue
+            scores = rounded(raw[:, near])
+            uid_rank = _uid_ranks(uids.take(pa.array(rows[near])))
             floor = np.maximum(floors[some], _floor_of_block(scores, uid_rank, scoring.k, scoring.distinct_uids))
-            q, v = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+            q, v = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
             if not len(q):
                 continue
             best = _best_per_group(q, scores[q, v], uid_rank[v], scoring.k, scoring.distinct_uids)
             q, v = q[best], v[best]
-            self._append(slot * width + some[q], scores[q, v], uids, rows[v], carried)
+            full, worst = _worst_of_full_groups(q, scores[q, v], scoring.k)
+            floors[some[full]] = np.maximum(floors[some[full]], worst)
+            self._append(slot * width + some[q], scores[q, v], uids, rows[near[v]], carried)
 
     def _append(
         self, group: np.ndarray, score: np.ndarray, uids: pa.Array, rows: np.ndarray, carried: pa.Table
@@ -187,7 +206,7 @@ class TaskWinners:
             self.compact()
 
     def compact(self) -> None:
-        """Trim to k rows per group and raise the score a new row has to reach."""
+        """Trim to k rows per group and raise the scores that new rows have to reach."""
         if not self.tables:
             return
         table = pa.concat_tables(self.tables)
@@ -197,12 +216,11 @@ class TaskWinners:
         )
         self.tables = [table.take(pa.array(best)).combine_chunks()]
         self.compacted = self.pending = len(best)
-        group, score = group[best], score[best]
-        last = np.flatnonzero(np.diff(group, append=-1))
-        full = np.diff(last, prepend=-1) == self.scoring.k
+        full, worst = _worst_of_full_groups(group[best], score[best], self.scoring.k)
         width = len(self.queries.qids)
-        for g, s in zip(group[last[full]].tolist(), score[last[full]].tolist()):
-            self.floors[g // width][g % width] = s
+        for g, floor in zip(full.tolist(), worst.tolist()):
+            floors = self.floors[g // width]
+            floors[g % width] = max(floors[g % width], floor)
 
     def result(self, names: Sequence[str]) -> pa.Table | None:
         """The winners with the named columns, or None when there are none."""

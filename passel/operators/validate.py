@@ -78,24 +78,28 @@ def uid_uniqueness(df: DataFrame, shard: str = "shard", uid: str = "uid") -> Dat
     """Rows and distinct uids per shard and, with a null shard, overall.
 
     ``repeated_uids`` counts uids on more than one row, ``in_several_shards`` those in more than
-    one shard. Rows are counted per (uid, shard) first; what follows is small per uid.
+    one shard. Rows are counted per (uid, shard) first; a uid then has one entry per shard, to
+    which an entry for the whole corpus is added.
     """
     cells = df.groupBy(F.col(uid).alias("_uid"), F.col(shard).cast("int").alias("shard")).agg(F.count("*").alias("_n"))
-    per_shard = cells.groupBy("shard").agg(
-        F.sum("_n").alias("n_rows"),
-        F.count("_uid").alias("distinct_uids"),
-        F.count_if(F.col("_n") > 1).alias("repeated_uids"),
-        F.lit(0).cast("bigint").alias("in_several_shards"),
+    no, yes = F.lit(False).alias("whole"), F.lit(True).alias("whole")
+    per_uid = cells.groupBy("_uid").agg(
+        F.collect_list(F.struct(no, "shard", F.col("_n").alias("n"), F.lit(1).cast("bigint").alias("shards"))).alias("_each"),
+        F.struct(
+            yes, F.lit(None).cast("int").alias("shard"), F.sum("_n").alias("n"), F.count("*").alias("shards")
+        ).alias("_whole"),
     )
-    per_uid = cells.groupBy("_uid").agg(F.sum("_n").alias("_n"), F.count("*").alias("_shards"))
-    overall = per_uid.agg(
-        F.lit(None).cast("int").alias("shard"),
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-        F.count("_uid").alias("distinct_uids"),
-        F.count_if(F.col("_n") > 1).alias("repeated_uids"),
-        F.count_if(F.col("_shards") > 1).alias("in_several_shards"),
+    entries = per_uid.select("_uid", F.explode(F.array_append("_each", F.col("_whole"))).alias("_e"))
+    return (
+        entries.groupBy("_e.whole", "_e.shard")
+        .agg(
+            F.sum("_e.n").alias("n_rows"),
+            F.count("_uid").alias("distinct_uids"),
+            F.count_if(F.col("_e.n") > 1).alias("repeated_uids"),
+            F.count_if(F.col("_e.shards") > 1).alias("in_several_shards"),
+        )
+        .drop("whole")
     )
-    return per_shard.unionByName(overall)
 
 
 def check_queries(queries: DataFrame, dim: int | None = None, text: str = "query", embedding: str = "embedding") -> DataFrame:

@@ -26,8 +26,18 @@ def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_shards(corpus: DataFrame, path: str, shard: str = "shard") -> None:
-    write_stage(corpus, path, [shard])
+def write_shards(corpus: DataFrame, path: str, shard: str = "shard", files_per_shard: int | None = None) -> None:
+    """Store a corpus by shard.
+
+    Each task writes one file per shard it holds. ``files_per_shard`` bounds their number by a
+    shuffle on the shard and a random salt, which also divides a shard far larger than the others;
+    the corpus should be a stored table then, so that a repeated task draws the same salts.
+    """
+    if files_per_shard is None:
+        write_stage(corpus, path, [shard])
+        return
+    salted = corpus.withColumn("_salt", F.floor(F.rand(11) * files_per_shard))
+    write_stage(salted.repartition(shard, "_salt").drop("_salt"), path, [shard])
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
