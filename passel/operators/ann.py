@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from passel.functions.vectors import normalize_vector
 from passel.operators.search import SearchOptions, prefiltered, register_strategy
 from passel.operators.topk import (
-    SCORE_DECIMALS,
     QueryBlock,
     Scoring,
     block_join_topk,
@@ -30,6 +29,7 @@ from passel.operators.topk import (
     collect_queries,
     list_matrix,
     merge_local,
+    rounded,
     unit_rows,
 )
 
@@ -95,7 +95,7 @@ def _check_cells(n_cells: int, dim: int) -> None:
 
 def _nearest(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """The ``n`` closest cells of every vector by cosine, closest first, lower number on ties."""
-    scores = np.round(unit_rows(vectors) @ unit_rows(centroids).T, SCORE_DECIMALS)
+    scores = rounded(unit_rows(vectors) @ unit_rows(centroids).T, np.ones(1))
     return np.argsort(-scores, axis=1, kind="stable")[:, :n]
 
 
@@ -227,5 +227,5 @@ def lsh(queries: DataFrame, corpus: DataFrame, options: SearchOptions) -> DataFr
     return merge_local(local, scoring, carry)
 
 
-register_strategy("ivf", ivf)
-register_strategy("lsh", lsh)
+register_strategy("ivf", ivf, ["centroids", "n_cells", "seed", "nprobe"])
+register_strategy("lsh", lsh, ["n_tables", "bucket_length", "seed"])

@@ -112,11 +112,13 @@ def _merge_shards(candidates: DataFrame, options: SearchOptions, always_dedup: b
 
 
 STRATEGIES: dict[str, Strategy] = {"exact": exact, "sharded": sharded, "fanout": fan_out}
+EXTRA_OPTIONS: dict[str, frozenset[str]] = {}
 
 
-def register_strategy(name: str, strategy: Strategy) -> None:
-    """Add a strategy or replace one."""
+def register_strategy(name: str, strategy: Strategy, extra_options: Sequence[str] = ()) -> None:
+    """Add a strategy or replace one, with the names of the options only it knows."""
     STRATEGIES[name] = strategy
+    EXTRA_OPTIONS[name] = frozenset(extra_options)
 
 
 def search(
@@ -130,13 +132,15 @@ def search(
     """Ranked hits ``(qid, score, uid, rank, carried columns)`` of all queries.
 
     ``queries`` holds ``qid`` and ``embedding``; ``corpus`` holds ``uid``, ``embedding`` and, for
-    filters, ``source``. Keyword options are those of :class:`SearchOptions`; unknown ones are
-    handed to the strategy in ``extra``.
+    filters, ``source``. Keyword options are those of :class:`SearchOptions` and of the strategy.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; use one of {sorted(STRATEGIES)}")
     known = {n: v for n, v in options.items() if n in SearchOptions.__dataclass_fields__}
     extra = {n: v for n, v in options.items() if n not in known}
+    unknown = set(extra) - EXTRA_OPTIONS.get(strategy, frozenset())
+    if unknown:
+        raise ValueError(f"strategy {strategy!r} has no option {sorted(unknown)}")
     settings = SearchOptions(k=k, carry=tuple(carry), extra=extra, **known)
     return STRATEGIES[strategy](queries, corpus, settings)
 

@@ -29,12 +29,15 @@ QUERY_BLOCK = 16_000
 # Shards that every query of a large set may be paired with.
 MAX_BUCKETS = 10_000
 
-# Scores are rounded before they are compared. A product depends in its last digits on where a
-# row stands in a block; without rounding, equal vectors could rank differently from run to run.
-SCORE_DECIMALS = 9
-
-_ROUNDING_SLACK = 10.0**-SCORE_DECIMALS
-_CELLS_PER_PRODUCT = 1 << 22
+# Scores are compared after rounding to this many bits of the product of the two lengths. A product
+# depends in its last digits on where a row stands in a block; without rounding, equal vectors
+# could rank differently from run to run.
+SCORE_BITS = 40
+
+# Single precision is used up to this length, and its error is at least this large.
+_SINGLE_SAFE = 1e15
+_SINGLE_TINY = 1e-36
+_CELLS_PER_PRODUCT = 1 << 20
 _COMPACT_FROM = 20_000
 _OUTPUT_ROWS = 10_000
 
@@ -80,24 +83,32 @@ def list_matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     return flat.reshape(len(column), width)
 
 
+def row_lengths(matrix: np.ndarray) -> np.ndarray:
+    return np.sqrt((matrix * matrix).sum(axis=1))
+
+
 def unit_rows(matrix: np.ndarray) -> np.ndarray:
-    return matrix / np.maximum(np.sqrt((matrix * matrix).sum(axis=1, keepdims=True)), NORM_FLOOR)
+    return matrix / np.maximum(row_lengths(matrix)[:, None], NORM_FLOOR)
 
 
 def score_matrix(queries: np.ndarray, vectors: np.ndarray, metric: str) -> np.ndarray:
-    """Unrounded scores of all queries against a block, higher always better; l2 is the negated square."""
-    if metric == "cosine":
-        queries, vectors = unit_rows(queries), unit_rows(vectors)
+    """Unrounded ip or l2 scores of all queries against a block; l2 is the negated square."""
     scores = queries @ vectors.T
     if metric == "l2":
         squares = (queries * queries).sum(axis=1)[:, None] + (vectors * vectors).sum(axis=1)[None, :]
-        scores = -np.maximum(squares - 2.0 * scores, 0.0)
+        scores = -np.maximum(squares - 2 * scores, 0)
     return scores
 
 
-def rounded(scores: np.ndarray) -> np.ndarray:
+def score_size(query_lengths: np.ndarray, vector_lengths: np.ndarray, metric: str) -> np.ndarray:
+    """The magnitude a score can have, which its rounding errors are proportional to."""
+    return query_lengths * vector_lengths if metric == "ip" else (query_lengths + vector_lengths) ** 2
+
+
+def rounded(scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Scores as they are compared and reported; those that are not numbers rank nowhere."""
-    return np.where(np.isfinite(scores), np.round(scores, SCORE_DECIMALS) + 0.0, -np.inf)
+    step = np.ldexp(1.0, np.frexp(sizes)[1] - SCORE_BITS)
+    return np.where(np.isfinite(scores), np.rint(scores / step) * step + 0.0, -np.inf)
 
 
 def _uid_ranks(uids: pa.Array) -> np.ndarray:
@@ -149,6 +160,12 @@ class TaskWinners:
     def __init__(self, queries: QueryBlock, scoring: Scoring) -> None:
         self.queries = queries
         self.scoring = scoring
+        # The cosine is the inner product of unit vectors.
+        self.cosine = scoring.metric == "cosine"
+        self.metric = "l2" if scoring.metric == "l2" else "ip"
+        self.vectors = unit_rows(queries.vectors) if self.cosine else queries.vectors
+        self.single = self.vectors.astype(np.float32)
+        self.lengths = row_lengths(self.vectors)
         self.buckets: dict[int, int] = {}
         self.floors: dict[int, np.ndarray] = {}
         self.tables: list[pa.Table] = []
@@ -156,6 +173,8 @@ class TaskWinners:
         self.compacted = 0
 
     def add(self, uids: pa.Array, vectors: np.ndarray, buckets: np.ndarray | None, carried: pa.Table) -> None:
+        if self.cosine:
+            vectors = unit_rows(vectors)
         if buckets is None:
             self._add_bucket(0, self.queries.everyone, np.arange(len(uids)), uids, vectors, carried)
             return
@@ -173,15 +192,24 @@ class TaskWinners:
         slot = self.buckets.setdefault(bucket if scoring.per_bucket else 0, len(self.buckets))
         floors = self.floors.setdefault(slot, np.full(width, -np.inf))
         block = vectors if len(rows) == len(uids) else vectors[rows]
+        own = row_lengths(block)
+        # Rows are screened in single precision against the floors less the possible error; once
+        # the floors have risen, few are left to be scored in double precision.
+        longest = float(own.max())
+        safe = longest < _SINGLE_SAFE and self.lengths.max(initial=0.0) < _SINGLE_SAFE
+        queries, screened = (self.single, block.astype(np.float32)) if safe else (self.vectors, block)
+        error = 4.0 * (block.shape[1] + 4) * np.finfo(np.float32).eps if safe else 4.0 * 2.0**-SCORE_BITS
+        margin = error * score_size(self.lengths, longest, self.metric) + _SINGLE_TINY
         step = max(1, _CELLS_PER_PRODUCT // len(rows))
         for start in range(0, len(asking), step):
             some = asking[start : start + step]
-            raw = score_matrix(self.queries.vectors[some], block, scoring.metric)
-            # Once the floors have risen, few rows are left to look at more closely.
-            near = np.flatnonzero((raw >= (floors[some] - _ROUNDING_SLACK)[:, None]).any(axis=0))
+            raw = score_matrix(queries[some], screened, self.metric)
+            reach = (floors[some] - margin[some]).astype(raw.dtype)
+            near = np.flatnonzero((raw >= reach[:, None]).any(axis=0))
             if not len(near):
                 continue
-            scores = rounded(raw[:, near])
+            sizes = score_size(self.lengths[some][:, None], own[near][None, :], self.metric)
+            scores = rounded(score_matrix(self.vectors[some], block[near], self.metric), sizes)
             uid_rank = _uid_ranks(uids.take(pa.array(rows[near])))
             floor = np.maximum(floors[some], _floor_of_block(scores, uid_rank, scoring.k, scoring.distinct_uids))
             q, v = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))

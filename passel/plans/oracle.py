@@ -59,7 +59,7 @@ queries AS (
   GROUP BY label
 )"""
 
-IP = "round(list_dot_product(q, v), 9)"
+IP = "round(list_dot_product(q, v), 11)"
 SHARD = "CAST(CAST('0x' || substr(sha1(id), 1, 8) AS BIGINT) % 8 AS INTEGER)"
 
 
@@ -302,12 +302,12 @@ FROM cells
 ORACLE["topk_exact_ip"] = f"WITH {EXACT} SELECT {HITS} FROM hits"
 
 ORACLE["topk_exact_cosine"] = f"""
-WITH {VECTORS}, {scored("round(list_cosine_similarity(q, v), 9)")}, {ranked("hits", "scored", 10)}
+WITH {VECTORS}, {scored("round(list_cosine_similarity(q, v), 11)")}, {ranked("hits", "scored", 10)}
 SELECT {HITS} FROM hits
 """
 
 ORACLE["topk_exact_l2"] = f"""
-WITH {VECTORS}, {scored("round(-power(list_distance(q, v), 2), 9)")}, {ranked("hits", "scored", 10)}
+WITH {VECTORS}, {scored("round(-power(list_distance(q, v), 2), 11)")}, {ranked("hits", "scored", 10)}
 SELECT {HITS} FROM hits
 """
 
@@ -364,13 +364,13 @@ def cell_search(nprobe: int, name: str = "near") -> str:
     return f"""
 {name}_assigned AS (
   SELECT * EXCLUDE (cell, place), cell FROM (
-    SELECT corpus.*, qid AS cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, q), 9) DESC, qid) AS place
+    SELECT corpus.*, qid AS cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, q), 11) DESC, qid) AS place
     FROM corpus CROSS JOIN queries
   ) WHERE place = 1
 ),
 {name}_probes AS (
   SELECT qid, cell FROM (
-    SELECT a.qid, b.qid AS cell, row_number() OVER (PARTITION BY a.qid ORDER BY round(list_cosine_similarity(a.q, b.q), 9) DESC, b.qid) AS place
+    SELECT a.qid, b.qid AS cell, row_number() OVER (PARTITION BY a.qid ORDER BY round(list_cosine_similarity(a.q, b.q), 11) DESC, b.qid) AS place
     FROM queries a CROSS JOIN queries b
   ) WHERE place <= {nprobe}
 ),
@@ -387,7 +387,7 @@ asked AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS query F
 {encoded("passage", "chunks", "id || '::c' || chunk_id", "chunk_text")},
 {encoded("question", "asked", "item_id", "query")},
 scored AS (
-  SELECT q.key AS qid, p.key AS uid, round(sum(q.x * p.x), 9) AS score
+  SELECT q.key AS qid, p.key AS uid, round(sum(q.x * p.x), 11) AS score
   FROM question q JOIN passage p USING (b) GROUP BY ALL
 ), {ranked("hits", "scored", 10)}
 SELECT {HITS} FROM hits

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passel.operators import ann, hits, topk
-from passel.operators.search import STRATEGIES, register_strategy, search, search_many, search_one
+from passel.operators.search import EXTRA_OPTIONS, STRATEGIES, register_strategy, search, search_many, search_one
 from passel.operators.topk import Scoring, block_join_topk, merge_local, rank_hits
 from passel.functions.encode import hashing_encoder
 
@@ -35,10 +35,17 @@ def score(q, v, metric):
     return float(q @ v)
 
 
+def compared(q, v, metric):
+    """The score to about twelve digits of the magnitude it can have."""
+    lq, lv = np.linalg.norm(np.asarray(q, float)), np.linalg.norm(np.asarray(v, float))
+    size = {"ip": lq * lv, "cosine": 1.0, "l2": (lq + lv) ** 2}[metric]
+    return score(q, v, metric) if size == 0 else round(score(q, v, metric) / size, 12) * size
+
+
 def brute(queries, rows, k, metric="ip", keep=lambda r: True, distinct=True):
     out = {}
     for qid, q in queries:
-        scored = sorted((-round(score(q, r[1], metric), 9), r[0]) for r in rows if keep(r))
+        scored = sorted((-compared(q, r[1], metric), r[0]) for r in rows if keep(r))
         if distinct:
             seen, unique = set(), []
             for s, uid in scored:
@@ -200,7 +207,7 @@ def test_unit_vectors_rank_alike_under_all_metrics(spark):
 
 
 def test_options_are_checked(corpus, queries):
-    for wrong in ({"strategy": "none"}, {"metric": "hamming"}, {"filter_stage": "later"}, {"k": 0}, {"alpha": 0}):
+    for wrong in ({"strategy": "none"}, {"metric": "hamming"}, {"filter_stage": "later"}, {"k": 0}, {"alpha": 0}, {"nprob": 3}):
         with pytest.raises(ValueError):
             search(queries[1], corpus[1], **wrong)
 
@@ -211,6 +218,19 @@ def test_own_strategy(corpus, queries):
         assert search(queries[1], corpus[1], 3, strategy="first").count() == 3
     finally:
         STRATEGIES.pop("first")
+        EXTRA_OPTIONS.pop("first")
+
+
+def test_large_and_tiny_vectors_are_ranked_exactly(spark):
+    """Near-equal scores that single precision cannot tell apart, and lengths beyond its range."""
+    rng = np.random.default_rng(5)
+    for scale in (1.0, 1e-20, 1e-42, 1e18, 1e30):
+        base = rng.normal(size=6)
+        rows = [(f"v{i:02d}", [float(x) for x in (base + 1e-9 * rng.normal(size=6)) * scale], "s", 0) for i in range(40)]
+        frame = spark.createDataFrame(rows, "uid string, embedding array<double>, source string, shard int")
+        asked = [(0, [float(x) for x in base])]
+        found = search(spark.createDataFrame(asked, "qid long, embedding array<double>"), frame, 15)
+        assert by_query(found) == brute(asked, rows, 15), scale
 
 
 def test_three_documents_end_to_end(spark):
