@@ -26,8 +26,6 @@ BROADCAST_BYTES = 64 << 20
 # Rows of one cell of the block join.
 CORPUS_BLOCK = 50_000
 QUERY_BLOCK = 16_000
-# Shards that every query of a large set may be paired with.
-MAX_BUCKETS = 10_000
 
 # Scores are compared after rounding to this many bits of the product of the two lengths. A product
 # depends in its last digits on where a row stands in a block; without rounding, equal vectors
@@ -336,38 +334,39 @@ def block_join_topk(
 ) -> DataFrame:
     """Winners per cell for query sets of any size.
 
-    Corpus and queries are cut into blocks of bounded length inside every bucket; one task
-    multiplies one corpus block with one query block. A bucket with a third of the corpus simply
-    has more blocks. Block numbers follow the stored order of the rows, so copies of one passage
-    spread too, and a recomputed task sees the same blocks.
+    Corpus and queries are cut into blocks of bounded length; one task multiplies one corpus block
+    with one query block. Queries with a ``bucket`` column meet that bucket only, and the blocks are
+    cut inside the buckets; a bucket with a third of the corpus simply has more of them. Block
+    numbers follow the stored order of the rows, so copies of one passage spread too, and a
+    recomputed task sees the same blocks.
     """
     schema = _output_schema(corpus, carry, scoring.per_bucket)
     names = schema.names
-    if bucket is not None and "bucket" not in queries.columns:
-        raise ValueError("queries must name the buckets they look into")
-    probe = F.lit(0) if bucket is None else F.col("bucket")
-    left = _corpus_columns(corpus, carry, bucket)
-    if bucket is None:
-        left = left.withColumn("bucket", F.lit(0).cast("bigint"))
+    probing = "bucket" in queries.columns
+    everywhere = F.lit(0).cast("bigint")
+    left = _corpus_columns(corpus, carry, bucket).withColumn("_part", F.col("bucket") if probing else everywhere)
     left = materialise(left.withColumn("_place", F.monotonically_increasing_id()))
-    right = queries.select("qid", F.col("embedding").alias("_vector"), probe.cast("bigint").alias("bucket"))
+    part = F.col("bucket").cast("bigint") if probing else everywhere
+    right = queries.select("qid", F.col("embedding").alias("_vector"), part.alias("_part"))
     right = materialise(right.withColumn("_place", F.monotonically_increasing_id()))
     grid = broadcast_if_small(
-        left.groupBy("bucket")
+        left.groupBy("_part")
         .agg(F.ceil(F.count("*") / corpus_block).alias("_corpus_blocks"))
-        .join(right.groupBy("bucket").agg(F.ceil(F.count("*") / query_block).alias("_query_blocks")), "bucket")
+        .join(right.groupBy("_part").agg(F.ceil(F.count("*") / query_block).alias("_query_blocks")), "_part")
     )
+    key = ["_part", "_c", "_q"]
+    bucketed = bucket is not None
     corpus_cells = (
-        left.join(grid, "bucket")
+        left.join(grid, "_part")
         .withColumn("_c", F.pmod("_place", "_corpus_blocks"))
         .withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_query_blocks") - 1)))
-        .select("uid", "embedding", *carry, "bucket", "_c", "_q")
+        .select("uid", "embedding", *carry, *(["bucket"] if bucketed else []), *key)
     )
     query_cells = (
-        right.join(grid, "bucket")
+        right.join(grid, "_part")
         .withColumn("_q", F.pmod("_place", "_query_blocks"))
         .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_corpus_blocks") - 1)))
-        .select("qid", "_vector", "bucket", "_c", "_q")
+        .select("qid", "_vector", *key)
     )
     carried = list(carry)
 
@@ -380,11 +379,10 @@ def block_join_topk(
         vectors = list_matrix(pa.concat_arrays(asked["_vector"].chunks))
         winners = TaskWinners(QueryBlock(asked["qid"].to_numpy().astype(np.int64), vectors), scoring)
         for batch in passages.to_batches(max_chunksize=_OUTPUT_ROWS):
-            _feed(winners, batch, carried, True)
+            _feed(winners, batch, carried, bucketed)
         found = winners.result(names)
         return empty if found is None else found
 
-    key = ["bucket", "_c", "_q"]
     return corpus_cells.groupBy(*key).cogroup(query_cells.groupBy(*key)).applyInArrow(cell, schema)
 
 
@@ -435,22 +433,10 @@ def topk(
     if block is not None:
         local = broadcast_topk(block, corpus, scoring, carry, bucket)
     else:
-        if bucket is not None:
-            queries = _ask_everywhere(queries, corpus, bucket)
-        local = block_join_topk(queries, corpus, scoring, carry, bucket)
+        local = block_join_topk(queries.select("qid", "embedding"), corpus, scoring, carry, bucket)
     return merge_local(local, scoring, carry, bucket)
 
 
-def _ask_everywhere(queries: DataFrame, corpus: DataFrame, bucket: str) -> DataFrame:
-    """Every query with every bucket number of the corpus; the numbers are few and counted first."""
-    numbers = corpus.select(F.col(bucket).cast("bigint").alias("bucket")).where("bucket is not null").distinct()
-    found = [row[0] for row in numbers.limit(MAX_BUCKETS + 1).collect()]
-    if len(found) > MAX_BUCKETS:
-        raise ValueError(f"more than {MAX_BUCKETS} buckets; name the probed ones in the query table")
-    every = F.array(*[F.lit(n).cast("bigint") for n in sorted(found)])
-    return queries.select("qid", "embedding", F.explode(every).alias("bucket"))
-
-
 def merge_local(local: DataFrame, scoring: Scoring, carry: Sequence[str], bucket: str | None = None) -> DataFrame:
     """Bring the per-task winners together."""
     keys = ["qid", "bucket"] if scoring.per_bucket else ["qid"]

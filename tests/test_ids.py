@@ -64,11 +64,11 @@ def test_fingerprint_is_the_sorted_json_digest(spark):
 @pytest.mark.parametrize(
     "name, parts",
     [
-        ("/r/wiki_faiss_single_10k_bench_summary.json", ("wiki", "faiss_single", "10k", 10000, 10)),
-        ("multidomain_chroma_llm_50k_bench_summary.json", ("multidomain", "chroma", "50k", 50000, 50)),
+        ("/r/wiki_flat_single_10k_bench_summary.json", ("wiki", "flat_single", "10k", 10000, 10)),
+        ("multidomain_store_llm_50k_bench_summary.json", ("multidomain", "store", "50k", 50000, 50)),
         ("wiki_spark_30k_10k_bench_summary.json", ("wiki", "spark", "30k", 30000, 30)),
         ("wiki_10k_bench_summary.json", ("wiki", "", "10k", 10000, 10)),
-        ("wiki_faiss_99k_bench_summary.json", ("wiki", None, None, None, None)),
+        ("wiki_flat_99k_bench_summary.json", ("wiki", None, None, None, None)),
     ],
 )
 def test_parse_run_name(spark, name, parts):

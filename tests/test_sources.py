@@ -34,15 +34,15 @@ def test_gold_files(spark, tmp_path):
 
 
 def test_run_summary_folder(spark, tmp_path):
-    for name, p50 in {"wiki_faiss_single_10k": 1.5, "deep/er/multidomain_chroma_llm_50k": 2.5, "wiki_odd": 9.0}.items():
+    for name, p50 in {"wiki_flat_single_10k": 1.5, "deep/er/multidomain_store_llm_50k": 2.5, "wiki_odd": 9.0}.items():
         path = tmp_path / f"{name}_bench_summary.json"
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(json.dumps({"p50_ms": p50, "qps": 4.0, "llm_p50_ms": 8.0, "environment": {"x": 1}}, indent=2))
     (tmp_path / "other.json").write_text("{}")
     rows = {(r["domain"], r["backend"], r["size"]): r for r in runs.read_run_summaries(spark, str(tmp_path)).collect()}
-    assert set(rows) == {("wiki", "faiss_single", 10000), ("multidomain", "chroma", 50000), ("wiki", None, None)}
-    assert rows[("multidomain", "chroma", 50000)]["retrieval_p50_ms"] == 2.5
-    assert rows[("wiki", "faiss_single", 10000)]["retrieval_avg_ms"] is None
+    assert set(rows) == {("wiki", "flat_single", 10000), ("multidomain", "store", 50000), ("wiki", None, None)}
+    assert rows[("multidomain", "store", 50000)]["retrieval_p50_ms"] == 2.5
+    assert rows[("wiki", "flat_single", 10000)]["retrieval_avg_ms"] is None
 
 
 HIT_ROW = ("q, \"quoted\"\nline", 1, 1, 0.5, "d", "d::c0", "wiki", "t", None, 0, "text with, comma")
