@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passel.functions.ids import hash_bucket
-from passel.session import materialise, shuffle_width
+from passel.session import materialise
 
 # Up to this many rows a slice is taken by Spark's ordered limit, which merges on the driver.
 ORDERED_LIMIT_ROWS = 10_000
@@ -32,14 +32,15 @@ def with_row_index(
 
     The rows are range-partitioned by the key, with a random last column so that equal keys spread
     over several partitions, sorted inside the partitions and stored. Rows per partition then give
-    every partition its offset; there are as many offsets as shuffle partitions, which bounds what
-    is broadcast. The stored copy keeps both passes on the same partitions after a lost executor.
+    every partition its offset; there are at most as many offsets as shuffle partitions, which
+    bounds what is broadcast. The stored copy keeps both passes on the same partitions after a lost
+    executor.
     """
     columns = df.columns
     keys = [F.col(c) for c in order_by]
     ranged = (
         df.withColumn("_salt", F.rand(17))
-        .repartitionByRange(shuffle_width(df.sparkSession), *keys, "_salt")
+        .repartitionByRange(*keys, "_salt")
         .sortWithinPartitions(*keys, "_salt")
     )
     # The identifier holds the partition number above its lower 33 bits, the row's place below.

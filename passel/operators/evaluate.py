@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passel.functions.numbers import round_report
 from passel.functions.text import normalize_label
 
 # Decimals of reported shares and qualities, the name of a missing source, and how
@@ -54,8 +55,8 @@ def recall_mrr(hits: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFram
     per_query = recall_per_query(hits, gold, queries)
     return per_query.agg(
         F.count("*").alias("n_queries"),
-        F.bround(F.avg("recall"), DECIMALS).alias("recall_at_k"),
-        F.bround(F.avg("reciprocal_rank"), DECIMALS).alias("mrr"),
+        round_report(F.avg("recall"), DECIMALS).alias("recall_at_k"),
+        round_report(F.avg("reciprocal_rank"), DECIMALS).alias("mrr"),
     )
 
 
@@ -125,7 +126,7 @@ def source_mix(hits: DataFrame, source: str = "source") -> DataFrame:
     label = F.coalesce(F.nullif(normalize_label(F.col(source)), F.lit("")), F.lit(UNKNOWN_SOURCE))
     counted = hits.groupBy(label.alias("source")).agg(F.count("*").alias("n_hits"))
     total = F.sum("n_hits").over(Window.partitionBy())
-    return counted.select("source", "n_hits", F.bround(F.col("n_hits") / total, DECIMALS).alias("share"))
+    return counted.select("source", "n_hits", round_report(F.col("n_hits") / total, DECIMALS).alias("share"))
 
 
 def source_mix_map(mix: DataFrame) -> DataFrame:

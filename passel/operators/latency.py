@@ -9,6 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from passel.functions.numbers import round_report
 from passel.functions.vectors import score_type
 from passel.session import broadcast_if_small
 
@@ -137,10 +138,10 @@ def latency_summary(
     return figures.select(
         *keys,
         n.alias("n_queries"),
-        F.bround(F.coalesce(F.try_divide(total, n), F.lit(0.0)), decimals).alias("avg_ms"),
-        *[F.bround(p, decimals).alias(p) for p in PERCENTILES],
-        F.bround(throughput(n, total), decimals).alias("qps"),
-        F.bround(total, total_decimals).alias("total_elapsed_ms"),
+        round_report(F.coalesce(F.try_divide(total, n), F.lit(0.0)), decimals).alias("avg_ms"),
+        *[round_report(F.col(p), decimals).alias(p) for p in PERCENTILES],
+        round_report(throughput(n, total), decimals).alias("qps"),
+        round_report(total, total_decimals).alias("total_elapsed_ms"),
         *tag,
     )
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passel.functions import ids, vectors
+from passel.functions.numbers import round_report
 from passel.operators.metadata import add_uid, normalize_metadata
 from passel.sources.runs import require_run_sizes
 
@@ -103,3 +104,11 @@ def test_score_type_and_similarity(spark):
     rows = spark.createDataFrame([("ip",), ("Cosine",), ("l2",)], "m string")
     assert [r[0] for r in rows.select(vectors.score_type(F.col("m"))).collect()] == ["similarity", "similarity", "distance"]
     assert one(spark, vectors.distance_to_similarity(F.lit(0.25))) == 0.75
+
+
+@pytest.mark.parametrize("decimals", [0, 1, 2, 4])
+def test_rounding_is_that_of_python(spark, decimals):
+    values = [0.00125, 35.825, 2.675, 0.5, 1.5, 2.5, 0.125, -0.00125, -2.5, 1 / 3, 1e9 + 0.5, 123456.785, 0.0, None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in rows.select(round_report(F.col("v"), decimals)).collect()]
+    assert got == [None if v is None else round(v, decimals) for v in values]
