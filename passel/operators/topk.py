@@ -73,6 +73,8 @@ class QueryBlock:
 
 def list_matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     """A list column as a double matrix."""
+    if column.null_count:
+        raise ValueError("a vector is missing")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
     width = dim if dim is not None else (int(lengths[0]) if len(lengths) else 0)
@@ -295,7 +297,7 @@ def _output_schema(corpus: DataFrame, carry: Sequence[str], per_bucket: bool) ->
 def _corpus_columns(corpus: DataFrame, carry: Sequence[str], bucket: str | None) -> DataFrame:
     """Only what the product needs travels to Python; rows without a vector cannot be found."""
     extra = [] if bucket is None else [F.col(bucket).cast("bigint").alias("bucket")]
-    chosen = corpus.select("uid", "embedding", *extra, *carry)
+    chosen = corpus.select(F.col("uid").cast("string").alias("uid"), "embedding", *extra, *carry)
     return chosen.where(F.col("uid").isNotNull() & F.col("embedding").isNotNull())
 
 

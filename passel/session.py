@@ -72,11 +72,22 @@ def materialise(df: DataFrame) -> DataFrame:
     Cuts the lineage like a reliable checkpoint: a lost executor costs a re-read. Being Parquet,
     it is also read by column, so a later pass over one key does not touch vectors or text.
     """
-    path = f"{scratch_folder(df.sparkSession)}/passel-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_folder(spark)}/passel-{spark.sparkContext.applicationId}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; results that still read them must be stored first."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Store a lookup table, count it, and mark it for broadcast when it is within the bound.
 

@@ -85,6 +85,13 @@ def test_complete_hits_fills_the_shape(spark):
     assert row == {"qid": 1, "rank": 1, "score": 0.5, "uid": "a::c0", "id": "", "source": "wiki", "title": "", "url": "", "text": "body", "chunk_id": None}
 
 
+def test_hit_log_carries_query_and_iteration(spark):
+    found = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], HITS)
+    asked = spark.createDataFrame([(1, "same text"), (2, "same text")], "qid long, query string")
+    rows = hits.hit_log(found, asked, 3).collect()
+    assert {(r["qid"], r["query"], r["iter"]) for r in rows} == {(1, "same text", 3), (2, "same text", 3)}
+
+
 def test_first_hit(spark):
     frame = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "c")], HITS)
     assert {tuple(r) for r in hits.first_hit_per_query(frame).collect()} == {(1, 1, "a"), (2, 1, "c")}

@@ -165,6 +165,18 @@ def test_wrong_dimension_fails(spark, queries):
         search(queries[1], frame, 5).collect()
 
 
+def test_query_without_vector_fails(spark, corpus):
+    asked = spark.createDataFrame([(0, None), (1, [1.0] * 8)], "qid long, embedding array<float>")
+    with pytest.raises(ValueError, match="missing"):
+        search(asked, corpus[1], 5)
+
+
+def test_numeric_uids_become_text(spark, queries):
+    frame = spark.range(20).select(F.col("id").alias("uid"), F.array(*[F.col("id").cast("float")] * 8).alias("embedding"))
+    found = by_query(search(queries[1], frame, 1))
+    assert {uid for uids in found.values() for uid in uids} <= {"0", "19"}
+
+
 def test_salted_merge_gives_the_same(spark, corpus, queries):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "100")

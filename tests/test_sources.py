@@ -186,3 +186,26 @@ def test_stages_from_raw_documents_to_answers(spark, tables, tmp_path):
     assert len(found) == 3 * asked.count() and all(r["text"] for r in found)
     context = answer_context(asked, stored, chunks, k=2, source="Web")
     assert {r["n_passages"] for r in context.collect()} == {2}
+
+
+def test_intermediate_tables_can_be_dropped(tmp_path):
+    """In a process of its own, as the tables of the other tests live in the shared session."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys, os; sys.path.insert(0, {root!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "from passel.session import materialise, drop_intermediates\n"
+        f"builder = SparkSession.builder.master('local[2]').config('spark.checkpoint.dir', {str(tmp_path)!r})\n"
+        "spark = builder.getOrCreate()\n"
+        "assert materialise(spark.range(5)).count() == 5\n"
+        f"own = os.path.join({str(tmp_path)!r}, 'passel-' + spark.sparkContext.applicationId)\n"
+        "assert os.path.isdir(own)\n"
+        "drop_intermediates(spark)\n"
+        "assert not os.path.exists(own)\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=200)
+    assert done.returncode == 0, done.stderr[-2000:]
