@@ -76,8 +76,12 @@ def shuffle_key(uid: Column, seed: int) -> Column:
 
 
 def shuffle_corpus(df: DataFrame, uid: str = "uid", seed: int = 42) -> DataFrame:
-    """Mix the domains: all rows in the order of a seeded hash."""
-    return df.orderBy(shuffle_key(F.col(uid), seed), uid)
+    """Mix the domains: all rows in the order of a seeded hash.
+
+    Rows that share a uid stand together in any order; the random last key lets the sort divide
+    very many of them.
+    """
+    return df.withColumn("_salt", F.rand(17)).orderBy(shuffle_key(F.col(uid), seed), uid, "_salt").drop("_salt")
 
 
 def shuffle_positions(df: DataFrame, uid: str = "uid", seed: int = 42, name: str = "position") -> DataFrame:

@@ -74,8 +74,8 @@ def write_hits(hits: DataFrame, path: str, form: str = "jsonl") -> None:
 
 
 def write_merged_hits(hits: DataFrame, path: str) -> None:
-    """Write merged results as CSV, ordered by query and rank."""
-    merged = hits.select(*MERGED_HIT_COLUMNS).orderBy("query", "rank")
+    """Write merged results as CSV, ordered by query and rank, then uid for repeated queries."""
+    merged = hits.select(*MERGED_HIT_COLUMNS).orderBy("query", "rank", "uid")
     merged.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
