@@ -79,17 +79,19 @@ def parse_run_name(file_name: Column, sizes: dict[str, int] = RUN_SIZES) -> Colu
     The name reads ``<domain>_<backend words>_<size>...``; the word ``llm`` is no part of the
     backend. Without a known size all but the domain is null, so a job can route such names away.
     """
-    stem = F.regexp_replace(F.element_at(F.split(file_name, "/"), -1), RUN_SUFFIX.replace(".", r"\."), "")
-    words = F.split(stem, "_")
-    labels = F.array(*[F.lit(s) for s in sizes])
-    label = F.get(F.filter(words, lambda w: F.array_contains(labels, w)), F.lit(0))
-    before = F.slice(words, F.lit(2), F.greatest(F.array_position(words, label) - 2, F.lit(0)).cast("int"))
+    stem = F.replace(F.substring_index(file_name, "/", -1), F.lit(RUN_SUFFIX), F.lit(""))
+    domain = F.substring_index(stem, "_", 1)
+    # The shortest middle part before a whole word that is a size.
+    layout = rf"^[^_]*(?:_(.*?))?_({'|'.join(sizes)})(?:_.*)?$"
+    found = F.nullif(F.regexp_extract(stem, layout, 2), F.lit(""))
+    label = F.when(domain.isin(*sizes), domain).otherwise(found)
+    middle = F.when(domain.isin(*sizes), "").otherwise(F.regexp_extract(stem, layout, 1))
+    backend = F.regexp_replace(F.concat(F.lit("_"), middle), "_llm(?=_|$)", "")
     size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), label)
     return F.struct(
-        F.element_at(words, 1).alias("domain"),
-        F.when(label.isNotNull(), F.array_join(F.array_remove(before, "llm"), "_")).alias("backend"),
+        domain.alias("domain"),
+        F.when(label.isNotNull(), F.substring(backend, 2, 1 << 30)).alias("backend"),
         label.alias("size_label"),
         size.alias("size"),
         F.floor(size / 1000).cast("int").alias("size_k"),
     )
-

@@ -12,7 +12,9 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a costly column that later filters must not evaluate again.
 
     Catalyst copies a projected expression into a filter pushed below it. It does not push filters
-    through a generator, so the one-element explode makes the value a plain attribute.
+    through a generator, so the one-element explode makes the value a plain attribute. Meant for a
+    chain of functions; an expression that repeats its parts is better projected, where Spark
+    evaluates equal parts once.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
 

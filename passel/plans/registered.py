@@ -16,7 +16,7 @@ from passel.functions import ids, text, vectors
 from passel.functions.encode import hashing_encoder
 from passel.operators import ann, corpus, evaluate, hits, latency, metadata, validate
 from passel.operators.chunk import chunk_documents
-from passel.operators.documents import clean_documents, with_computed
+from passel.operators.documents import clean_documents
 from passel.operators.search import encode_queries, search, search_many
 from passel.plans.corpus import embed_passages, passages
 from passel.plans.retrieval import run_summary
@@ -133,7 +133,9 @@ def latency_figures(log: DataFrame, keys: list[str], metric: Column | None = Non
 
 
 def run_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    return latency_figures(parsed_runs(spark, folder), ["domain", "backend", "size"])
+    """Figures per run; the four columns read twice are stored instead of parsing the log again."""
+    keys = ["domain", "backend", "size"]
+    return latency_figures(materialise(parsed_runs(spark, folder).select(*keys, "value")), keys)
 
 
 # ---------------------------------------------------------------- sources
@@ -325,8 +327,9 @@ def record_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def parse_run_name(spark: SparkSession, folder: str) -> DataFrame:
-    log = with_computed(run_log(spark, folder), "_run", ids.parse_run_name(F.col("file_name")))
-    return log.select("event_id", "file_name", "_run.*")
+    log = run_log(spark, folder)
+    parsed = log.select("event_id", "file_name", ids.parse_run_name(F.col("file_name")).alias("_run"))
+    return parsed.select("event_id", "file_name", "_run.*")
 
 
 # ---------------------------------------------------------------- corpus

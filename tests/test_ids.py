@@ -69,6 +69,11 @@ def test_fingerprint_is_the_sorted_json_digest(spark):
         ("multidomain_store_llm_50k_bench_summary.json", ("multidomain", "store", "50k", 50000, 50)),
         ("wiki_spark_30k_10k_bench_summary.json", ("wiki", "spark", "30k", 30000, 30)),
         ("wiki_10k_bench_summary.json", ("wiki", "", "10k", 10000, 10)),
+        ("wiki_llm_llm_a_llm_b_llmx_10k_x_bench_summary.json", ("wiki", "a_b_llmx", "10k", 10000, 10)),
+        ("wiki__a_30k", ("wiki", "_a", "30k", 30000, 30)),
+        ("wiki_a10k_b_110k_50k_10k", ("wiki", "a10k_b_110k", "50k", 50000, 50)),
+        ("10k_a_30k", ("10k", "", "10k", 10000, 10)),
+        ("wiki_llm_50k", ("wiki", "", "50k", 50000, 50)),
         ("wiki_flat_99k_bench_summary.json", ("wiki", None, None, None, None)),
     ],
 )
