@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passel.llm.bpe import encode_texts
 from passel.llm.line_dedup import drop_repeated_lines
+from passel.llm.packing import pack_documents
+from passel.llm.simhash import simhash_groups
 from passel.llm.tables import table
 
+VOCABULARY = "word_bpe_49k.json"
+
 QUERIES = {}
 ORACLE = {}
 
@@ -43,3 +49,26 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+
+@query
+def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+
+
+@query
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = encode_texts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
