@@ -10,6 +10,7 @@ from passel.llm.bpe import encode_texts
 from passel.llm.line_dedup import drop_repeated_lines
 from passel.llm.packing import pack_documents
 from passel.llm.simhash import simhash_groups
+from passel.llm.suffix_dedup import drop_repeated_strings
 from passel.llm.tables import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -57,6 +58,12 @@ def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = drop_repeated_strings(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))

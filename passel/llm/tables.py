@@ -53,3 +53,9 @@ def released(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that an operator wrote and has read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
