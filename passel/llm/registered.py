@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from passel.llm.line_dedup import drop_repeated_lines
 from passel.llm.packing import pack_documents
 from passel.llm.simhash import simhash_groups
 from passel.llm.suffix_dedup import drop_repeated_strings
-from passel.llm.tables import table
+from passel.llm.tables import checkpoint, delete, shared_folder, table
+from passel.llm.warc import read_archives, write_archives
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -69,6 +72,30 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+@query
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archives = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    write_archives(table(spark, folder, "pages"), archives)
+    records = read_archives(spark, archives).where("record_type <> 'gap'")
+    found = checkpoint(records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    delete(spark, archives)
+    return found
+
+
+ORACLE["op8_warc"] = """
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), originals AS (
+  SELECT payload_digest, max(page_id) AS original FROM payloads WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+  CASE WHEN o.original <> p.page_id AND p.payload_bytes >= 1000 THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN o.original <> p.page_id AND p.payload_bytes >= 1000 THEN o.original END AS refers_to
+FROM payloads p LEFT JOIN originals o ON p.payload_digest = o.payload_digest
+"""
+
+
 @query
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = encode_texts(table(spark, folder, "documents"), public_tokenizers.path(VOCABULARY))
