@@ -26,8 +26,10 @@ from passel.llm.tables import held, of_row, released
 WORD_END = "</w>"
 # Texts are encoded in slices of about so many characters, cut at white space.
 SLICE_CHARS = 1 << 20
-# Words and fragments that a worker remembers at most.
-REMEMBERED = 300_000
+# Words that a worker remembers twice over at most.
+REMEMBERED = 250_000
+# Texts whose ids are held as Python numbers at once.
+AT_ONCE = 256
 # Fragments up to this many symbols are merged by scanning, longer ones with a heap.
 SCANNED = 48
 
@@ -75,8 +77,9 @@ class FragmentEncoder:
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
         self.letters = {c: b for b, c in enumerate(letters)}
         self.joined = self._joined_pairs()
-        self.chunks: dict[str, tuple[int, ...]] = {}
-        self.fragments: dict[tuple[int, ...], tuple[int, ...]] = {}
+        # Words of late, and those before them: what is used again moves up, the rest is forgotten.
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _joined_pairs(self) -> set[int]:
         """Symbols that stand side by side inside some token; between all others a cut is certain."""
@@ -135,49 +138,48 @@ class FragmentEncoder:
                     heapq.heappush(heap, (r, left))
         return [p for p in parts if p >= 0]
 
-    def _fragment(self, fragment: tuple[int, ...]) -> tuple[int, ...]:
-        if len(fragment) > SCANNED:
-            return tuple(self._merged_by_heap(fragment))
-        ids = self.fragments.get(fragment)
+    def _word(self, symbols: list[int]) -> tuple[int, ...]:
+        """The ids of one word of letters, numbers or signs, fragment by fragment."""
+        out: list[int] = []
+        for fragment in self.split(symbols):
+            out += self._merged(fragment) if len(fragment) <= SCANNED else self._merged_by_heap(fragment)
+        return tuple(out)
+
+    def _remembered(self, word: str) -> tuple[int, ...]:
+        ids = self.words.get(word)
         if ids is None:
-            if len(self.fragments) >= REMEMBERED:
-                self.fragments.clear()
-            ids = self.fragments[fragment] = tuple(self._merged(fragment))
+            ids = self.older.get(word) or self._word(self._symbols(word.encode()))
+            if len(word) <= SCANNED:
+                if len(self.words) >= REMEMBERED:
+                    self.older, self.words = self.words, {}
+                self.words[word] = ids
         return ids
 
-    def _word(self, symbols: list[int]) -> Iterator[int]:
-        """The ids of one word of letters, numbers or signs."""
-        return chain.from_iterable(map(self._fragment, self.split(symbols)))
-
-    def _chunk(self, chunk: str) -> tuple[int, ...]:
-        """The ids of what stands between two blanks."""
-        ids = tuple(i for word in WORDS.findall(chunk) for i in self._word(self._symbols(word.encode())))
-        if len(chunk) <= SCANNED:
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
-            self.chunks[chunk] = ids
-        return ids
+    def _chunk(self, chunk: str) -> Iterable[int]:
+        """The ids of what stands between two blanks and is no known word."""
+        if chunk.isalpha():
+            return self._remembered(chunk)
+        known, remembered = self.words.get, self._remembered
+        return chain.from_iterable([known(w) or remembered(w) for w in WORDS.findall(chunk)])
 
-    def _ordinary(self, text: str) -> Iterator[Iterable[int]]:
+    def _ordinary(self, text: str) -> list[Iterable[int]]:
         """The ids of a text without special tokens, chunk by chunk."""
         if BEYOND.search(text):
-            for piece, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)):
-                yield self._word(self._symbols([self.letters[c] for c in piece]))
-            return
+            pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
+            return [self._word(self._symbols([self.letters[c] for c in piece])) for piece, _ in pieces]
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        known, chunk_ids = self.chunks.get, self._chunk
+        known, chunk_ids = self.words.get, self._chunk
         # The final sigma is no case of its own here.
-        for chunk in text.replace("\u03a3", "\u03c3").lower().split():
-            ids = known(chunk)
-            yield chunk_ids(chunk) if ids is None else ids
+        return [known(c) or chunk_ids(c) for c in text.replace("\u03a3", "\u03c3").lower().split()]
 
     def _sliced(self, text: str) -> Iterator[Iterable[int]]:
+        """The ids of a text without special tokens, a slice at a time."""
         start = 0
         while start < len(text):
             cut = SPACE.search(text, start + SLICE_CHARS)
             end = cut.start() if cut else len(text)
-            yield from self._ordinary(text[start:end])
+            yield chain.from_iterable(self._ordinary(text[start:end]))
             start = end
 
     def encode(self, text: str) -> list[int]:
@@ -215,10 +217,12 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
 
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def encoded(texts: pa.Array) -> pa.Array:
-        use = encoder(spec.value)
-        ids = [use.encode(t.as_py() or "") for t in texts]
-        decoded = [use.decode(i) for i in ids]
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["ids", "decoded"])
+        use, parts = encoder(spec.value), []
+        for start in range(0, max(1, len(texts)), AT_ONCE):
+            ids = [use.encode(t.as_py() or "") for t in texts[start : start + AT_ONCE]]
+            decoded = pa.array(map(use.decode, ids), pa.string())
+            parts.append(pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), decoded], ["ids", "decoded"]))
+        return pa.concat_arrays(parts)
 
     both = held(docs).withColumn("encoded", encoded(of_row(text_col)))
     return released(both, docs.columns, ids=F.col("encoded.ids"), decoded=F.col("encoded.decoded"))

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passel.llm.bpe import encode_texts
+from passel.llm.licenses import scan_licences, train
 from passel.llm.line_dedup import drop_repeated_lines
+from passel.llm.mtree import exact_topk
 from passel.llm.packing import pack_documents
+from passel.llm.quality import fit_classifier, score_quality
 from passel.llm.simhash import simhash_groups
+from passel.llm.srs import near_topk
 from passel.llm.suffix_dedup import drop_repeated_strings
 from passel.llm.tables import checkpoint, delete, shared_folder, table
 from passel.llm.warc import read_archives, write_archives
@@ -55,12 +59,44 @@ FROM judged GROUP BY doc_id
 """
 
 
+@query
+def op2_mtree_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return exact_topk(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+ORACLE["op2_mtree_topk"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 @query
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     groups = simhash_groups(table(spark, folder, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op4_licences(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return scan_licences(docs, train(docs))
+
+
+@query
+def op5_srs_ann(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return near_topk(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @query
 def op6_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = drop_repeated_strings(table(spark, folder, "documents"))
@@ -106,3 +142,10 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(ids, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = score_quality(docs, fit_classifier(docs, table(spark, folder, "labels")))
+    return scored.select("doc_id", "p_text", "prior", "p_good", "keep")
