@@ -14,9 +14,15 @@ RUN_SUFFIX = "_bench_summary.json"
 FINGERPRINT_CHARS = 12
 
 
-def tolerant_chunk_id(value: Column) -> Column:
-    """An integer chunk number, or null when it is missing, NaN or not a number."""
-    number = value.cast("string").try_cast("double")
+def tolerant_chunk_id(value: Column, text: bool = False) -> Column:
+    """An integer chunk number, or null when it is missing, NaN or not a number.
+
+    Numbers are cut to whole ones; a text must spell a whole number.
+    """
+    if text:
+        whole = F.regexp_extract(value, r"(?U)^[\s\x1c-\x1f]*([+-]?\d+)[\s\x1c-\x1f]*\z", 1)
+        return F.nullif(whole, F.lit("")).try_cast("int")
+    number = value.try_cast("double")
     return F.when(~F.isnan(number), number.try_cast("int"))
 
 

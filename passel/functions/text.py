@@ -21,6 +21,7 @@ TEXT_FIELDS = ("chunk_text", "text", "preview", "content")
 
 # Java's whitespace class leaves out the four ASCII separators that the cleaned text must not keep.
 _BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
+_BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 _URL_UNICODE = r"(?U)http[^\s\x1c-\x1f]+|www[^\s\x1c-\x1f]+"
 
 
@@ -39,6 +40,11 @@ def unescape_html(text: Column) -> Column:
     return F.coalesce(_decode_entities(marked), text)
 
 
+def strip(text: Column) -> Column:
+    """Without the Unicode whitespace at both ends."""
+    return F.regexp_replace(text, _BLANK_ENDS, "")
+
+
 def collapse_blanks(text: Column) -> Column:
     """Every run of Unicode whitespace becomes one space; none is left at the ends."""
     return F.trim(F.regexp_replace(text, _BLANK_RUN, " "))
@@ -101,7 +107,7 @@ def pick_text(available: Sequence[str], preference: Sequence[str] = TEXT_FIELDS)
 
 def normalize_label(value: Column) -> Column:
     """Trimmed, lower-cased string; null stays null."""
-    return F.lower(F.trim(value.cast("string")))
+    return F.lower(strip(value.cast("string")))
 
 
 def resolve_source(available: Sequence[str]) -> Column:

@@ -7,12 +7,11 @@ holds a third of the corpus is read by many tasks and merged like any other.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -38,7 +37,11 @@ MAX_CENTROID_BYTES = 64 << 20
 DEFAULT_CELLS = 16
 DEFAULT_NPROBE = 4
 DEFAULT_TABLES = 8
-TRAINING_ROWS = 1_000_000
+DEFAULT_ROUNDS = 5
+# Scores of vectors against cells that a task holds at once.
+_CELL_SCORES = 1 << 22
+# Projections are compared after rounding to this many decimals.
+_HASH_DECIMALS = 9
 # One table's hash values stay within this distance of each other in the bucket numbers.
 _TABLE_STRIDE = 1 << 40
 
@@ -57,25 +60,35 @@ def train_cells(
     corpus: DataFrame,
     n_cells: int = DEFAULT_CELLS,
     seed: int = 42,
-    max_iter: int = 20,
-    training_rows: int = TRAINING_ROWS,
+    rounds: int = DEFAULT_ROUNDS,
+    training_rows: int | None = None,
     embedding: str = "embedding",
+    uid: str = "uid",
 ) -> np.ndarray:
-    """Cell centres by spherical k-means; MLlib keeps the work distributed.
+    """Cell centres by spherical k-means over all vectors: ``rounds`` times every vector goes to its closest centre, and
+    every centre becomes the mean of its vectors. A centre without vectors stays.
 
-    The centres of a corpus beyond ``training_rows`` are learned from a random part of about that
-    size. Every vector is assigned to a cell all the same, so only the shape of the cells depends
-    on it.
+    The first centres are the vectors of the ``n_cells`` uids of smallest seeded hash, so the same corpus gives the
+    same cells however it is stored. Vectors without direction teach nothing about the cells. ``training_rows``
+    trains on that many uids of smallest hash instead of all, if a caller asks for it.
     """
     _check_cells(n_cells, 1)
-    # The cosine of a zero vector is undefined; it teaches nothing about the cells.
-    usable = F.exists(embedding, lambda x: x != 0) & ~F.exists(embedding, F.isnan)
-    points = corpus.where(usable).select(array_to_vector(F.col(embedding).cast("array<double>")).alias("features"))
-    rows = points.count()
-    if rows > training_rows:
-        points = points.sample(training_rows / rows, seed)
-    model = KMeans(k=n_cells, seed=seed, maxIter=max_iter, distanceMeasure="cosine").fit(points)
-    return np.array(model.clusterCenters())
+    usable = F.exists(embedding, lambda x: x != 0) & F.forall(embedding, lambda x: F.abs(x) < float("inf"))
+    order = F.sha1(F.concat_ws(":", F.col(uid).cast("string"), F.lit(str(seed))))
+    points = corpus.where(F.col(uid).isNotNull() & F.coalesce(usable, F.lit(False)))
+    points = points.select(order.alias("_order"), F.col(embedding).cast("array<double>").alias("embedding"))
+    if training_rows is not None:
+        points = points.orderBy("_order").limit(training_rows)
+    # As many rows as cells.
+    first = points.orderBy("_order", "embedding").limit(n_cells).select("embedding").collect()
+    if not first:
+        raise ValueError("no vector to train on")
+    centres = unit_rows(np.array([r.embedding for r in first]))
+    for _ in range(rounds):
+        means = mean_vectors(assign_cells(points, centres), "cell").collect()
+        for row in means:
+            centres[row.cell] = row.embedding
+    return centres
 
 
 def collect_centroids(centroids: DataFrame, cell: str, embedding: str = "embedding") -> np.ndarray:
@@ -94,9 +107,19 @@ def _check_cells(n_cells: int, dim: int) -> None:
 
 
 def _nearest(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    """The ``n`` closest cells of every vector by cosine, closest first, lower number on ties."""
-    scores = rounded(unit_rows(vectors) @ unit_rows(centroids).T, np.ones(1))
-    return np.argsort(-scores, axis=1, kind="stable")[:, :n]
+    """The ``n`` closest cells of every vector by cosine, closest first, lower number on ties.
+
+    Rows are taken in blocks, so that the scores of a batch stay within ``_CELL_SCORES`` numbers.
+    """
+    units, step = unit_rows(centroids).T, max(1, _CELL_SCORES // max(1, len(centroids)))
+    out = np.empty((len(vectors), min(n, len(centroids))), np.int64)
+    for start in range(0, len(vectors), step):
+        scores = rounded(unit_rows(vectors[start : start + step]) @ units, np.ones(1))
+        if n == 1:
+            out[start : start + step, 0] = scores.argmax(axis=1)
+        else:
+            out[start : start + step] = np.argsort(-scores, axis=1, kind="stable")[:, :n]
+    return out
 
 
 def nearest_cells(centroids: np.ndarray, n: int) -> Callable[[Column], Column]:
@@ -156,13 +179,14 @@ def search_cells(
 
 
 def ivf(queries: DataFrame, corpus: DataFrame, options: SearchOptions) -> DataFrame:
-    """Strategy ``ivf``. Extra options: ``centroids`` (else trained), ``n_cells``, ``seed``, ``nprobe``.
+    """Strategy ``ivf``. Extra options: ``centroids`` (else trained), ``n_cells``, ``seed``, ``rounds``, ``nprobe``.
 
     A corpus that already has a ``cell`` column from the same centres is searched as it is.
     """
     centroids = options.extra.get("centroids")
     if centroids is None:
-        centroids = train_cells(corpus, options.extra.get("n_cells", DEFAULT_CELLS), options.extra.get("seed", 42))
+        chosen = {n: options.extra[n] for n in ("n_cells", "seed", "rounds") if n in options.extra}
+        centroids = train_cells(corpus, **chosen)
         corpus = corpus.drop("cell")
     if "cell" not in corpus.columns:
         corpus = assign_cells(corpus, centroids)
@@ -171,61 +195,65 @@ def ivf(queries: DataFrame, corpus: DataFrame, options: SearchOptions) -> DataFr
     )
 
 
-def hash_model(
-    sample: DataFrame, n_tables: int = DEFAULT_TABLES, bucket_length: float = 0.5, seed: int = 42,
-    embedding: str = "embedding",
-) -> BucketedRandomProjectionLSHModel:
-    """Random projections for ``n_tables`` hash tables; they depend on the seed and dimension only."""
-    one = sample.where(F.col(embedding).isNotNull()).select(
-        array_to_vector(F.col(embedding).cast("array<double>")).alias("features")
-    )
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", numHashTables=n_tables, bucketLength=bucket_length, seed=seed
-    )
-    return lsh.fit(one.limit(1))
+def hash_directions(dim: int, n_tables: int = DEFAULT_TABLES, seed: int = 42) -> np.ndarray:
+    """One direction per hash table and component, in thousandths between -1 and 1, from the MD5 of their numbers.
 
+    They depend on nothing but the seed, so queries and corpora hashed apart have the same buckets.
+    """
 
-def hash_buckets(
-    df: DataFrame, model: BucketedRandomProjectionLSHModel, embedding: str = "embedding", name: str = "bucket"
-) -> DataFrame:
-    """One row per vector and hash table with a bucket number unique across tables."""
-    vector = array_to_vector(F.col(embedding).cast("array<double>"))
-    hashed = model.transform(df.where(F.col(embedding).isNotNull()).withColumn("features", vector))
-    per_table = hashed.select(*df.columns, F.posexplode("hashes").alias("_table", "_hash"))
-    value = F.get(vector_to_array("_hash"), F.lit(0)).cast("bigint")
-    return per_table.select(*df.columns, (F.col("_table").cast("bigint") * _TABLE_STRIDE + value).alias(name))
+    def part(t: int, i: int) -> float:
+        digits = hashlib.md5(f"{seed}:{t}:{i}".encode()).hexdigest()[:8]
+        return (int(digits, 16) % 2001 - 1000) / 1000
+
+    return np.array([[part(t, i) for i in range(dim)] for t in range(n_tables)]).reshape(n_tables, dim)
+
+
+def _bucket_numbers(vectors: np.ndarray, directions: np.ndarray, bucket_length: float) -> np.ndarray:
+    """The bucket of every vector in every table; table numbers are part of it. Rounding makes the sums repeatable."""
+    places = np.floor(np.round(vectors @ directions.T, _HASH_DECIMALS) / bucket_length)
+    usable = np.where(np.abs(places) < _TABLE_STRIDE // 2, places, 0).astype(np.int64)
+    return np.arange(len(directions), dtype=np.int64) * _TABLE_STRIDE + usable
+
+
+def hash_buckets(directions: np.ndarray, bucket_length: float) -> Callable[[Column], Column]:
+    """A column function giving the buckets of a vector, one per table, as an array."""
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def buckets(vectors: pa.Array) -> pa.Array:
+        if len(vectors) == 0:
+            return pa.array([], pa.list_(pa.int64()))
+        found = _bucket_numbers(np.nan_to_num(list_matrix(vectors, directions.shape[1])), directions, bucket_length)
+        offsets = np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found.ravel()))
+
+    return buckets
 
 
 def lsh(queries: DataFrame, corpus: DataFrame, options: SearchOptions) -> DataFrame:
     """Strategy ``lsh``. Extra options: ``n_tables``, ``bucket_length``, ``seed``.
 
-    A passage is a candidate when it shares a bucket with the query in at least one table.
+    A passage is a candidate when it shares a bucket with the query in at least one table. Every vector travels
+    once, with the buckets of its that some query probes; it is scored once for each query that it meets.
     """
-    model = hash_model(
-        corpus, options.extra.get("n_tables", DEFAULT_TABLES), options.extra.get("bucket_length", 0.5),
-        options.extra.get("seed", 42),
-    )
-    # A passage meets a query in several tables, so copies are always merged.
+    n_tables, length = options.extra.get("n_tables", DEFAULT_TABLES), options.extra.get("bucket_length", 0.5)
     scoring = Scoring(options.k, options.metric, distinct_uids=True)
     carry = options.carried()
-    filed = hash_buckets(prefiltered(corpus, options).select("uid", "embedding", *carry), model)
-    asked = hash_buckets(queries.select("qid", "embedding"), model)
     block = collect_queries(queries, **options.limits())
+    if block is not None and not len(block.qids):
+        return merge_local(broadcast_topk(block, prefiltered(corpus, options), scoring, carry), scoring, carry)
+    dim = block.vectors.shape[1] if block is not None else queries.select(F.size("embedding")).first()[0]
+    directions = hash_directions(dim, n_tables, options.extra.get("seed", 42))
+    hashed = hash_buckets(directions, length)
+    near = prefiltered(corpus, options).select("uid", "embedding", *carry).where("embedding is not null")
+    near = near.withColumn("_buckets", hashed(F.col("embedding")))
     if block is None:
-        local = block_join_topk(asked, filed, scoring, carry, "bucket")
-    else:
-        # As many rows as queries times tables, and the queries are within their bound.
-        rows = asked.select("qid", "bucket").toArrow()
-        position = {int(q): i for i, q in enumerate(block.qids)}
-        found: dict[int, list[int]] = {}
-        for qid, bucket in zip(rows["qid"].to_pylist(), rows["bucket"].to_pylist()):
-            found.setdefault(bucket, []).append(position[qid])
-        probed = QueryBlock(block.qids, block.vectors, {b: np.unique(p) for b, p in found.items()})
-        probed_buckets = corpus.sparkSession.createDataFrame([(b,) for b in found], "bucket long")
-        near = filed.join(F.broadcast(probed_buckets), "bucket", "left_semi")
-        local = broadcast_topk(probed, near, scoring, carry, "bucket")
-    return merge_local(local, scoring, carry)
-
-
-register_strategy("ivf", ivf, ["centroids", "n_cells", "seed", "nprobe"])
+        filed = near.withColumn("bucket", F.explode("_buckets")).drop("_buckets")
+        asked = queries.select("qid", "embedding", F.explode(hashed(F.col("embedding"))).alias("bucket"))
+        return merge_local(block_join_topk(asked, filed, scoring, carry, "bucket"), scoring, carry)
+    probed = _bucket_numbers(block.vectors, directions, length)
+    shared = block.with_buckets(probed)
+    return merge_local(broadcast_topk(shared, near, scoring, carry, "_buckets"), scoring, carry)
+
+
+register_strategy("ivf", ivf, ["centroids", "n_cells", "seed", "rounds", "nprobe"])
 register_strategy("lsh", lsh, ["n_tables", "bucket_length", "seed"])

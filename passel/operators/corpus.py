@@ -126,10 +126,14 @@ def domain_counts(df: DataFrame, shard: str = "shard", domain: str = "domain") -
 
 
 def shard_counts(df: DataFrame, n_shards: int, shard: str = "shard") -> DataFrame:
-    """Rows per shard; a shard without rows is listed with 0."""
-    every = df.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard"))
-    counted = df.groupBy(F.col(shard).cast("int").alias("shard")).agg(F.count("*").alias("_n"))
-    return every.join(counted, "shard", "left").select("shard", F.coalesce("_n", F.lit(0)).alias("n"))
+    """Rows per shard; a shard without rows is listed with 0.
+
+    Rows without a shard, or with one that does not exist, are counted under a null shard.
+    """
+    number = F.col(shard).cast("int")
+    rows = df.select(F.when(number.between(0, n_shards - 1), number).alias("shard"), F.lit(1).alias("_n"))
+    every = df.sparkSession.range(n_shards).select(F.col("id").cast("int").alias("shard"), F.lit(0).alias("_n"))
+    return rows.unionAll(every).groupBy("shard").agg(F.sum("_n").alias("n"))
 
 
 def shard_manifest(

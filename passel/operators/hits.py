@@ -54,22 +54,30 @@ def attach_metadata(hits: DataFrame, meta: DataFrame, columns: Sequence[str], ke
 
     The hits are the small side: stored, counted and, within the bound, broadcast, so that the
     metadata streams past them unshuffled. Copies of a passage collapse in the map-side half of the
-    aggregation; each hit gives one row. Hits without metadata are kept on request, at the price
-    of a shuffle of the metadata.
+    aggregation; each hit gives one row. Hits without metadata are kept on request: what was found is
+    joined to the stored hits, which are few, once more.
     """
     wanted = meta.select("uid", *[F.col(c).alias(f"_meta_{c}") for c in columns])
+    few = broadcast_if_small(hits)
+    joined = wanted.join(few, "uid")
     if keep_unmatched:
-        joined = hits.join(wanted, "uid", "left")
-    else:
-        joined = wanted.join(broadcast_if_small(hits), "uid")
+        # Hits can lack any value, so whole rows are compared, nulls as equal.
+        none = [F.lit(None).cast(meta.schema[c].dataType).alias(f"_meta_{c}") for c in columns]
+        joined = joined.select(*hits.columns, F.lit(0).alias("_missed"), *wanted.columns[1:]).unionAll(
+            few.select(*hits.columns, F.lit(1).alias("_missed"), *none)
+        )
+        best = F.min(F.struct("_missed", *[f"_meta_{c}" for c in columns])).alias("_meta")
+        found = joined.groupBy(*hits.columns).agg(best)
+        return found.select(*hits.columns, *[F.col(f"_meta._meta_{c}").alias(c) for c in columns])
     found = joined.groupBy(*hits.columns).agg(F.min(F.struct(*[f"_meta_{c}" for c in columns])).alias("_meta"))
     return found.select(*hits.columns, *[F.col(f"_meta._meta_{c}").alias(c) for c in columns])
 
 
 def attach_text(hits: DataFrame, chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
-    """Give every hit the text of its passage."""
+    """Give every hit the text of its passage; a hit without one has the empty text."""
     keyed = chunks.select(build_uid(F.col("id"), F.col("chunk_id")).alias("uid"), F.col(text).alias("text"))
-    return attach_metadata(hits, keyed, ["text"])
+    found = attach_metadata(hits, keyed, ["text"], keep_unmatched=True)
+    return found.withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def complete_hits(hits: DataFrame) -> DataFrame:

@@ -149,8 +149,14 @@ def latency_summary(
 def summary_pivot(
     summaries: DataFrame, value: str, backends: Sequence[str], index: Sequence[str] = ("domain", "size")
 ) -> DataFrame:
-    """One column per backend; the backends are named so that no extra job looks for them."""
-    return summaries.groupBy(*index).pivot("backend", list(backends)).agg(F.first(value, ignorenulls=True))
+    """One column per backend; the backends are named so that no extra job looks for them.
+
+    A backend that is not named fails the job.
+    """
+    unnamed = F.raise_error(F.concat(F.lit("backend not named: "), "backend")).cast("string")
+    known = F.col("backend").isNull() | F.col("backend").isin(*backends)
+    checked = summaries.withColumn("backend", F.when(known, F.col("backend")).otherwise(unnamed))
+    return checked.groupBy(*index).pivot("backend", list(backends)).agg(F.first(value, ignorenulls=True))
 
 
 def domain_gap(

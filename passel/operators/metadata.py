@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passel.functions.ids import build_uid, row_uid, tolerant_chunk_id
 from passel.functions.text import normalize_label
@@ -15,12 +16,16 @@ LABEL_FIELDS = ("domain", "source")
 TEXT_FIELDS = ("title", "url", "source_id", "id")
 
 
+def _chunk_number(df: DataFrame) -> Column:
+    return tolerant_chunk_id(F.col("chunk_id"), isinstance(df.schema["chunk_id"].dataType, T.StringType))
+
+
 def normalize_metadata(df: DataFrame) -> DataFrame:
     """Lower-cased, trimmed labels, string keys and integer chunk numbers; nulls stay null."""
     changes = {c: normalize_label(F.col(c)) for c in LABEL_FIELDS if c in df.columns}
     changes |= {c: F.col(c).cast("string") for c in TEXT_FIELDS if c in df.columns}
     if "chunk_id" in df.columns:
-        changes["chunk_id"] = tolerant_chunk_id(F.col("chunk_id"))
+        changes["chunk_id"] = _chunk_number(df)
     return df.withColumns(changes)
 
 
@@ -32,7 +37,7 @@ def add_uid(df: DataFrame, order_by: Sequence[str] = ("id",), on_duplicate: str
     if on_duplicate not in ("keep", "suffix_all"):
         raise ValueError("on_duplicate must be keep or suffix_all")
     if "chunk_id" in df.columns:
-        named = df.withColumn("uid", build_uid(F.col("id"), tolerant_chunk_id(F.col("chunk_id"))))
+        named = df.withColumn("uid", build_uid(F.col("id"), _chunk_number(df)))
     else:
         named = with_row_index(df, order_by, "_row").withColumn("uid", row_uid(F.col("id"), F.col("_row"))).drop("_row")
     if on_duplicate == "keep" or named.groupBy("uid").count().where("count > 1").isEmpty():

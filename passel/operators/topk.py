@@ -57,16 +57,24 @@ class Scoring:
 
 @dataclass
 class QueryBlock:
-    """Query vectors in memory. ``probes`` names the queries that look into a bucket; absent, all do."""
+    """Query vectors in memory. ``probes`` names the queries that look into a bucket; absent, all do.
+
+    ``hashes`` has the buckets of every query; a row with several buckets then meets the queries
+    that share one of them.
+    """
 
     qids: np.ndarray
     vectors: np.ndarray
     probes: dict[int, np.ndarray] | None = None
+    hashes: np.ndarray | None = None
     everyone: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         self.everyone = np.arange(len(self.qids))
 
+    def with_buckets(self, hashes: np.ndarray) -> QueryBlock:
+        return QueryBlock(self.qids, self.vectors, None, hashes)
+
     def probing(self, bucket: int) -> np.ndarray:
         return self.everyone if self.probes is None else self.probes.get(bucket, self.everyone[:0])
 
@@ -76,7 +84,7 @@ def list_matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
     if column.null_count:
         raise ValueError("a vector is missing")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     width = dim if dim is not None else (int(lengths[0]) if len(lengths) else 0)
     if len(lengths) and (lengths != width).any():
         raise ValueError(f"vectors of dimension {sorted(set(lengths.tolist()))} where {width} is expected")
@@ -173,18 +181,35 @@ class TaskWinners:
         self.compacted = 0
 
     def add(self, uids: pa.Array, vectors: np.ndarray, buckets: np.ndarray | None, carried: pa.Table) -> None:
+        # A row whose length is no number cannot be scored; it must not spoil the bounds of the others.
+        usable = np.isfinite(row_lengths(vectors))
+        if not usable.all():
+            rows = pa.array(np.flatnonzero(usable))
+            uids, carried, vectors = uids.take(rows), carried.take(rows), vectors[usable]
+            buckets = None if buckets is None else buckets[usable]
         if self.cosine:
             vectors = unit_rows(vectors)
         if buckets is None:
             self._add_bucket(0, self.queries.everyone, np.arange(len(uids)), uids, vectors, carried)
             return
+        if self.queries.hashes is not None:
+            near = np.flatnonzero(np.isin(buckets, self.queries.hashes).any(axis=1))
+            self._add_bucket(0, self.queries.everyone, near, uids, vectors, carried, buckets)
+            return
         for bucket in np.unique(buckets).tolist():
             asking = self.queries.probing(bucket)
             if len(asking):
                 self._add_bucket(bucket, asking, np.flatnonzero(buckets == bucket), uids, vectors, carried)
 
     def _add_bucket(
-        self, bucket: int, asking: np.ndarray, rows: np.ndarray, uids: pa.Array, vectors: np.ndarray, carried: pa.Table
+        self,
+        bucket: int,
+        asking: np.ndarray,
+        rows: np.ndarray,
+        uids: pa.Array,
+        vectors: np.ndarray,
+        carried: pa.Table,
+        hashes: np.ndarray | None = None,
     ) -> None:
         if not len(rows):
             return
@@ -210,6 +235,9 @@ class TaskWinners:
                 continue
             sizes = score_size(self.lengths[some][:, None], own[near][None, :], self.metric)
             scores = rounded(score_matrix(self.vectors[some], block[near], self.metric), sizes)
+            if hashes is not None:
+                meets = (self.queries.hashes[some][:, None, :] == hashes[rows[near]][None, :, :]).any(axis=2)
+                scores = np.where(meets, scores, -np.inf)
             uid_rank = _uid_ranks(uids.take(pa.array(rows[near])))
             floor = np.maximum(floors[some], _floor_of_block(scores, uid_rank, scoring.k, scoring.distinct_uids))
             q, v = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
@@ -267,7 +295,11 @@ class TaskWinners:
 
 def _feed(winners: TaskWinners, batch: pa.RecordBatch, carry: Sequence[str], bucketed: bool) -> None:
     dim = winners.queries.vectors.shape[1]
-    buckets = batch.column("bucket").to_numpy(zero_copy_only=False) if bucketed else None
+    buckets = None
+    if bucketed and winners.queries.hashes is not None:
+        buckets = batch.column("bucket").flatten().to_numpy().reshape(batch.num_rows, -1)
+    elif bucketed:
+        buckets = batch.column("bucket").to_numpy(zero_copy_only=False)
     uids = batch.column("uid")
     carried = pa.table({"_row": pa.array(np.arange(batch.num_rows))} | {c: batch.column(c) for c in carry})
     winners.add(uids, list_matrix(batch.column("embedding"), dim), buckets, carried)
@@ -296,7 +328,9 @@ def _output_schema(corpus: DataFrame, carry: Sequence[str], per_bucket: bool) ->
 
 def _corpus_columns(corpus: DataFrame, carry: Sequence[str], bucket: str | None) -> DataFrame:
     """Only what the product needs travels to Python; rows without a vector cannot be found."""
-    extra = [] if bucket is None else [F.col(bucket).cast("bigint").alias("bucket")]
+    several = bucket is not None and isinstance(corpus.schema[bucket].dataType, T.ArrayType)
+    kind = "array<bigint>" if several else "bigint"
+    extra = [] if bucket is None else [F.col(bucket).cast(kind).alias("bucket")]
     chosen = corpus.select(F.col("uid").cast("string").alias("uid"), "embedding", *extra, *carry)
     return chosen.where(F.col("uid").isNotNull() & F.col("embedding").isNotNull())
 
@@ -307,7 +341,7 @@ def broadcast_topk(
     """Per-task winners with the whole query block in every task; the corpus is not shuffled."""
     schema = _output_schema(corpus, carry, scoring.per_bucket)
     names = schema.names
-    shared = corpus.sparkSession.sparkContext.broadcast((block.qids, block.vectors, block.probes))
+    shared = corpus.sparkSession.sparkContext.broadcast((block.qids, block.vectors, block.probes, block.hashes))
     carried = list(carry)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,18 +373,18 @@ def block_join_topk(
     Corpus and queries are cut into blocks of bounded length; one task multiplies one corpus block
     with one query block. Queries with a ``bucket`` column meet that bucket only, and the blocks are
     cut inside the buckets; a bucket with a third of the corpus simply has more of them. Block
-    numbers follow the stored order of the rows, so copies of one passage spread too, and a
-    recomputed task sees the same blocks.
+    numbers come from a hash of the stored place of the rows, so copies of one passage spread too,
+    and a recomputed task sees the same blocks.
     """
     schema = _output_schema(corpus, carry, scoring.per_bucket)
     names = schema.names
     probing = "bucket" in queries.columns
     everywhere = F.lit(0).cast("bigint")
     left = _corpus_columns(corpus, carry, bucket).withColumn("_part", F.col("bucket") if probing else everywhere)
-    left = materialise(left.withColumn("_place", F.monotonically_increasing_id()))
+    left = materialise(left.withColumn("_place", F.xxhash64(F.monotonically_increasing_id())))
     part = F.col("bucket").cast("bigint") if probing else everywhere
     right = queries.select("qid", F.col("embedding").alias("_vector"), part.alias("_part"))
-    right = materialise(right.withColumn("_place", F.monotonically_increasing_id()))
+    right = materialise(right.withColumn("_place", F.xxhash64(F.monotonically_increasing_id())))
     grid = broadcast_if_small(
         left.groupBy("_part")
         .agg(F.ceil(F.count("*") / corpus_block).alias("_corpus_blocks"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passel.functions.text import strip
 from passel.functions.vectors import UNIT_TOLERANCE, norm
 
 
@@ -29,8 +30,11 @@ def check_alignment(meta: DataFrame, vectors: DataFrame, key: str = "uid") -> Da
 
 
 def check_shards(counts: DataFrame, n_total: int) -> DataFrame:
-    """Do the shard sizes add up to the corpus, and is any shard empty?"""
-    return counts.agg(
+    """Do the shard sizes add up to the corpus, and is any shard empty?
+
+    Rows under a null shard belong to none and make the corpus incomplete.
+    """
+    return counts.where("shard is not null").agg(
         F.count("*").alias("n_shards"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
         F.count_if(F.col("n") == 0).alias("empty_shards"),
@@ -104,7 +108,7 @@ def uid_uniqueness(df: DataFrame, shard: str = "shard", uid: str = "uid") -> Dat
 
 def check_queries(queries: DataFrame, dim: int | None = None, text: str = "query", embedding: str = "embedding") -> DataFrame:
     """The rejected queries with a reason; an empty result means all can be searched."""
-    reason = F.when(F.col(text).isNull() | (F.trim(text) == ""), "blank text")
+    reason = F.when(F.col(text).isNull() | (strip(F.col(text)) == ""), "blank text")
     if dim is not None:
         vector = F.col(embedding)
         reason = reason.when(vector.isNull(), "no vector").when(F.size(vector) != dim, "wrong dimension")

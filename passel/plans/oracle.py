@@ -6,6 +6,14 @@ ORACLE: dict[str, str] = {}
 
 # ---------------------------------------------------------------- shared parts
 
+# Unicode whitespace and the ASCII separators at both ends.
+_BLANK = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def stripped(text: str) -> str:
+    return f"regexp_replace({text}, '^{_BLANK}|{_BLANK}$', '', 'g')"
+
+
 CLEANED = r"""
 cleaned AS (
   SELECT CAST(doc_id AS VARCHAR) AS id, source AS domain, CAST(doc_id AS VARCHAR) AS source_id,
@@ -48,7 +56,7 @@ def encoded(name: str, source: str, key: str, text: str) -> str:
 VECTORS = """
 corpus AS (
   SELECT vec_id, label, CAST(vec_id AS VARCHAR) AS id, CAST(vec_id AS VARCHAR) || '::c-1' AS uid,
-         'Source' || label AS source, CAST(embedding AS DOUBLE[]) AS v
+         'Source' || label || chr(9) AS source, CAST(embedding AS DOUBLE[]) AS v
   FROM embeddings
 ),
 cells AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM corpus),
@@ -86,11 +94,14 @@ EXACT = VECTORS + "," + scored() + "," + ranked("hits", "scored", 10)
 
 # ---------------------------------------------------------------- sources
 
-ORACLE["query_set_load"] = """
+ORACLE["query_set_load"] = f"""
 SELECT item_id, line_no, query FROM (
-  SELECT item_id, CAST(i - 1 AS INTEGER) AS line_no, trim(parts[i]) AS query
+  SELECT item_id, CAST(i - 1 AS INTEGER) AS line_no, {stripped("parts[i]")} AS query
   FROM (SELECT item_id, parts, unnest(range(1, len(parts) + 1)) AS i
-        FROM (SELECT item_id, string_split(text, chr(10)) AS parts FROM benchmark))
+        FROM (SELECT item_id, string_split(replace(replace(
+                text || chr(13) || chr(10) || chr(9) || chr(10) || chr(160) || 'last line ' || chr(160) || chr(13) || chr(11)
+                     || chr(13) || chr(10) || ' ' || chr(31),
+                chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS parts FROM benchmark))
 ) WHERE length(query) > 0
 """
 
@@ -192,7 +203,7 @@ FROM documents
 
 ORACLE["normalize_metadata"] = """
 SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 4 <> 3 THEN lower(source) END AS domain,
-       CAST(n_chars AS VARCHAR) AS source_id, CASE WHEN doc_id % 4 = 0 THEN CAST(n_chars AS INTEGER) END AS chunk_id
+       CAST(n_chars AS VARCHAR) AS source_id, CASE WHEN doc_id % 4 IN (0, 2) THEN CAST(n_chars AS INTEGER) END AS chunk_id
 FROM documents
 """
 
@@ -270,8 +281,10 @@ SELECT shard, domain, count(*) AS n FROM (
 """
 
 ORACLE["shard_counts"] = """
-SELECT CAST(s AS INTEGER) AS shard, count(label) AS n
-FROM (SELECT unnest(range(0, 16)) AS s) LEFT JOIN embeddings ON label = s GROUP BY s
+WITH placed AS (SELECT CASE WHEN label NOT IN (2, 4) THEN label END AS shard FROM embeddings)
+SELECT CAST(s AS INTEGER) AS shard, count(shard) AS n
+FROM (SELECT unnest(range(0, 16)) AS s) LEFT JOIN placed ON shard = s GROUP BY s
+UNION ALL SELECT NULL, count(*) FROM placed WHERE shard IS NULL
 """
 
 ORACLE["shard_manifest"] = f"""
@@ -311,7 +324,7 @@ WITH {VECTORS}, {scored("round(-power(list_distance(q, v), 2), 11)")}, {ranked("
 SELECT {HITS} FROM hits
 """
 
-IS_WANTED = "lower(trim(source)) = 'source3'"
+IS_WANTED = f"lower({stripped('source')}) = 'source3'"
 
 ORACLE["topk_filter_pre"] = f"""
 WITH {VECTORS}, {scored()}, {ranked("hits", "scored", 10, IS_WANTED)} SELECT {HITS} FROM hits
@@ -381,6 +394,85 @@ def cell_search(nprobe: int, name: str = "near") -> str:
 
 ORACLE["topk_ivf"] = f"WITH {VECTORS}, {cell_search(3)} SELECT {HITS} FROM near"
 
+def trained_cells(n_cells: int, rounds: int, seed: int = 42) -> str:
+    """The centres ``(cell, c)`` after some rounds of spherical k-means from the first vectors in hash order."""
+    parts = [f"""
+cells0 AS (
+  SELECT place AS cell, v AS c FROM (
+    SELECT v, row_number() OVER (ORDER BY sha1(uid || ':{seed}'), v) - 1 AS place FROM corpus
+  ) WHERE place < {n_cells}
+)"""]
+    for r in range(rounds):
+        parts.append(f"""
+placed{r} AS (
+  SELECT * FROM (
+    SELECT corpus.*, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, c), 11) DESC, cell) AS place
+    FROM corpus CROSS JOIN cells{r}
+  ) WHERE place = 1
+),
+spread{r} AS (SELECT cell, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM placed{r}),
+summed{r} AS (SELECT cell, i, avg(x) AS m FROM spread{r} GROUP BY ALL),
+cells{r + 1} AS (
+  SELECT cells{r}.cell, coalesce(n.c, cells{r}.c) AS c
+  FROM cells{r} LEFT JOIN (SELECT cell, list(m ORDER BY i) AS c FROM summed{r} GROUP BY cell) n ON n.cell = cells{r}.cell
+)""")
+    return ",".join(parts)
+
+
+ORACLE["topk_ivf_trained"] = f"""
+WITH {VECTORS}, {trained_cells(16, 2)},
+assigned AS (
+  SELECT * FROM (
+    SELECT corpus.*, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, c), 11) DESC, cell) AS place
+    FROM corpus CROSS JOIN cells2
+  ) WHERE place = 1
+),
+probes AS (
+  SELECT * FROM (
+    SELECT qid, q, cell, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(q, c), 11) DESC, cell) AS place
+    FROM queries CROSS JOIN cells2
+  ) WHERE place <= 4
+),
+near_scored AS (SELECT qid, {IP} AS score, a.uid FROM probes p JOIN assigned a ON p.cell = a.cell),
+{ranked("hits", "near_scored", 10)}
+SELECT {HITS} FROM hits
+"""
+
+HASHED = """
+directions AS (
+  SELECT t, i, (CAST('0x' || substr(md5('42:' || t || ':' || (i - 1)), 1, 8) AS BIGINT) % 2001 - 1000) / CAST(1000 AS DOUBLE) AS a
+  FROM (SELECT unnest(range(0, 8)) AS t) CROSS JOIN (SELECT unnest(range(1, 65)) AS i)
+),
+filed AS (
+  SELECT vec_id, t, floor(round(sum(x * a), 9) / 0.5) AS h
+  FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM corpus) JOIN directions USING (i) GROUP BY ALL
+),
+asked AS (
+  SELECT qid, t, floor(round(sum(x * a), 9) / 0.5) AS h
+  FROM (SELECT qid, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM queries) JOIN directions USING (i) GROUP BY ALL
+),
+met AS (SELECT DISTINCT qid, vec_id FROM asked JOIN filed USING (t, h))"""
+
+ORACLE["topk_lsh"] = f"""
+WITH {VECTORS}, {HASHED},
+near_scored AS (
+  SELECT qid, {IP} AS score, c.uid FROM met JOIN queries USING (qid) JOIN corpus c USING (vec_id)
+), {ranked("hits", "near_scored", 10)}
+SELECT {HITS} FROM hits
+"""
+
+ORACLE["topk_nonfinite"] = f"""
+WITH {VECTORS},
+scored AS (
+  SELECT qid, uid, {IP} AS score, round(list_cosine_similarity(q, v), 11) AS cosine FROM queries CROSS JOIN corpus WHERE vec_id % 7 > 2
+),
+by_ip AS (SELECT qid, uid, score FROM scored), by_cosine AS (SELECT qid, uid, cosine AS score FROM scored),
+{ranked("hits", "by_ip", 10)}, {ranked("near", "by_cosine", 10)}
+SELECT {HITS}, 'exact' AS how FROM near
+UNION ALL SELECT {HITS}, 'sharded' FROM hits
+UNION ALL SELECT {HITS}, 'fanout' FROM hits
+"""
+
 ORACLE["search_text"] = rf"""
 WITH {CHUNKS},
 asked AS (SELECT item_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS query FROM benchmark),
@@ -409,6 +501,68 @@ string_agg(chunk_text, chr(10) || chr(10) ORDER BY rank) AS context {TEXT_JOIN}
 
 ORACLE["first_hit_per_query"] = f"WITH {EXACT} SELECT {HITS}, source FROM hits WHERE rank = 1"
 
+ORACLE["topk_ivf_stored"] = ORACLE["topk_ivf"]
+
+ORACLE["search_single"] = f"""
+WITH {CHUNKS},
+asked AS (SELECT 0 AS item_id, 'The of and that' AS query),
+{encoded("passage", "chunks", "id || '::c' || chunk_id", "chunk_text")},
+{encoded("question", "asked", "item_id", "query")},
+scored AS (
+  SELECT CAST(q.key AS BIGINT) AS qid, p.key AS uid, round(sum(q.x * p.x), 11) AS score
+  FROM question q JOIN passage p USING (b) GROUP BY ALL
+), {ranked("hits", "scored", 10)}
+SELECT {HITS} FROM hits
+"""
+
+ORACLE["search_full"] = f"""
+{TEXT_HITS} SELECT {HITS}, id, lower(domain) AS source, title, '' AS url,
+  CASE WHEN chunk_id <> 1 THEN chunk_text ELSE '' END AS text, chunk_id
+FROM hits JOIN (SELECT id || '::c' || chunk_id AS uid, * FROM chunks) USING (uid)
+"""
+
+ORACLE["guarded_search"] = ORACLE["topk_exact_ip"]
+
+ORACLE["store_similarity"] = f"""
+WITH {VECTORS}, {scored("round(-power(list_distance(q, v), 2), 11)")}, {ranked("hits", "scored", 10)}
+SELECT qid, rank, uid, round(1 + score, 6) AS similarity FROM hits
+"""
+
+ORACLE["model_encode"] = """
+SELECT doc_id, length(text) AS chars, length(text) - length(replace(text, ' ', '')) AS blanks FROM documents
+"""
+
+# ---------------------------------------------------------------- files
+
+ORACLE["sharded_round_trip"] = f"""
+WITH {VECTORS} SELECT {SHARD} AS shard, count(*) AS n FROM corpus GROUP BY 1
+"""
+
+ORACLE["hit_log_round_trip"] = f"""
+WITH {EXACT}, logged AS (
+  SELECT 'label, "' || qid || '"' AS query, rank, uid, lower(trim(source, chr(9))) AS source, round(score, 6) AS score FROM hits
+)
+SELECT form, logged.* FROM (SELECT unnest(['jsonl', 'csv', 'merged']) AS form) CROSS JOIN logged
+"""
+
+ORACLE["run_summary_round_trip"] = """
+SELECT event_type AS backend, count(value) AS n_queries, round(avg(value), 6) AS avg_ms,
+       round(quantile_cont(value, 0.5), 6) AS p50_ms, '20240110-000000-abc' AS run_id
+FROM events WHERE event_type <> 'view' GROUP BY event_type
+"""
+
+ORACLE["gold_recall"] = f"""
+WITH {EXACT},
+gold AS (SELECT CAST(label AS BIGINT) AS qid, uid FROM corpus WHERE vec_id % 3 = 0),
+judged AS (
+  SELECT g.qid, count(*) AS n_gold, count(h.uid) AS n_found, min(h.rank) AS first_place
+  FROM gold g LEFT JOIN hits h ON h.qid = g.qid AND h.uid = g.uid GROUP BY g.qid
+)
+SELECT count(*) AS n_queries, round_even(avg(n_found / greatest(n_gold, 1)), 4) AS recall_at_k,
+       round_even(avg(coalesce(1.0 / first_place, 0)), 4) AS mrr
+FROM judged
+"""
+
 # ---------------------------------------------------------------- evaluation
 
 
@@ -472,7 +626,7 @@ WITH {EXACT} SELECT qid, count(*) AS n_hits, count(DISTINCT source) AS n_sources
 
 ORACLE["source_mix"] = f"""
 WITH {EXACT}
-SELECT CASE WHEN source = 'Source7' THEN 'unknown' ELSE lower(source) END AS source, count(*) AS n_hits,
+SELECT CASE WHEN source = 'Source7' || chr(9) THEN 'unknown' ELSE lower(trim(source, chr(9))) END AS source, count(*) AS n_hits,
        round_even(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 4) AS share
 FROM hits GROUP BY 1
 """
@@ -536,8 +690,8 @@ WITH {EXACT}, {cell_search(2)},
 judged AS ({judged(2).split("judged AS (", 1)[1]},
 mixed AS (
   SELECT string_agg(entry, ',' ORDER BY entry) AS source_mix FROM (
-    SELECT lower(source) || '=' || printf('%.4f', round_even(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 4)) AS entry
-    FROM near GROUP BY lower(source)
+    SELECT lower(trim(source, chr(9))) || '=' || printf('%.4f', round_even(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 4)) AS entry
+    FROM near GROUP BY lower(trim(source, chr(9)))
   )
 ),
 figures AS ({summary("(SELECT 0 AS run, value FROM events)", "run")})
@@ -572,7 +726,7 @@ FROM embeddings
 
 ORACLE["check_queries"] = """
 SELECT qid, query, reason FROM (
-  SELECT item_id AS qid, CASE WHEN i = 2 THEN '  ' ELSE parts[i] END AS query,
+  SELECT item_id AS qid, CASE WHEN i = 2 THEN ' ' || chr(9) || chr(160) ELSE parts[i] END AS query,
          CASE WHEN i = 2 OR trim(parts[i]) = '' THEN 'blank text' WHEN item_id % 3 = 0 THEN 'wrong dimension' END AS reason
   FROM (SELECT item_id, parts, unnest(range(1, len(parts) + 1)) AS i
         FROM (SELECT item_id, string_split(text, chr(10)) AS parts FROM benchmark))

@@ -9,29 +9,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passel.functions import ids, text, vectors
-from passel.functions.encode import hashing_encoder
+from passel.functions.encode import DEFAULT_MODEL, hashing_encoder, model_encoder
 from passel.operators import ann, corpus, evaluate, hits, latency, metadata, validate
 from passel.operators.chunk import chunk_documents
 from passel.operators.documents import clean_documents
-from passel.operators.search import encode_queries, search, search_many
+from passel.operators.search import encode_queries, search, search_many, search_one
 from passel.plans.corpus import embed_passages, passages
 from passel.plans.retrieval import run_summary
-from passel.session import broadcast_if_small, materialise, spread
+from passel.session import broadcast_if_small, checkpoint, materialise, scratch_path, spread
 from passel.sources import documents as raw
 from passel.sources import runs
-from passel.sources.queries import query_lines
+from passel.sources.corpus import discover_shards, read_stage, write_shards, write_stage
+from passel.sources.queries import key_gold, query_lines, read_gold_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 K = 10
 N_SHARDS = 8
-WANTED_SOURCE = " Source3 "
+WANTED_SOURCE = "\tSource3\u00a0"
 DIGITS = 6
+TRAINING_ROUNDS = 2
 BACKENDS = ("click", "error", "purchase", "signup", "view")
+SINGLE_QUERY = "The of and that"
 SINGLE, MULTI = "wiki", "multidomain"
 
 QUERIES: dict[str, Query] = {}
@@ -74,7 +78,7 @@ def vector_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return vectors_table.select(
         key.alias("id"),
         ids.build_uid(key, F.lit(None)).alias("uid"),
-        F.concat(F.lit("Source"), F.col("label").cast("string")).alias("source"),
+        F.concat(F.lit("Source"), F.col("label").cast("string"), F.lit("\t")).alias("source"),
         "label",
         "embedding",
     )
@@ -143,7 +147,9 @@ def run_summaries(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def query_set_load(spark: SparkSession, folder: str) -> DataFrame:
-    return query_lines(table(spark, folder, "benchmark"), F.col("text"), "item_id")
+    """Lines with every kind of line end and of blank around them."""
+    odd = F.concat("text", F.lit("\r\n\t\n\u00a0last line \u00a0\r\x0b\r\n \x1f"))
+    return query_lines(table(spark, folder, "benchmark").select("item_id", odd.alias("text")), F.col("text"), "item_id")
 
 
 @registered
@@ -259,8 +265,8 @@ def pick_text(spark: SparkSession, folder: str) -> DataFrame:
         F.when(kind == 0, F.col("text")).when(kind == 1, "").alias("chunk_text"),
         F.when(kind == 1, F.concat(F.lit(" "), "lang")).alias("text"),
         F.when(kind == 2, F.col("source")).otherwise("").alias("preview"),
-        F.when(kind < 2, F.upper("source")).when(kind == 2, "").alias("domain"),
-        F.concat(F.lit(" "), "lang", F.lit(" ")).alias("source"),
+        F.when(kind < 2, F.concat(F.lit("\t"), F.upper("source"), F.lit("\u00a0"))).when(kind == 2, "").alias("domain"),
+        F.concat(F.lit("\r\n"), "lang", F.lit(" \t")).alias("source"),
     )
     have = docs.columns
     return docs.select("doc_id", text.pick_text(have).alias("picked"), text.resolve_source(have).alias("resolved"))
@@ -271,11 +277,12 @@ def normalize_metadata(spark: SparkSession, folder: str) -> DataFrame:
     kind = F.pmod("doc_id", F.lit(4))
     docs = table(spark, folder, "documents").select(
         F.col("doc_id").alias("id"),
-        F.when(kind != 3, F.concat(F.lit("  "), F.upper("source"), F.lit(" "))).alias("domain"),
+        F.when(kind != 3, F.concat(F.lit(" \t"), F.upper("source"), F.lit("\u00a0\n"))).alias("domain"),
         F.col("n_chars").alias("source_id"),
         F.when(kind == 0, F.col("n_chars").cast("string"))
         .when(kind == 1, "NaN")
-        .when(kind == 2, "not a number")
+        .when(kind == 2, F.concat(F.lit("\t"), F.col("n_chars").cast("string"), F.lit("\n")))
+        .otherwise("1.7")
         .alias("chunk_id"),
     )
     return metadata.normalize_metadata(docs)
@@ -384,8 +391,10 @@ def domain_counts_by_shard(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def shard_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Shards by label; the upper ones are empty and still listed."""
-    rows = vector_corpus(spark, folder).select(F.col("label").alias("shard"))
+    """Shards by label; the upper ones are empty and still listed, rows without a valid one too."""
+    label = F.col("label")
+    shard = F.when(label == 2, F.lit(99)).when(label != 4, label)
+    rows = vector_corpus(spark, folder).select(shard.alias("shard"))
     return corpus.shard_counts(rows, 16)
 
 
@@ -502,7 +511,37 @@ def topk_ivf_all_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def topk_ivf_trained(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded_hits(vector_search(spark, folder, strategy="ivf", n_cells=16, nprobe=4))
+    """Cells trained from a seeded start, four of them probed."""
+    return rounded_hits(vector_search(spark, folder, strategy="ivf", n_cells=16, nprobe=4, rounds=TRAINING_ROUNDS))
+
+
+@registered
+def topk_nonfinite(spark: SparkSession, folder: str) -> DataFrame:
+    """A corpus with null, infinite and undefined vectors between the others, in one partition; the rest is found."""
+    spoilt = F.when(F.col("vec_id") % 7 == 0, F.lit(float("nan"))).when(F.col("vec_id") % 7 == 1, F.lit(float("inf")))
+    bad = F.array_prepend(F.slice("embedding", 2, 1 << 30), spoilt.cast("float"))
+    rows = table(spark, folder, "embeddings")
+    vector = F.when(F.col("vec_id") % 7 < 2, bad).when(F.col("vec_id") % 7 > 2, F.col("embedding"))
+    key = F.col("vec_id").cast("string")
+    searched = rows.select(ids.build_uid(key, F.lit(None)).alias("uid"), key.alias("id"), vector.alias("embedding")).coalesce(1)
+    asked = label_queries(spark, folder)
+    found = [
+        search(asked, searched, K, metric="cosine").withColumn("how", F.lit("exact")),
+        search(asked, corpus.hash_shards(searched, N_SHARDS), K, strategy="sharded").drop("shard").withColumn("how", F.lit("sharded")),
+        search(asked, corpus.hash_shards(searched, N_SHARDS), K, strategy="fanout").drop("shard").withColumn("how", F.lit("fanout")),
+    ]
+    return rounded_hits(found[0].unionByName(found[1]).unionByName(found[2]), "how")
+
+
+@registered
+def topk_ivf_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus stored by cell; a search then reads the folders of the probed cells only."""
+    asked = stored_queries(spark, folder)
+    centres = ann.collect_centroids(asked, "qid")
+    with scratch_path(spark) as path:
+        write_stage(ann.assign_cells(vector_corpus(spark, folder), centres), path, ["cell"])
+        found = search(asked, read_stage(spark, path), K, strategy="ivf", centroids=centres, nprobe=3)
+        return checkpoint(rounded_hits(found))
 
 
 @registered
@@ -549,6 +588,123 @@ def first_hit_per_query(spark: SparkSession, folder: str) -> DataFrame:
     return rounded_hits(first, "source")
 
 
+@registered
+def search_single(spark: SparkSession, folder: str) -> DataFrame:
+    """One text against all passages."""
+    searchable = embed_passages(text_passages(spark, folder))
+    return rounded_hits(search_one(SINGLE_QUERY, hashing_encoder(), searchable, k=K))
+
+
+@registered
+def search_full(spark: SparkSession, folder: str) -> DataFrame:
+    """The full result record: fields and text of the passages beside their scores."""
+    chunks = materialise(text_passages(spark, folder))
+    found = search_many(text_queries(spark, folder), hashing_encoder(), embed_passages(chunks), k=K)
+    keyed = chunks.withColumn("uid", ids.build_uid(F.col("id"), F.col("chunk_id")))
+    # Passages without a text stand for a store that lost them.
+    lost = F.when(F.col("chunk_id") != 1, F.col("chunk_text"))
+    fields = ["id", "domain", "title", "url", "chunk_text", "chunk_id"]
+    completed = hits.complete_hits(hits.attach_metadata(found, keyed.withColumn("chunk_text", lost), fields))
+    return rounded_hits(completed, "id", "source", "title", "url", "text", "chunk_id")
+
+
+@registered
+def guarded_search(spark: SparkSession, folder: str) -> DataFrame:
+    """A search behind the checks on row count, encoder, vector lengths and queries."""
+    model = F.lit(DEFAULT_MODEL).alias("model_name")
+    rows = vector_corpus(spark, folder).select("uid", "embedding", model)
+    recorded = table(spark, folder, "embeddings").count()
+    checked = validate.require_unit_vectors(validate.require_encoder(validate.require_count(rows, recorded), DEFAULT_MODEL))
+    asked = label_queries(spark, folder).withColumn("query", F.concat(F.lit("label "), "qid"))
+    return rounded_hits(search(validate.require_valid_queries(asked, 64), checked, K))
+
+
+@registered
+def store_similarity(spark: SparkSession, folder: str) -> DataFrame:
+    """Squared distances as a store reports them, turned into similarities."""
+    found = vector_search(spark, folder, metric="l2").withColumn("distance", -F.col("score"))
+    similarity = F.round(vectors.distance_to_similarity(F.col("distance")), DIGITS)
+    return found.select("qid", "rank", "uid", similarity.alias("similarity"))
+
+
+def _letter_counts():
+    """A model that counts: characters and blanks of a text."""
+
+    def predict(texts):
+        return np.array([[len(t), t.count(" ")] for t in texts], dtype=np.float32)
+
+    return predict
+
+
+@registered
+def model_encode(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", model_encoder(_letter_counts)(F.col("text")).alias("_v"))
+    return docs.select("doc_id", *[F.get("_v", F.lit(i)).cast("bigint").alias(n) for i, n in enumerate(("chars", "blanks"))])
+
+
+# ---------------------------------------------------------------- files
+
+
+@registered
+def sharded_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """A corpus written by shard, its shards discovered in the folder."""
+    with scratch_path(spark) as path:
+        write_shards(sharded_corpus(spark, folder), path)
+        return checkpoint(discover_shards(spark, path))
+
+
+def logged_hits(spark: SparkSession, folder: str) -> DataFrame:
+    asked = label_queries(spark, folder).withColumn("query", F.concat(F.lit("label, \""), F.col("qid").cast("string"), F.lit("\"")))
+    found = hits.complete_hits(vector_search(spark, folder, carry=["id", "source"]))
+    return hits.hit_log(found, asked, 1)
+
+
+@registered
+def hit_log_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits logged as JSON lines and as CSV, and merged in order, then read again."""
+    log = materialise(logged_hits(spark, folder))
+    columns = ["query", "rank", "uid", "source"]
+    read = []
+    with scratch_path(spark) as path:
+        for form in ("jsonl", "csv"):
+            runs.write_hits(log, f"{path}/{form}", form)
+            read.append(runs.read_hits(spark, f"{path}/{form}", form).withColumn("form", F.lit(form)))
+        runs.write_merged_hits(log, f"{path}/merged")
+        merged = runs.read_hits(spark, f"{path}/merged", "csv")
+        read.append(merged.withColumn("form", F.lit("merged")))
+        score = F.round(F.col("score").cast("double"), DIGITS).alias("score")
+        stacked = [r.select("form", *columns, score) for r in read]
+        both = stacked[0].unionByName(stacked[1]).unionByName(stacked[2])
+        return checkpoint(both.withColumn("rank", F.col("rank").cast("int")))
+
+
+@registered
+def run_summary_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs appended under their start times; the later one is read back."""
+    figures = latency_figures(table(spark, folder, "events"), ["event_type"]).withColumnRenamed("event_type", "backend")
+    with scratch_path(spark) as path:
+        for started, keep in (("2024-01-02 03:04:05", F.lit(True)), ("2024-01-10 00:00:00", F.col("backend") != "view")):
+            run = figures.where(keep).withColumn("index_key", F.lit("vectors"))
+            run = run.withColumn("run_id", runs.run_id(F.lit(started).cast("timestamp"), F.lit("abc")))
+            runs.append_summary(run, path)
+        latest = runs.read_latest_run(spark, path, "vectors")
+        return checkpoint(latest.select("backend", "n_queries", "avg_ms", "p50_ms", F.col("run_id").cast("string").alias("run_id")))
+
+
+@registered
+def gold_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Gold lists written as JSON lines, read, keyed by query and compared with the hits."""
+    rows = vector_corpus(spark, folder)
+    query = F.concat(F.lit("label "), F.col("label").cast("string"))
+    some = rows.where("cast(id as bigint) % 3 = 0")
+    gold = some.select(F.to_json(F.create_map(query, F.array("uid"))).alias("value"))
+    asked = label_queries(spark, folder).withColumn("query", F.concat(F.lit("label "), F.col("qid").cast("string")))
+    with scratch_path(spark) as path:
+        gold.write.text(path)
+        keyed = key_gold(read_gold_lines(spark, path), asked)
+        return checkpoint(evaluate.recall_mrr(vector_search(spark, folder), keyed, asked))
+
+
 # ---------------------------------------------------------------- evaluation
 
 
@@ -601,7 +757,7 @@ def hit_coverage(spark: SparkSession, folder: str) -> DataFrame:
 @registered
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     found = vector_search(spark, folder, carry=["source"])
-    nameless = F.when(F.col("source") != "Source7", F.col("source"))
+    nameless = F.when(F.col("source") != "Source7\t", F.col("source"))
     return evaluate.source_mix(found.withColumn("source", nameless))
 
 
@@ -688,7 +844,7 @@ def check_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def check_queries(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "benchmark")
     lines = items.select(F.col("item_id").alias("qid"), F.posexplode(F.split("text", "\n")).alias("line_no", "query"))
-    blanked = F.when(F.col("line_no") == 1, F.lit("  ")).otherwise(F.col("query"))
+    blanked = F.when(F.col("line_no") == 1, F.lit(" \t\u00a0")).otherwise(F.col("query"))
     encoded = encode_queries(lines.select("qid", blanked.alias("query")), hashing_encoder(32))
     short = F.when(F.pmod("qid", F.lit(3)) == 0, F.slice("embedding", 1, 16)).otherwise(F.col("embedding"))
     return validate.check_queries(encoded.withColumn("embedding", short), 32)

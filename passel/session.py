@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 MERGE_SALT_FROM = 64
 # Lookup tables up to this many narrow rows are broadcast.
 BROADCAST_ROWS = 200_000
+# Inputs up to this size are dealt out to all cores before work that is heavy for each row.
+SPREAD_BYTES = 1 << 30
 
 
 def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -77,15 +81,36 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Store a result in the checkpoint folder, so that the files it was read from can go."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(scratch_folder(df.sparkSession))
+    return df.checkpoint()
+
+
+@contextmanager
+def scratch_path(spark: SparkSession) -> Iterator[str]:
+    """A path in the shared folder that is deleted at the end of the block."""
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _own_folder(spark: SparkSession) -> str:
     return f"{scratch_folder(spark)}/passel-{spark.sparkContext.applicationId}"
 
 
 def drop_intermediates(spark: SparkSession) -> None:
     """Delete this application's intermediate tables; results that still read them must be stored first."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _own_folder(spark))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -101,11 +126,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy row work on an input of few scan splits.
 
-    Only an input below one full split per core is redistributed. A large one has splits enough,
-    and shuffling its raw text would cost more than the work itself.
+    Only an input below one full split per core, and of at most ``SPREAD_BYTES`` whatever the cluster, is
+    redistributed. A large one has splits enough, and shuffling its raw text would cost more than the
+    work itself.
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores) if estimate < cores * split_bytes else df
+    return df.repartition(cores) if estimate < min(cores * split_bytes, SPREAD_BYTES) else df

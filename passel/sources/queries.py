@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passel.functions.text import strip
+
+LINE_END = "\r\n|\r|\n"
+
 
 def query_lines(texts: DataFrame, text: Column, *keys: str) -> DataFrame:
-    """The non-blank trimmed lines of a text column with their line numbers."""
-    lines = texts.select(*keys, F.posexplode(F.split(text, "\n")).alias("line_no", "_line"))
-    return lines.select(*keys, "line_no", F.trim("_line").alias("query")).where(F.length("query") > 0)
+    """The non-blank lines of a text column without outer whitespace, with their line numbers.
+
+    A line ends at a line feed, a carriage return or both.
+    """
+    lines = texts.select(*keys, F.posexplode(F.split(text, LINE_END)).alias("line_no", "_line"))
+    return lines.select(*keys, "line_no", strip(F.col("_line")).alias("query")).where(F.length("query") > 0)
 
 
 def require_queries(queries: DataFrame) -> DataFrame:
@@ -20,7 +27,7 @@ def require_queries(queries: DataFrame) -> DataFrame:
 
 def read_query_set(spark: SparkSession, path: str) -> DataFrame:
     """One query per non-blank line; ``qid`` follows the order of the lines."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("qid"), F.trim("value").alias("query"))
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("qid"), strip(F.col("value")).alias("query"))
     return require_queries(lines.where(F.length("query") > 0))
 
 

@@ -144,3 +144,16 @@ def test_bad_queries_are_named(spark):
 def test_uid_built_from_columns(spark):
     frame = spark.createDataFrame([("a", 3), ("a", None)], "id string, chunk_id int")
     assert [r[0] for r in frame.select(build_uid(F.col("id"), F.col("chunk_id"))).collect()] == ["a::c3", "a::c-1"]
+
+
+def test_rows_without_a_shard_are_counted(spark):
+    frame = spark.createDataFrame([(0,), (None,), (9,), (-1,)], "shard int")
+    counts = corpus.shard_counts(frame, 2)
+    assert {r["shard"]: r["n"] for r in counts.collect()} == {0: 1, 1: 0, None: 3}
+    assert validate.check_shards(counts, 4).first().asDict() == {"n_shards": 2, "n_rows": 1, "empty_shards": 1, "complete": False}
+
+
+def test_blanks_of_any_kind_are_no_query(spark):
+    rows = [(i, q) for i, q in enumerate(["\t", " \r\n", "\x1f \x0b", None, " x "])]
+    found = validate.check_queries(spark.createDataFrame(rows, "qid long, query string"))
+    assert sorted(r["qid"] for r in found.collect()) == [0, 1, 2, 3]

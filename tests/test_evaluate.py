@@ -142,3 +142,16 @@ def test_domain_gap(spark):
     frame = spark.createDataFrame([("wiki", "x", 10, 2.0), ("multi", "x", 10, 3.0), ("wiki", "y", 10, 1.0)], "domain string, backend string, size int, p50_ms double")
     rows = {r["backend"]: tuple(r)[2:] for r in latency.domain_gap(frame, "wiki", "multi").collect()}
     assert rows == {"x": (2.0, 3.0, 1.0, 1.5), "y": (1.0, None, None, None)}
+
+
+def test_hits_without_a_passage_keep_their_place(spark):
+    found = spark.createDataFrame([(1, 1, "a::c0"), (1, 2, "gone::c0")], HITS)
+    chunks = spark.createDataFrame([("a", 0, "text of a"), ("b", 0, "other")], "id string, chunk_id int, chunk_text string")
+    assert {r["uid"]: r["text"] for r in hits.attach_text(found, chunks).collect()} == {"a::c0": "text of a", "gone::c0": ""}
+
+
+def test_pivot_names_every_backend(spark):
+    rows = spark.createDataFrame([("wiki", 10, "a", 1.0), ("wiki", 10, "b", 2.0)], "domain string, size int, backend string, p50_ms double")
+    assert latency.summary_pivot(rows, "p50_ms", ["a", "b"]).first().asDict() == {"domain": "wiki", "size": 10, "a": 1.0, "b": 2.0}
+    with pytest.raises(Exception, match="backend not named: b"):
+        latency.summary_pivot(rows, "p50_ms", ["a"]).collect()

@@ -31,9 +31,19 @@ def test_split_uid(spark, uid, parts):
     assert tuple(one(spark, ids.split_uid(F.lit(uid)))) == parts
 
 
-@pytest.mark.parametrize("value, number", [("3", 3), ("3.0", 3), ("NaN", None), ("x", None), (None, None), ("-1", -1)])
+@pytest.mark.parametrize("value, number", [("3", 3), ("3.0", None), ("\t7\n", 7), ("NaN", None), ("x", None), ("", None), (None, None), ("-1", -1)])
 def test_tolerant_chunk_id(spark, value, number):
-    assert one(spark, ids.tolerant_chunk_id(F.lit(value).cast("string"))) == number
+    assert one(spark, ids.tolerant_chunk_id(F.lit(value).cast("string"), text=True)) == number
+
+
+@pytest.mark.parametrize("value, number", [(3.7, 3), (float("nan"), None), (float("inf"), None), (None, None), (-1.0, -1)])
+def test_tolerant_chunk_id_of_numbers(spark, value, number):
+    assert one(spark, ids.tolerant_chunk_id(F.lit(value).cast("double"))) == number
+
+
+@pytest.mark.parametrize("value", [float("inf"), float("-inf"), None])
+def test_values_without_decimals_stay(spark, value):
+    assert one(spark, round_report(F.lit(value).cast("double"), 4)) == value
 
 
 def test_uid_of_nan_chunk(spark):
@@ -89,7 +99,7 @@ def test_run_without_size_fails_when_required(spark):
 
 
 def test_metadata_keeps_nulls(spark):
-    rows = spark.createDataFrame([(" Wiki ", None, 1, "2.0"), (None, "X", 2, "nan")], "domain string, title string, id long, chunk_id string")
+    rows = spark.createDataFrame([("\t Wiki \u00a0", None, 1, "2"), (None, "X", 2, "2.0")], "domain string, title string, id long, chunk_id string")
     assert [tuple(r) for r in normalize_metadata(rows).collect()] == [("wiki", None, "1", 2), (None, "X", "2", None)]
 
 

@@ -159,6 +159,43 @@ def test_rows_without_vector_are_skipped(spark, queries):
     assert by_query(search(queries[1], frame, 5)) == {q: ["b"] for q, _ in queries[0]}
 
 
+@pytest.mark.parametrize("metric", ["ip", "cosine", "l2"])
+@pytest.mark.parametrize("strategy", ["exact", "sharded", "fanout", "ivf", "lsh"])
+def test_one_bad_vector_costs_no_other(spark, corpus, queries, metric, strategy):
+    """Undefined, infinite and overlong vectors in the middle of one batch are skipped alone."""
+    bad = [(f"bad{i}", [x] * 8, "s", 0) for i, x in enumerate((float("nan"), float("inf"), float("-inf"), 3e38))]
+    clean = spark.createDataFrame(corpus[0], SCHEMA).coalesce(1)
+    mixed = spark.createDataFrame([*corpus[0][:20], *bad[:3], *corpus[0][20:]], SCHEMA).coalesce(1)
+    options = {"n_cells": 4, "nprobe": 4} if strategy == "ivf" else {}
+    got, want = (by_query(search(queries[1], f, 10, strategy=strategy, metric=metric, **options)) for f in (mixed, clean))
+    assert got == want and (strategy == "lsh" or all(len(uids) == 10 for uids in got.values()))
+
+
+def test_trained_cells_do_not_depend_on_partitions(corpus):
+    from passel.operators.ann import train_cells
+
+    a, b = train_cells(corpus[1].coalesce(1), 5), train_cells(corpus[1].repartition(7), 5)
+    assert a.shape == b.shape and np.allclose(a, b)
+
+
+def test_hash_buckets_are_the_same_everywhere():
+    from passel.operators.ann import _bucket_numbers, hash_directions
+
+    directions = hash_directions(8, 3)
+    vectors = np.random.default_rng(0).normal(size=(50, 8))
+    assert (hash_directions(8, 5)[:3] == directions).all()
+    assert (_bucket_numbers(vectors, directions, 0.5)[:7] == _bucket_numbers(vectors[:7], directions, 0.5)).all()
+
+
+def test_blocks_of_a_join_are_all_used(spark, corpus, queries):
+    """Stored places are multiples of a large power of two; the blocks of the join must not be."""
+    many = corpus[1].repartition(64)
+    found = by_query(merge_local(block_join_topk(queries[1], many, Scoring(10), corpus_block=20), Scoring(10), []))
+    assert found == by_query(search(queries[1], corpus[1], 10))
+    places = many.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(16)).alias("b")).distinct()
+    assert places.count() > 8
+
+
 def test_wrong_dimension_fails(spark, queries):
     frame = spark.createDataFrame([("a", [1.0, 2.0], "s", 0)], SCHEMA)
     with pytest.raises(Exception, match="dimension"):
