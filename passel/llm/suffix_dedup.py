@@ -9,16 +9,17 @@ byte to the last byte of these windows.
    and their place in the corpus. Spark samples the splitters. As the place is part of the key, a passage of every third
    document is cut into as many ranges as it needs. Ranges are sorted by multikey quicksort; a stretch that
    follows an equal one is a copy. First and last keys of neighbouring ranges are compared at the end.
-2. Anchors with different stretches mark where repeated passages begin and end. Only there windows are compared byte
-   by byte: the bytes of these stretches are fetched, all windows of an anchor meet, and are sorted by multikey
-   quicksort eight bytes at a time. Anchors with very many different stretches have their windows range-partitioned and
-   compared like the stretches in step 1.
+2. Anchors with different stretches mark where repeated passages begin and end. Only there the bytes are fetched
+   again, and the stretches are cut into blocks of ``OFFSETS`` windows at fixed distances from the anchor. Blocks
+   go through the same sort, keyed by the bytes that all windows of the block share and by the whole block.
+3. Where blocks share those bytes and still differ, their windows are sorted one by one.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,16 +37,16 @@ GRAM = 32
 SPAN = LENGTH - GRAM + 1
 # Texts are hashed in blocks of about so many bytes.
 BLOCK = 1 << 18
-# Records of a range, and windows of a task in the second step.
+# Records of a range.
 RANGE_RECORDS = 1 << 18
-TASK_WINDOWS = 1 << 20
+# Windows of a block, and the bytes that they all have.
+OFFSETS = 8
+CORE = LENGTH - OFFSETS + 1
 # Stretches that a worker hands over at once.
 FETCHED_AT_ONCE = 1 << 14
-# Different stretches of an anchor beyond which its windows are spread.
-LARGE = 2048
 
 COPY, REP, FIRST, LAST = range(4)
-IN_FIRST, IN_LAST, HEAD, MULTI, MANY = 1, 2, 4, 8, 16
+IN_FIRST, IN_LAST, HEAD, MULTI = 1, 2, 4, 8
 RECORD = "k1 long, k2 long, doc long, at long"
 JUDGED = "bucket int, kind byte, k1 long, k2 long, doc long, at long, flags byte"
 JUDGED_TYPES = [pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int8()]
@@ -176,7 +177,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rep = ~(same1 & np.concatenate([[False], k2[1:] == k2[:-1]]))
     group = np.cumsum(~same1) - 1
     reps = np.bincount(group, weights=rep)[group]
-    flags = (group == 0) * IN_FIRST + (group == group[-1]) * IN_LAST + (reps > 1) * MULTI + (reps > LARGE) * MANY
+    flags = (group == 0) * IN_FIRST + (group == group[-1]) * IN_LAST + (reps > 1) * MULTI
     flags[0] += HEAD
     bucket = TaskContext.get().partitionId()
 
@@ -196,7 +197,7 @@ def _ranged(records: DataFrame, n_ranges: int) -> DataFrame:
 
 
 def _across(judged: DataFrame) -> DataFrame:
-    """Representatives, compared with the ranges on both sides: ``copy``, and ``crosses`` if their k1 goes on there."""
+    """Representatives, compared with the ranges on both sides: ``copy``, or ``open`` if another class shares their k1."""
 
     def flag(bit: int) -> Column:
         return F.col("flags").bitwiseAND(F.lit(bit).cast("byte")) > 0
@@ -211,68 +212,65 @@ def _across(judged: DataFrame) -> DataFrame:
     edge = edge.withColumns({"crosses": goes_back | goes_on, "copy": flag(HEAD) & goes_back & (F.col("p2") == F.col("k2"))})
     inner = reps.where(~flag(IN_FIRST | IN_LAST)).withColumns({"crosses": F.lit(False), "copy": F.lit(False)})
     both = edge.select(*inner.columns).unionByName(inner)
-    return both.select("k1", "doc", "at", "copy", flag(MULTI).alias("multi"), (flag(MANY) | F.col("crosses")).alias("many"), "crosses")
+    return both.select("doc", "at", "copy", (~F.col("copy") & (flag(MULTI) | F.col("crosses"))).alias("open"))
 
 
-def _window_words(data: np.ndarray, starts: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
-    """The words of the windows at ``starts``: eight bytes each, the last one overlapping."""
-    words = np.ndarray((len(data) - 7,), ">u8", data, strides=(1,))
-    return lambda level, rows: words[starts[rows] + min(8 * level, LENGTH - 8)].astype(np.uint64)
+def _sources(rows: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """Of fetched stretches: document, anchor place, bytes before the anchor, size, where each begins, and the hashes
+    of the 64 bytes from each place on."""
+    doc, at = rows.column("doc").to_numpy(), rows.column("at").to_numpy()
+    sizes = at & 255
+    data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()) + bytes(LENGTH), np.uint8)
+    _, wide = gram_hashes(data)
+    return doc, at >> 15, at >> 8 & 127, sizes, np.cumsum(sizes) - sizes, wide
 
 
-def _copied_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of all windows of anchors that lie in this task: the intervals of those that an earlier one equals."""
-    parts = [b for b in batches if len(b)]
-    if not parts:
-        return
-    rows = pa.Table.from_batches(parts).combine_chunks()
-    k1, doc, at = (rows.column(c).to_numpy() for c in ("k1", "doc", "at"))
-    sizes = at & 255
-    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8)
-    # Earlier documents and places first: a stable sort then leaves the first of equals in front.
-    first = np.lexsort((at >> 15, doc, k1))
-    anchor = np.cumsum(np.concatenate([[False], k1[first][1:] != k1[first][:-1]])) if len(first) else first
-    counts = sizes[first] - LENGTH + 1
-    source = np.repeat(first, counts)
-    inner = np.arange(len(source)) - np.repeat(np.cumsum(counts) - counts, counts)
-    left = (at[source] >> 8 & 127) - inner
-    kind = np.repeat(anchor, counts) * 256 + left
-    text_word = _window_words(data, begins[source] + inner)
-    levels = 1 + -(-LENGTH // 8)
-    order, run = multikey_order(len(source), lambda n, r: (kind[r] if n == 0 else text_word(n - 1, r)), levels)
-    copies = np.sort(order[1:][run[1:] == run[:-1]]) if len(order) else order
-    starts = (at[source] >> 15) - (at[source] >> 8 & 127) + inner
-    yield _intervals(doc[source[copies]], starts[copies])
-
-
-def _intervals(doc: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """Windows as intervals of bytes, neighbours in the order given put together."""
-    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)])) if len(doc) else doc
-    last = np.concatenate([new[1:], [len(doc)]]) - 1 if len(doc) else doc
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[new]), pa.array(start[new].astype(np.int64)), pa.array((start[last] + LENGTH).astype(np.int64))], ["doc", "low", "high"]
-    )
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the number within its row of ``counts`` things a row."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One record per block of a stretch: hash of the bytes that its windows share, hash of the whole, document, place."""
+    for batch in batches:
+        for begin in range(0, len(batch), FETCHED_AT_ONCE):
+            rows = batch.slice(begin, FETCHED_AT_ONCE)
+            doc, _, left, sizes, starts, wide = _sources(rows)
+            # Windows start from ``left`` bytes before the anchor down to ``least``.
+            least = left - (sizes - LENGTH)
+            row, block = _each((left // OFFSETS) - (least // OFFSETS) + 1)
+            block += (least // OFFSETS)[row]
+            low, high = _offsets(left[row], sizes[row], block)
+            first, end = starts[row] + left[row] - high, starts[row] + left[row] - low + LENGTH
+            core = starts[row] + left[row] - block * OFFSETS
+            k1 = (wide[core] * _ODD[12] ^ wide[core + CORE - 64]) * _ODD[13] + block.astype(np.uint64)
+            k2 = (wide[first] * _ODD[14] ^ wide[end - 64]) * _ODD[15] + (low * 256 + high).astype(np.uint64)
+            place = rows.column("at").to_numpy()[row] << 4 | block
+            columns = [(k1 ^ k1 >> _S29).view(np.int64), (k2 ^ k2 >> _S29).view(np.int64), doc[row], place]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k1", "k2", "doc", "at"])
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One record for each window of the stretches, keyed by the hashes of its first and its last 64 bytes."""
+    """One record per window of an open block, keyed by the hashes of its first and its last 64 bytes."""
     for batch in batches:
-        for begin in range(0, len(batch), 4096):
-            rows = batch.slice(begin, 4096)
-            doc, at = rows.column("doc").to_numpy(), rows.column("at").to_numpy()
-            sizes = at & 255
-            data = np.frombuffer(b"".join(rows.column("bytes").to_pylist()), np.uint8)
-            _, wide = gram_hashes(data)
-            counts = sizes - LENGTH + 1
-            source = np.repeat(np.arange(len(at)), counts)
-            inner = np.arange(len(source)) - np.repeat(np.cumsum(counts) - counts, counts)
-            where = (np.cumsum(sizes) - sizes)[source] + inner
-            start = (at[source] >> 15) - (at[source] >> 8 & 127) + inner
-            columns = [wide[where].view(np.int64), wide[where + LENGTH - 64].view(np.int64), doc[source], start]
+        for begin in range(0, len(batch), FETCHED_AT_ONCE):
+            rows = batch.slice(begin, FETCHED_AT_ONCE)
+            doc, place, left, sizes, starts, wide = _sources(rows)
+            low, high = _offsets(left, sizes, rows.column("block").to_numpy())
+            row, inner = _each(high - low + 1)
+            offset = low[row] + inner
+            where = starts[row] + left[row] - offset
+            columns = [wide[where].view(np.int64), wide[where + LENGTH - 64].view(np.int64), doc[row], place[row] - offset]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k1", "k2", "doc", "at"])
 
 
+def _offsets(left, sizes, block):
+    """The least and the greatest distance from the anchor of the windows in a block of a stretch."""
+    least = left - (sizes - LENGTH)
+    return np.maximum(least, block * OFFSETS), np.minimum(left, block * OFFSETS + OFFSETS - 1)
+
+
 @F.arrow_udf(T.BinaryType())
 def _pressed(texts: pa.Array) -> pa.Array:
     press = zstandard.ZstdCompressor(level=3)
@@ -285,38 +283,49 @@ def _opened(value: pa.Scalar) -> bytes:
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the stretches that are asked for, document by document."""
-    names = ["k1", "doc", "at", "many", "bytes"]
 
-    def batch_of(parts: list[list[np.ndarray]], found: list[bytes]) -> pa.RecordBatch:
-        columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.binary())], names)
+    def batch_of(docs: list[np.ndarray], places: list[np.ndarray], found: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(docs)), pa.array(np.concatenate(places)), pa.array(found, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "at", "bytes"])
 
     for batch in batches:
-        parts, found = [], []
+        docs, places, found = [], [], []
         for doc, pressed, asked in zip(batch.column("doc").to_pylist(), batch.column("pressed"), batch.column("asked")):
-            text, fields = _opened(pressed), asked.values
-            at = fields.field("at").to_numpy()
+            text, at = _opened(pressed), asked.values.to_numpy()
             low = (at >> 15) - (at >> 8 & 127)
             found += [text[a:b] for a, b in zip(low.tolist(), (low + (at & 255)).tolist())]
-            many = fields.field("many").to_numpy(zero_copy_only=False)
-            parts.append([fields.field("k1").to_numpy(), np.full(len(at), doc, np.int64), at, many])
+            docs.append(np.full(len(at), doc, np.int64))
+            places.append(at)
             if len(found) > FETCHED_AT_ONCE:
-                yield batch_of(parts, found)
-                parts, found = [], []
+                yield batch_of(docs, places, found)
+                docs, places, found = [], [], []
         if found:
-            yield batch_of(parts, found)
+            yield batch_of(docs, places, found)
 
 
 def _asked(of: DataFrame, texts: DataFrame) -> DataFrame:
-    asked = of.groupBy("doc").agg(F.collect_list(F.struct("k1", "at", "many")).alias("asked"))
-    return texts.select("doc", _pressed("text").alias("pressed")).join(asked, "doc").mapInArrow(
-        _fetch, "k1 long, doc long, at long, many boolean, bytes binary"
-    )
+    asked = of.groupBy("doc").agg(F.collect_list("at").alias("asked"))
+    joined = texts.select("doc", _pressed("text").alias("pressed")).join(asked, "doc")
+    return joined.mapInArrow(_fetch, "doc long, at long, bytes binary")
+
+
+def _span(low: Column, high: Column) -> list[Column]:
+    return ["doc", low.alias("low"), high.alias("high")]
 
 
 def _stretch_bounds(of: DataFrame) -> DataFrame:
     low = F.shiftright("at", 15) - F.shiftright("at", 8).bitwiseAND(F.lit(127))
-    return of.select("doc", low.alias("low"), (low + F.col("at").bitwiseAND(F.lit(255))).alias("high"))
+    return of.select(*_span(low, low + F.col("at").bitwiseAND(F.lit(255))))
+
+
+def _block_bounds(of: DataFrame) -> DataFrame:
+    """The bytes of blocks, whose place is that of their stretch and their number."""
+    at = F.shiftright("at", 4)
+    place, left, size = F.shiftright(at, 15), F.shiftright(at, 8).bitwiseAND(F.lit(127)), at.bitwiseAND(F.lit(255))
+    block = F.col("at").bitwiseAND(F.lit(15)) * OFFSETS
+    high = F.least(left, block + (OFFSETS - 1))
+    low = F.greatest(left - (size - LENGTH), block)
+    return of.select(*_span(place - high, place - low + LENGTH))
 
 
 def repeated_ranges(texts: DataFrame, size: int) -> DataFrame:
@@ -331,28 +340,28 @@ def repeated_ranges(texts: DataFrame, size: int) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
+    def sorted_out(records: DataFrame, name: str, n: int) -> tuple[DataFrame, DataFrame]:
+        """Copies and open representatives among ``n`` records, about."""
+        judged = stored(_ranged(records, 1 + n // RANGE_RECORDS), name)
+        reps = _across(judged)
+        copies = judged.where(F.col("kind") == COPY).select("doc", "at").unionByName(reps.where("copy").select("doc", "at"))
+        return copies, stored(reps.where("open").select("doc", "at"), f"open {name}")
+
     # Two in SPAN + 1 places are anchors.
-    n_ranges = 1 + int(size * 2 / (SPAN + 1)) // RANGE_RECORDS
-    judged = stored(_ranged(texts.mapInArrow(_emit_stretches, RECORD), n_ranges), "stretches")
-    reps = _across(judged)
-    found = [_stretch_bounds(judged.where(F.col("kind") == COPY)), _stretch_bounds(reps.where("copy"))]
-    opened = stored(reps.where("not copy and (multi or crosses)"), "open")
-    windows = F.sum(F.col("at").bitwiseAND(F.lit(255)) - (LENGTH - 1))
-    n_open = {r[0]: r[1] for r in opened.groupBy("many").agg(windows).collect()}
-    if n_open:
-        fetched = stored(_asked(opened, texts), "fetched")
-        few = fetched.where("not many").repartition(1 + n_open.get(False, 0) // TASK_WINDOWS, "k1")
-        found.append(stored(few.mapInArrow(_copied_windows, "doc long, low long, high long"), "windows"))
-    if n_open.get(True):
-        spread = fetched.where("many").mapInArrow(_emit_windows, RECORD)
-        judged = stored(_ranged(spread, 1 + n_open[True] // RANGE_RECORDS), "spread")
-        copies = judged.where(F.col("kind") == COPY).select("doc", "at").unionByName(_across(judged).where("copy").select("doc", "at"))
-        found.append(copies.select("doc", F.col("at").alias("low"), (F.col("at") + LENGTH).alias("high")))
-    intervals = found[0]
-    for more in found[1:]:
-        intervals = intervals.unionByName(more)
-    spans = intervals.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    ranges = checkpoint(spans.select("doc", _merged("spans").alias("ranges")))
+    copies, opened = sorted_out(texts.mapInArrow(_emit_stretches, RECORD), "stretches", int(size * 2 / (SPAN + 1)))
+    spans = [_stretch_bounds(copies)]
+    if n_open := opened.count():
+        fetched = stored(_asked(opened, texts), "bytes")
+        copies, blocks = sorted_out(fetched.mapInArrow(_emit_blocks, RECORD), "blocks", n_open * SPAN // (2 * OFFSETS))
+        spans.append(_block_bounds(copies))
+        if n_open := blocks.count():
+            of_stretch = blocks.select("doc", F.shiftright("at", 4).alias("at"), F.col("at").bitwiseAND(F.lit(15)).alias("block"))
+            windows = fetched.join(of_stretch, ["doc", "at"]).mapInArrow(_emit_windows, RECORD)
+            copies, _ = sorted_out(windows, "windows", n_open * OFFSETS)
+            spans.append(copies.select(*_span(F.col("at"), F.col("at") + LENGTH)))
+    intervals = reduce(DataFrame.unionByName, spans)
+    found = intervals.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+    ranges = checkpoint(found.select("doc", _merged("spans").alias("ranges")))
     delete(spark, folder)
     return ranges
 
