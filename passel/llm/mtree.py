@@ -18,7 +18,9 @@ from passel.llm.vectors import one_row_each, search_parts, usable
 
 LEVELS = 256
 # Entries of a page.
-PAGE = 64
+PAGE = 256
+# Components up to this size have exact sums of products in floating point, for some hundred of them.
+FLOAT_SAFE = 1 << 22
 # Distances come from integers below 2**53 by one root; this share of the largest one covers their rounding.
 SLACK = 1e-9
 
@@ -39,14 +41,21 @@ class MTree:
     """Vectors of one part in pages that hold a pivot, a covering radius and the distances of their entries to it."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, page: int = PAGE):
-        self.vectors, self.ids, self.page = vectors, ids, page
+        self.page, self.computed = page, 0
+        self.random = np.random.default_rng(0)
+        # Whole numbers either way; floating point multiplies faster.
+        safe = np.abs(vectors).max(initial=0) < FLOAT_SAFE and vectors.shape[1] <= 256
+        self.vectors = vectors.astype(np.float64) if safe else vectors
         squares = (vectors * vectors).sum(axis=1)
         self.square = int(squares.max())
         self.extra = np.sqrt((self.square - squares).astype(np.float64))
         self.slack = SLACK * (1 + 2 * self.square**0.5)
-        self.random = np.random.default_rng(0)
-        self.computed = 0
-        pages = self._leaves(np.arange(len(ids)))
+        clusters = self._clusters(np.arange(len(ids)))
+        # The rows of a leaf lie side by side.
+        order = np.concatenate(clusters)
+        self.vectors, self.extra, self.ids = self.vectors[order], self.extra[order], ids[order]
+        ends = np.cumsum([len(c) for c in clusters]).tolist()
+        pages = [self._leaf(a, b) for a, b in zip([0, *ends], ends)]
         while len(pages) > 1:
             pages = self._above(pages)
         self.root = pages[0]
@@ -73,12 +82,10 @@ class MTree:
             todo += parts
         return out
 
-    def _leaves(self, rows: np.ndarray) -> list[Page]:
-        pages = []
-        for own in self._clusters(rows):
-            to_pivot = self._between(own, own[0])
-            pages.append(Page(own[0], float(to_pivot.max()), own, to_pivot))
-        return pages
+    def _leaf(self, start: int, end: int) -> Page:
+        rows = np.arange(start, end)
+        to_pivot = self._between(rows, start)
+        return Page(start, float(to_pivot.max()), rows, to_pivot)
 
     def _above(self, pages: list[Page]) -> list[Page]:
         by_pivot: dict[int, list[Page]] = {}
@@ -93,7 +100,8 @@ class MTree:
 
     def search(self, query: np.ndarray, query_id: int, k: int) -> list[tuple[int, int]]:
         """The ``k`` best (score, id) but for the query's own id, best first, ties to smaller ids."""
-        vectors, slack, square = self.vectors, self.slack, float(self.square + query @ query)
+        vectors, slack, square = self.vectors, self.slack, float(self.square + int(query @ query))
+        query = query.astype(vectors.dtype) if np.abs(query).max(initial=0) < FLOAT_SAFE else query
         best: list[tuple[int, int]] = []
         bound = np.inf
 
@@ -112,15 +120,22 @@ class MTree:
             floor = np.abs(to_pivot - page.to_parent)
             if page.children is None:
                 near = page.rows[floor <= bound + slack]
-                near = near[self.ids[near] != query_id]
-                scores, _ = distances(near)
+                if not len(near):
+                    continue
+                # A whole page is read as it lies.
+                whole = len(near) == len(page.rows)
+                self.computed += len(near)
+                scores = vectors[near[0] : near[-1] + 1] @ query if whole else vectors[near] @ query
+                good = self.ids[near] != query_id
                 if len(best) == k:
-                    good = scores >= best[-1][0]
-                    near, scores = near[good], scores[good]
+                    good &= scores >= best[-1][0]
+                near, scores = near[good], scores[good]
                 if len(near) > k:
                     top = np.lexsort((self.ids[near], -scores))[:k]
                     near, scores = near[top], scores[top]
-                best += zip(scores.tolist(), self.ids[near].tolist())
+                if not len(near):
+                    continue
+                best += zip(map(int, scores.tolist()), self.ids[near].tolist())
                 best.sort(key=lambda b: (-b[0], b[1]))
                 del best[k:]
                 if len(best) == k:
