@@ -11,12 +11,15 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
 import unicodedata
-from collections.abc import Iterable, Iterator
-from functools import cache, lru_cache
-from itertools import chain
+from collections.abc import Iterator
+from functools import cache
+from types import ModuleType
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -26,13 +29,15 @@ from passel.llm.tables import held, of_row, released
 WORD_END = "</w>"
 # Texts are encoded in slices of about so many characters, cut at white space.
 SLICE_CHARS = 1 << 20
-# Words that a worker remembers twice over at most.
-REMEMBERED = 250_000
+# Chunks that a worker remembers twice over, about.
+REMEMBERED = 500_000
 # Texts whose ids are held as Python numbers at once.
-AT_ONCE = 256
-# Fragments up to this many symbols are merged by scanning, longer ones with a heap.
-SCANNED = 48
+AT_ONCE = 1024
+# Words up to this many bytes are merged together, longer ones each with a heap.
+SHORT = 48
 
+# How ids are held: little-endian, four bytes each.
+ID = np.dtype("<u4")
 # A pair of symbols, or a rank with the token that it makes, in one number.
 BITS = 24
 MASK = (1 << BITS) - 1
@@ -60,66 +65,119 @@ class FragmentEncoder:
         model = json.loads(spec)
         self.vocabulary: dict[str, int] = model["model"]["vocab"]
         self.end: str = model["model"].get("end_of_word_suffix") or ""
-        letters = byte_letters()
         # Symbols are token ids: those of a byte inside a word, and of a byte that ends one.
-        self.inner = [self.vocabulary.get(c, 0) for c in letters]
-        self.last = [self.vocabulary.get(c + self.end, 0) for c in letters]
+        letters = byte_letters()
+        self.letters = {c: b for b, c in enumerate(letters)}
+        self.symbols = np.array([self.vocabulary.get(c + e, 0) for e in ("", self.end) for c in letters])
         self.ranks: dict[int, int] = {}
         for rank, merge in enumerate(model["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             pair = self.vocabulary[left] << BITS | self.vocabulary[right]
             self.ranks[pair] = rank << BITS | self.vocabulary[left + right]
+        self.pairs = np.array(sorted(self.ranks))
+        self.pair_ranks = np.array([self.ranks[p] for p in self.pairs.tolist()])
+        self.joined = self._joined_pairs()
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         library = Tokenizer.from_str(spec)
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         names = {i: t for t, i in (self.vocabulary | self.special).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]
-        self.letters = {c: b for b, c in enumerate(letters)}
-        self.joined = self._joined_pairs()
-        # Words of late, and those before them: what is used again moves up, the rest is forgotten.
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        # The ids of chunks of late, as bytes, and of those before them: what is used again moves up, the rest is forgotten.
+        self.known: dict[str | bytes, bytes] = {}
+        self.older: dict[str | bytes, bytes] = {}
 
-    def _joined_pairs(self) -> set[int]:
-        """Symbols that stand side by side inside some token; between all others a cut is certain."""
-        pairs = set()
+    def _joined_pairs(self) -> np.ndarray:
+        """Whether two bytes, those that end a word counted from 256 on, stand side by side inside some token.
+
+        Between all others a cut is certain.
+        """
+        joined = np.zeros((512, 512), bool)
         for token in self.vocabulary:
             ends = bool(self.end) and token.endswith(self.end)
-            symbols = self._symbols([self.letters[c] for c in (token.removesuffix(self.end) if ends else token)], ends)
-            pairs.update(a << BITS | b for a, b in zip(symbols, symbols[1:]))
-        return pairs
-
-    def _symbols(self, word: bytes | list[int], ends: bool = True) -> list[int]:
-        symbols = [self.inner[b] for b in word]
-        if ends and symbols:
-            symbols[-1] = self.last[word[-1]]
-        return symbols
-
-    def split(self, symbols: list[int]) -> list[tuple[int, ...]]:
-        """The fragments between certain cuts."""
-        joined = self.joined
-        cuts = [i for i, (a, b) in enumerate(zip(symbols, symbols[1:]), 1) if a << BITS | b not in joined]
-        bounds = [0, *cuts, len(symbols)]
-        return [tuple(symbols[i:j]) for i, j in zip(bounds, bounds[1:])]
-
-    def _merged(self, symbols: tuple[int, ...]) -> list[int]:
-        """The tokens of a short fragment: the pair of lowest rank is merged, the first one of equals, until none is left."""
-        parts, rank = [*symbols], self.ranks.get
-        found = [rank(a << BITS | b, NONE) for a, b in zip(parts, parts[1:])]
-        while found and (best := min(found)) != NONE:
-            i = found.index(best)
-            parts[i] = best & MASK
-            del parts[i + 1], found[i]
-            if i:
-                found[i - 1] = rank(parts[i - 1] << BITS | parts[i], NONE)
-            if i < len(found):
-                found[i] = rank(parts[i] << BITS | parts[i + 1], NONE)
-        return parts
-
-    def _merged_by_heap(self, symbols: tuple[int, ...]) -> list[int]:
-        """The same for a long fragment, in n log n steps."""
-        parts = [*symbols]
+            codes = [self.letters[c] for c in (token.removesuffix(self.end) if ends else token)]
+            if ends and codes:
+                codes[-1] += 256
+            joined[codes[:-1], codes[1:]] = True
+        return joined
+
+    def _codes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of some words, those that end a word counted from 256 on, and where fragments begin."""
+        codes = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(w) for w in words]) - 1
+        if self.end:
+            codes[ends] += 256
+        begins = np.concatenate([[True], ~self.joined[codes[:-1], codes[1:]]])
+        begins[ends[:-1] + 1] = True
+        return codes, begins
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and merged token of each pair of symbols, NONE where there is no merge."""
+        wanted = left << BITS | right
+        place = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where(self.pairs[place] == wanted, self.pair_ranks[place], NONE)
+
+    def _merged(self, symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all fragments, and the fragment of each.
+
+        In every round each fragment merges its pair of lowest rank, the first one of equals; fragments without
+        a pair to merge are done.
+        """
+        fragment = np.cumsum(begins) - 1
+        rank = np.full(len(symbols), NONE)
+        inside = np.flatnonzero(~begins[1:])
+        rank[inside] = self._rank_of(symbols[inside], symbols[inside + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(symbols):
+            starts = np.flatnonzero(np.concatenate([[True], fragment[1:] != fragment[:-1]]))
+            sizes = np.diff(np.append(starts, len(symbols)))
+            best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            going = best != NONE
+            if not going.all():
+                done.append((symbols[~going], fragment[~going]))
+                symbols, fragment, rank, best = symbols[going], fragment[going], rank[going], best[going]
+                if not len(symbols):
+                    break
+            hits = np.flatnonzero(rank == best)
+            first = hits[np.concatenate([[True], fragment[hits[1:]] != fragment[hits[:-1]]])]
+            symbols[first] = best[first] & MASK
+            kept = np.ones(len(symbols), bool)
+            kept[first + 1] = False
+            symbols, fragment, rank = symbols[kept], fragment[kept], rank[kept]
+            merged = first - np.arange(len(first))
+            # Both pairs that the new token is in have another rank now.
+            for left in (merged[merged > 0] - 1, merged):
+                last = left + 1 >= len(symbols)
+                right = np.where(last, left, left + 1)
+                same = (fragment[left] == fragment[right]) & ~last
+                ranks = np.full(len(left), NONE)
+                ranks[same] = self._rank_of(symbols[left[same]], symbols[right[same]])
+                if left is merged:
+                    rank[left] = ranks
+                else:
+                    rank[left[same]] = ranks[same]
+        tokens, fragment = (np.concatenate(c) for c in zip(*done))
+        order = np.argsort(fragment, kind="stable")
+        return tokens[order], fragment[order]
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of short words of letters, numbers or signs, each fragment on its own."""
+        if not words:
+            return []
+        codes, begins = self._codes(words)
+        tokens, fragment = self._merged(self.symbols[codes], begins)
+        word_of = np.repeat(np.arange(len(words)), [len(w) for w in words])[np.flatnonzero(begins)]
+        stops = np.cumsum(4 * np.bincount(word_of[fragment], minlength=len(words))).tolist()
+        ids = tokens.astype(ID).tobytes()
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]
+
+    def encode_long(self, word: bytes) -> bytes:
+        """The ids of a word of any length, whose fragments are merged with a heap in n log n steps."""
+        codes, begins = self._codes([word])
+        symbols, cuts = self.symbols[codes].tolist(), [*np.flatnonzero(begins).tolist(), len(word)]
+        return np.array([i for a, b in zip(cuts, cuts[1:]) for i in self._merged_by_heap(symbols[a:b])], ID).tobytes()
+
+    def _merged_by_heap(self, parts: list[int]) -> list[int]:
         after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
         rank = self.ranks.get
         heap = [(r, i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := rank(a << BITS | b))]
@@ -138,68 +196,124 @@ class FragmentEncoder:
                     heapq.heappush(heap, (r, left))
         return [p for p in parts if p >= 0]
 
-    def _word(self, symbols: list[int]) -> tuple[int, ...]:
-        """The ids of one word of letters, numbers or signs, fragment by fragment."""
-        out: list[int] = []
-        for fragment in self.split(symbols):
-            out += self._merged(fragment) if len(fragment) <= SCANNED else self._merged_by_heap(fragment)
-        return tuple(out)
-
-    def _remembered(self, word: str) -> tuple[int, ...]:
-        ids = self.words.get(word)
-        if ids is None:
-            ids = self.older.get(word) or self._word(self._symbols(word.encode()))
-            if len(word) <= SCANNED:
-                if len(self.words) >= REMEMBERED:
-                    self.older, self.words = self.words, {}
-                self.words[word] = ids
-        return ids
-
-    def _chunk(self, chunk: str) -> Iterable[int]:
-        """The ids of what stands between two blanks and is no known word."""
-        if chunk.isalpha():
-            return self._remembered(chunk)
-        known, remembered = self.words.get, self._remembered
-        return chain.from_iterable([known(w) or remembered(w) for w in WORDS.findall(chunk)])
-
-    def _ordinary(self, text: str) -> list[Iterable[int]]:
-        """The ids of a text without special tokens, chunk by chunk."""
+    def _learn(self, chunks: set[str | bytes]) -> list[str | bytes]:
+        """Encode chunks that are not known; gives those that are too long to be remembered."""
+        known, older = self.known, self.older
+        # A bytes chunk is a word as the library splits it; other chunks may hold several words.
+        words, several, long = set(), {}, []
+        for chunk in chunks:
+            if (ids := older.get(chunk)) is not None:
+                known[chunk] = ids
+            elif isinstance(chunk, bytes) or chunk.isalpha():
+                words.add(chunk)
+            else:
+                several[chunk] = own = WORDS.findall(chunk)
+                words.update(w for w in own if w not in known)
+        short, data = [], []
+        for word in words:
+            own = word if isinstance(word, bytes) else word.encode()
+            if len(own) <= SHORT:
+                short.append(word)
+                data.append(own)
+            else:
+                known[word] = self.encode_long(own)
+                long.append(word)
+        known.update(zip(short, self.encode_words(data)))
+        for chunk, own in several.items():
+            if chunk not in known:
+                known[chunk] = b"".join(map(known.__getitem__, own))
+                if len(chunk) > SHORT:
+                    long.append(chunk)
+        return long
+
+    def _chunks(self, text: str) -> list[str | bytes]:
+        """What stands between blanks in a text without special tokens; its words are encoded on their own."""
         if BEYOND.search(text):
             pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
-            return [self._word(self._symbols([self.letters[c] for c in piece])) for piece, _ in pieces]
+            return [bytes(map(self.letters.__getitem__, piece)) for piece, _ in pieces]
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        known, chunk_ids = self.words.get, self._chunk
         # The final sigma is no case of its own here.
-        return [known(c) or chunk_ids(c) for c in text.replace("\u03a3", "\u03c3").lower().split()]
+        return text.replace("\u03a3", "\u03c3").lower().split()
 
-    def _sliced(self, text: str) -> Iterator[Iterable[int]]:
-        """The ids of a text without special tokens, a slice at a time."""
+    def _sliced(self, text: str) -> Iterator[str | int]:
+        """Slices of a text cut at white space, and the ids of the special tokens between them."""
         start = 0
-        while start < len(text):
-            cut = SPACE.search(text, start + SLICE_CHARS)
-            end = cut.start() if cut else len(text)
-            yield chain.from_iterable(self._ordinary(text[start:end]))
-            start = end
+        for found in self.special_pattern.finditer(text):
+            yield from self._cut(text, start, found.start())
+            yield self.special[found[0]]
+            start = found.end()
+        yield from self._cut(text, start, len(text))
+
+    def _cut(self, text: str, start: int, end: int) -> Iterator[str]:
+        while start < end:
+            blank = SPACE.search(text, start + SLICE_CHARS, end)
+            stop = blank.start() if blank else end
+            yield text[start:stop]
+            start = stop
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        """All ids of some texts. They are encoded in groups of slices, so that many words are merged at once."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        group: list[tuple[int, list[str | bytes]]] = []
+        size = 0
+
+        def finish() -> None:
+            found = [[*map(self.known.get, chunks)] for _, chunks in group]
+            gaps = [_places_of_none(own) for own in found]
+            long = self._learn({chunks[i] for (_, chunks), places in zip(group, gaps) for i in places})
+            for (n, chunks), own, places in zip(group, found, gaps):
+                for i in places:
+                    own[i] = self.known[chunks[i]]
+                out[n].append(b"".join(own))
+            for chunk in long:
+                del self.known[chunk]
+            if len(self.known) > REMEMBERED:
+                self.older, self.known = self.known, {}
+            group.clear()
+
+        for n, text in enumerate(texts):
+            for part in self._sliced(text):
+                if isinstance(part, int):
+                    finish()
+                    out[n].append(np.array([part], ID).tobytes())
+                    continue
+                group.append((n, self._chunks(part)))
+                size += len(part)
+                if size >= SLICE_CHARS:
+                    finish()
+                    size = 0
+        finish()
+        return [np.frombuffer(b"".join(parts), ID) for parts in out]
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text."""
-        parts, start = [], 0
-        for found in self.special_pattern.finditer(text):
-            parts += [self._sliced(text[start : found.start()]), [(self.special[found[0]],)]]
-            start = found.end()
-        parts.append(self._sliced(text[start:] if start else text))
-        return list(chain.from_iterable(chain.from_iterable(parts)))
+        return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The tokens behind the ids, as the library writes them for a vocabulary without a decoder."""
         return " ".join(map(self.names.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
+def _places_of_none(found: list) -> list[int]:
+    places, i = [], -1
+    try:
+        while True:
+            places.append(i := found.index(None, i + 1))
+    except ValueError:
+        return places
+
+
 def encoder(spec: str) -> FragmentEncoder:
-    """One encoder for each vocabulary in a worker."""
-    return FragmentEncoder(spec)
+    """The encoder of a vocabulary, one for each worker process.
+
+    The package's code comes anew with every task, so the encoder, with the words that it knows, is kept where all
+    tasks of a worker find it.
+    """
+    kept = sys.modules.setdefault("_passel_encoders", ModuleType("_passel_encoders")).__dict__
+    if spec not in kept:
+        kept[spec] = FragmentEncoder(spec)
+    return kept[spec]
 
 
 def vocabulary(spark, path: str):
@@ -218,10 +332,13 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text") -> DataFram
     @F.arrow_udf("struct<ids:array<int>,decoded:string>")
     def encoded(texts: pa.Array) -> pa.Array:
         use, parts = encoder(spec.value), []
+        names = pa.array(use.names)
         for start in range(0, max(1, len(texts)), AT_ONCE):
-            ids = [use.encode(t.as_py() or "") for t in texts[start : start + AT_ONCE]]
-            decoded = pa.array(map(use.decode, ids), pa.string())
-            parts.append(pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), decoded], ["ids", "decoded"]))
+            ids = use.encode_batch([t.as_py() or "" for t in texts[start : start + AT_ONCE]])
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = pa.array(np.concatenate([np.empty(0, ID), *ids]).astype(np.int32))
+            decoded = pc.binary_join(pa.ListArray.from_arrays(ends, names.take(flat)), " ")
+            parts.append(pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, flat), decoded], ["ids", "decoded"]))
         return pa.concat_arrays(parts)
 
     both = held(docs).withColumn("encoded", encoded(of_row(text_col)))

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passel.llm.bpe import encoder, vocabulary
+from passel.llm.bpe import AT_ONCE, ID, encoder, vocabulary
 from passel.llm.tables import checkpoint
 
 MAX_TOKENS = 4096
@@ -75,6 +75,17 @@ class Packer:
             yield window
             self.windows[self.windows.index(window)] = Window(self.size)
 
+    def cut_and_place(self, doc: int | None, ids: np.ndarray) -> Iterator[Window]:
+        """Place a document, cut where no window takes its rest: the first part fills the fullest to the end."""
+        start = 0
+        while start < len(ids):
+            length = len(ids) - start
+            if length > max(w.free for w in self.windows):
+                length = self.fullest().free
+            crc = zlib.crc32(ids[start : start + length].tobytes())
+            yield from self.place((doc, start, length, crc, len(ids)))
+            start += length
+
 
 def _batches(windows: Iterable[tuple[Window, bool]], first_id: int) -> Iterator[pa.RecordBatch]:
     """The pieces of emitted windows as rows; sequence ids count up from ``first_id``."""
@@ -117,17 +128,11 @@ def pack_documents(
 
         def emitted() -> Iterator[tuple[Window, bool]]:
             for batch in batches:
-                for doc_id, text in zip(batch.column(0), batch.column(1)):
-                    ids = np.array([*use.encode(text.as_py() or ""), end_id], dtype="<u4")
-                    doc, start = doc_id.as_py(), 0
-                    while start < len(ids):
-                        rest = len(ids) - start
-                        room = max((w.free for w in packer.windows))
-                        length = rest if rest <= room else packer.fullest().free
-                        crc = zlib.crc32(ids[start : start + length].tobytes())
-                        for window in packer.place((doc, start, length, crc, len(ids))):
-                            yield window, False
-                        start += length
+                for begin in range(0, len(batch), AT_ONCE):
+                    some = batch.slice(begin, AT_ONCE)
+                    texts = use.encode_batch([t.as_py() or "" for t in some.column(1)])
+                    for doc, own in zip(some.column(0).to_pylist(), texts):
+                        yield from ((w, False) for w in packer.cut_and_place(doc, np.append(own, end_id).astype(ID)))
             yield from ((w, True) for w in packer.windows if w.pieces)
 
         yield from _batches(emitted(), TaskContext.get().partitionId() << 32)
