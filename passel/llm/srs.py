@@ -86,8 +86,8 @@ class ProjectedTree:
         heap = [(self._boxes(point, [0])[0], 0)]
         while heap:
             projected, node = heapq.heappop(heap)
-            # All that is left is projected at least this far.
-            if projected >= quantile * worst:
+            # All that is left is projected at least this far; equal vectors must not end the search by rounding.
+            if projected > quantile * (worst + margin):
                 break
             start, end, left, right = self.below[node]
             if left >= 0:

@@ -24,7 +24,7 @@ RECORDS_PER_FILE = 2000
 HEADER_BYTES = 1 << 16
 
 # Bytes that are inflated at once, and payload bytes that a worker hands over at once.
-STEP = 4096
+STEP = 1 << 16
 HANDED_OVER = 1 << 22
 NUMBERS = ("x-page-id", "x-refers-to-page-id", "http:content-length")
 
@@ -141,13 +141,17 @@ def _member_at(data: bytes, at: int) -> int:
 
 def _inflated(data: bytes, at: int) -> tuple[bytes, int, bool]:
     """What the member at ``at`` holds, where it ends, and whether it was whole."""
-    inflate, out, place = zlib.decompressobj(31), [], at
-    try:
-        while place < len(data) and not inflate.eof:
-            out.append(inflate.decompress(data[place : place + STEP]))
-            place += STEP
-    except zlib.error:
-        pass
+    inflate, out, place, step = zlib.decompressobj(31), [], at, STEP
+    while place < len(data) and not inflate.eof:
+        before = inflate.copy()
+        try:
+            out.append(inflate.decompress(data[place : place + step]))
+            place += step
+        except zlib.error:
+            if step == 1:
+                break
+            # Nearer to the damage in smaller steps.
+            inflate, step = before, step // 16
     if inflate.eof:
         return b"".join(out), min(place, len(data)) - len(inflate.unused_data), True
     return b"".join(out), _member_at(data, at + 1), False
@@ -187,50 +191,46 @@ def _record_at(data: bytes, at: int, member: int) -> Part:
     return Part(kind, member, at, end + 4, fields, payload)
 
 
+def _next_record(data: bytes, at: int, member: int) -> int:
+    """The next version line from ``at`` on that opens a record, or the end."""
+    found = VERSION_LINE.search(data, at)
+    while found and _record_at(data, found.start(), member).kind == "gap":
+        found = VERSION_LINE.search(data, found.start() + 1)
+    return found.start() if found else len(data)
+
+
 def _plain(data: bytes, member: int) -> Iterator[Part]:
     """Records and gaps of plain content. After a failed check the next version line that opens a record is sought."""
     at = 0
     while at < len(data):
         part = _record_at(data, at, member)
-        if part.kind != "gap":
-            yield part
-            at = part.end
-            continue
-        end = part.end
-        while end < 0:
-            found = VERSION_LINE.search(data, at + 1)
-            while found and _record_at(data, found.start(), member).kind == "gap":
-                found = VERSION_LINE.search(data, found.start() + 1)
-            end = found.start() if found else len(data)
-        yield Part("gap", member, part.start, end, reason=part.reason)
-        at = end
+        if part.kind == "gap" and part.end < 0:
+            part.end = _next_record(data, at + 1, member)
+        yield part
+        at = part.end
 
 
 def salvage(data: bytes) -> Iterator[Part]:
-    """All records of an archive, plain or of gzip members, and the gaps between them, in order.
+    """All records of an archive, plain or of gzip members or of both, and the gaps between them, in order.
 
-    A broken member gives the records before its damage; the search goes on at the next member that opens.
+    A broken member gives the records before its damage. The search goes on at the next member that opens, or
+    the next version line that opens a record, whichever is first.
     """
     at = 0
     while at < len(data):
-        if VERSION_LINE.match(data, at):
-            # Plain records go on to the end or to a member that follows a record's end.
-            end = _member_at(data, at)
-            while end < len(data) and data[end - 4 : end] != b"\r\n\r\n":
-                end = _member_at(data, end + 1)
-            yield from _plain(data[at:end], at)
-            at = end
-        elif data.startswith(MEMBER, at) and (inflated := _inflated(data, at))[0]:
+        if data.startswith(MEMBER, at) and any((inflated := _inflated(data, at))[::2]):
+            # A member that holds something, or one that is whole and empty.
             content, end, whole = inflated
             yield from _plain(content, at)
             if not whole:
                 yield Part("gap", at, len(content), len(content), reason=f"member broken, {end - at} bytes passed over")
             at = end
-        else:
-            line = VERSION_LINE.search(data, at + 1)
-            end = min(_member_at(data, at + 1), line.start() if line else len(data))
-            yield Part("gap", at, 0, end - at, reason="neither a member nor a version line")
-            at = end
+            continue
+        part = _record_at(data, at, 0)
+        if part.kind == "gap" and part.end < 0:
+            part.end = min(_member_at(data, at + 1), _next_record(data, at + 1, 0))
+        yield part
+        at = part.end
 
 
 PARTS = pa.schema(
