@@ -17,6 +17,7 @@ HTML_TAG = r"<[^>]+>"
 URL = r"http\S+|www\S+"
 MIN_CLEAN_CHARS = 100
 ANSWER_SEPARATOR = "\n\n[ANSWER]\n\n"
+COMMON_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "apos": "'", "nbsp": "\u00a0", "amp": "&"}
 TEXT_FIELDS = ("chunk_text", "text", "preview", "content")
 
 # Java's whitespace class leaves out the four ASCII separators that the cleaned text must not keep.
@@ -24,6 +25,8 @@ _BLANK_RUN = r"(?U)[\s\x1c-\x1f]+"
 _BLANK_ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 _URL_UNICODE = r"(?U)http[^\s\x1c-\x1f]+|www[^\s\x1c-\x1f]+"
 
+_OTHER_ENTITY = f"&(?!(?:{'|'.join(COMMON_ENTITIES)});)[#A-Za-z]"
+
 
 @F.arrow_udf(T.StringType())
 def _decode_entities(texts: pa.Array) -> pa.Array:
@@ -33,11 +36,14 @@ def _decode_entities(texts: pa.Array) -> pa.Array:
 def unescape_html(text: Column) -> Column:
     """Decode named, decimal and hexadecimal entities.
 
-    Only texts that hold an ampersand travel to Python; the others are passed as null and taken
-    from the original column again.
+    The common ones are replaced natively, the ampersand last so that nothing is decoded twice. Only
+    texts with others travel to Python; the rest are passed as null.
     """
-    marked = F.when(text.contains("&"), text)
-    return F.coalesce(_decode_entities(marked), text)
+    native = text
+    for entity, plain in COMMON_ENTITIES.items():
+        native = F.replace(native, F.lit(f"&{entity};"), F.lit(plain))
+    others = F.when(text.rlike(_OTHER_ENTITY), text)
+    return F.coalesce(_decode_entities(others), F.when(text.contains("&"), native).otherwise(text))
 
 
 def strip(text: Column) -> Column:

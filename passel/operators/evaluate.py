@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from passel.functions.numbers import round_report
 from passel.functions.text import normalize_label
-from passel.session import materialise
 
 # Decimals of reported shares and qualities, the name of a missing source, and how
 # many differing uids a comparison shows.
@@ -123,14 +122,11 @@ def coverage(hits: DataFrame, source: str = "source") -> DataFrame:
 
 
 def source_mix(hits: DataFrame, source: str = "source") -> DataFrame:
-    """The share of every source among all hits.
-
-    The hits are counted per source once and the counts stored, so the total comes from them.
-    """
+    """The share of every source among all hits; the total is the sum of the few counts per source."""
     label = F.coalesce(F.nullif(normalize_label(F.col(source)), F.lit("")), F.lit(UNKNOWN_SOURCE))
-    counted = materialise(hits.groupBy(label.alias("source")).agg(F.count("*").alias("n_hits")))
-    total = counted.agg(F.sum("n_hits")).first()[0] or 1
-    return counted.select("source", "n_hits", round_report(F.col("n_hits") / F.lit(total), DECIMALS).alias("share"))
+    counted = hits.groupBy(label.alias("source")).agg(F.count("*").alias("n_hits"))
+    total = F.sum("n_hits").over(Window.partitionBy(F.lit(0)))
+    return counted.select("source", "n_hits", round_report(F.col("n_hits") / total, DECIMALS).alias("share"))
 
 
 def source_mix_map(mix: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from passel.functions.encode import hashing_encoder
 from passel.functions.ids import build_uid
 from passel.functions.text import normalize_label
+from passel.operators.ann import DEFAULT_NPROBE, assign_cells, collect_centroids, train_cells
 from passel.operators.chunk import chunk_documents
 from passel.operators.corpus import assign_shards, merge_corpora
 from passel.operators.documents import clean_documents
+from passel.operators.search import search
 from passel.sources.corpus import read_stage, write_shards, write_stage
 
 
@@ -48,3 +50,20 @@ def build_corpus(
     vectors = embed_passages(read_stage(spark, f"{folder}/passages"), encoder)
     write_shards(assign_shards(vectors, n_shards), f"{folder}/corpus")
     return read_stage(spark, f"{folder}/corpus")
+
+
+def store_by_cell(corpus: DataFrame, folder: str, **training) -> None:
+    """Train cells on a corpus, give every vector its cell, and store centres and corpus, the latter by cell."""
+    centres = train_cells(corpus, **training)
+    rows = [(cell, [float(x) for x in centre]) for cell, centre in enumerate(centres)]
+    spark = corpus.sparkSession
+    write_stage(spark.createDataFrame(rows, "cell int, embedding array<double>").coalesce(1), f"{folder}/centres")
+    write_stage(assign_cells(corpus, centres), f"{folder}/cells", ["cell"])
+
+
+def search_by_cell(queries: DataFrame, folder: str, k: int, nprobe: int = DEFAULT_NPROBE, **options) -> DataFrame:
+    """Search what ``store_by_cell`` has stored; only the folders of the probed cells are read."""
+    spark = queries.sparkSession
+    centres = collect_centroids(read_stage(spark, f"{folder}/centres"), "cell")
+    stored = read_stage(spark, f"{folder}/cells")
+    return search(queries, stored, k, strategy="ivf", centroids=centres, nprobe=nprobe, **options)

@@ -356,6 +356,23 @@ WITH {SHARDED}, {ranked("hits", "candidates", 10, IS_WANTED)} SELECT {HITS}, sha
 """
 ORACLE["topk_sharded_filter_local"] = ORACLE["topk_sharded_filter_merge"]
 
+COPIES = VECTORS + f""",
+copies AS (
+  SELECT *, {SHARD} AS shard FROM corpus UNION ALL SELECT *, CAST(({SHARD} + 3) % 8 AS INTEGER) AS shard FROM corpus
+), {scored(source="copies")},
+candidates AS (
+  SELECT * EXCLUDE (place) FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid, shard ORDER BY score DESC, uid ASC) AS place FROM scored
+  ) WHERE place <= 30
+)"""
+
+ORACLE["topk_sharded_copies"] = f"WITH {COPIES}, {ranked('hits', 'candidates', 10)} SELECT {HITS} FROM hits"
+ORACLE["topk_fanout_copies"] = f"""
+WITH {COPIES}, best AS (SELECT qid, uid, max(score) AS score FROM candidates WHERE {IS_WANTED} GROUP BY ALL),
+{ranked("hits", "best", 10)}
+SELECT {HITS} FROM hits
+"""
+
 ORACLE["topk_dedup"] = f"""
 WITH {VECTORS}, doubled AS (SELECT * FROM corpus UNION ALL SELECT * FROM corpus), {scored(source="doubled")},
 best AS (SELECT qid, uid, max(score) AS score FROM scored GROUP BY ALL), {ranked("hits", "best", 10)}
@@ -501,7 +518,7 @@ string_agg(chunk_text, chr(10) || chr(10) ORDER BY rank) AS context {TEXT_JOIN}
 
 ORACLE["first_hit_per_query"] = f"WITH {EXACT} SELECT {HITS}, source FROM hits WHERE rank = 1"
 
-ORACLE["topk_ivf_stored"] = ORACLE["topk_ivf"]
+ORACLE["topk_ivf_stored"] = ORACLE["topk_ivf_trained"]
 
 ORACLE["search_single"] = f"""
 WITH {CHUNKS},

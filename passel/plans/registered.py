@@ -19,12 +19,12 @@ from passel.operators import ann, corpus, evaluate, hits, latency, metadata, val
 from passel.operators.chunk import chunk_documents
 from passel.operators.documents import clean_documents
 from passel.operators.search import encode_queries, search, search_many, search_one
-from passel.plans.corpus import embed_passages, passages
+from passel.plans.corpus import embed_passages, passages, search_by_cell, store_by_cell
 from passel.plans.retrieval import run_summary
 from passel.session import broadcast_if_small, checkpoint, materialise, scratch_path, spread
 from passel.sources import documents as raw
 from passel.sources import runs
-from passel.sources.corpus import discover_shards, read_stage, write_shards, write_stage
+from passel.sources.corpus import discover_shards, write_shards
 from passel.sources.queries import key_gold, query_lines, read_gold_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -486,6 +486,28 @@ def topk_fanout(spark: SparkSession, folder: str) -> DataFrame:
     return rounded_hits(shard_search(spark, folder, strategy="fanout"), "shard")
 
 
+def copied_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector in two shards under the same uid."""
+    once = sharded_corpus(spark, folder)
+    return once.unionByName(once.withColumn("shard", F.pmod(F.col("shard") + 3, F.lit(N_SHARDS))))
+
+
+@registered
+def topk_sharded_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies in two shards are two hits of the sharded search."""
+    found = search(label_queries(spark, folder), copied_shards(spark, folder), K, strategy="sharded", dedup=False)
+    return rounded_hits(found)
+
+
+@registered
+def topk_fanout_copies(spark: SparkSession, folder: str) -> DataFrame:
+    """The fan-out keeps the best occurrence of a uid only; a filter inside the shards leaves fewer candidates."""
+    found = search(
+        label_queries(spark, folder), copied_shards(spark, folder), K, strategy="fanout", source=WANTED_SOURCE, filter_stage="local"
+    )
+    return rounded_hits(found)
+
+
 @registered
 def topk_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return rounded_hits(search(label_queries(spark, folder), doubled_corpus(spark, folder), K))
@@ -535,13 +557,10 @@ def topk_nonfinite(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def topk_ivf_stored(spark: SparkSession, folder: str) -> DataFrame:
-    """The corpus stored by cell; a search then reads the folders of the probed cells only."""
-    asked = stored_queries(spark, folder)
-    centres = ann.collect_centroids(asked, "qid")
+    """Cells trained, the corpus stored by them, and the folders of the probed cells searched."""
     with scratch_path(spark) as path:
-        write_stage(ann.assign_cells(vector_corpus(spark, folder), centres), path, ["cell"])
-        found = search(asked, read_stage(spark, path), K, strategy="ivf", centroids=centres, nprobe=3)
-        return checkpoint(rounded_hits(found))
+        store_by_cell(vector_corpus(spark, folder), path, n_cells=16, rounds=TRAINING_ROUNDS)
+        return checkpoint(rounded_hits(search_by_cell(label_queries(spark, folder), path, K, nprobe=4)))
 
 
 @registered

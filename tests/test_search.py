@@ -329,3 +329,17 @@ def test_search_reads_only_uid_and_vector(spark, tables, queries):
     plan = plan_of(search(asked, frame, 5))
     assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>>" in plan
     assert "IsNotNull(embedding)" in plan.split("PushedFilters:")[1].split("ReadSchema")[0]
+
+
+def test_stored_cells_are_pruned(spark, corpus, queries, tmp_path):
+    """Only folders of probed cells are read, and what they hold is what a search of unstored cells finds."""
+    from passel.plans.corpus import search_by_cell, store_by_cell
+
+    store_by_cell(corpus[1], str(tmp_path), n_cells=6, rounds=2)
+    found = search_by_cell(queries[1].limit(1), str(tmp_path), 10, nprobe=2)
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [cell" in plan.replace("isnotnull(cell", "cell")
+    same = search(queries[1].limit(1), corpus[1], 10, strategy="ivf", n_cells=6, rounds=2, nprobe=2)
+    assert by_query(found) == by_query(same)
+    everything = search_by_cell(queries[1], str(tmp_path), 10, nprobe=6)
+    assert by_query(everything) == by_query(search(queries[1], corpus[1], 10))
