@@ -21,7 +21,7 @@ from passel.operators.documents import clean_documents
 from passel.operators.search import encode_queries, search, search_many, search_one
 from passel.plans.corpus import embed_passages, passages, search_by_cell, store_by_cell
 from passel.plans.retrieval import run_summary
-from passel.session import broadcast_if_small, checkpoint, materialise, scratch_path, spread
+from passel.session import checkpoint, materialise, scratch_path, spread
 from passel.sources import documents as raw
 from passel.sources import runs
 from passel.sources.corpus import discover_shards, write_shards
@@ -126,10 +126,9 @@ def run_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parsed_runs(spark: SparkSession, folder: str) -> DataFrame:
-    """The log with its run fields; every distinct file name is parsed once."""
+    """The log with its run fields, parsed where the rows lie."""
     log = run_log(spark, folder)
-    names = log.select("file_name").distinct().select("file_name", ids.parse_run_name(F.col("file_name")).alias("_run"))
-    return log.join(broadcast_if_small(names), "file_name").select("event_id", "value", "_run.*")
+    return log.select("event_id", "value", ids.parse_run_name(F.col("file_name")).alias("_run")).select("event_id", "value", "_run.*")
 
 
 def latency_figures(log: DataFrame, keys: list[str], metric: Column | None = None) -> DataFrame:
@@ -137,9 +136,8 @@ def latency_figures(log: DataFrame, keys: list[str], metric: Column | None = Non
 
 
 def run_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """Figures per run; the four columns read twice are stored instead of parsing the log again."""
-    keys = ["domain", "backend", "size"]
-    return latency_figures(materialise(parsed_runs(spark, folder).select(*keys, "value")), keys)
+    """Figures per run."""
+    return latency_figures(parsed_runs(spark, folder), ["domain", "backend", "size"])
 
 
 # ---------------------------------------------------------------- sources
