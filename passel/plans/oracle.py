@@ -261,7 +261,7 @@ ORACLE["corpus_slice"] = "SELECT doc_id, source, n_chars FROM documents ORDER BY
 
 ORACLE["corpus_shuffle"] = """
 SELECT uid, source, row_number() OVER (ORDER BY sha1(uid || ':42'), uid) - 1 AS position
-FROM (SELECT vec_id || '::c-1' AS uid, 'Source' || label AS source FROM embeddings)
+FROM (SELECT vec_id || '::c-1' AS uid, 'Source' || label || chr(9) AS source FROM embeddings)
 """
 
 DOC_SHARD = "CAST(CAST('0x' || substr(sha1(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % 8 AS INTEGER)"
