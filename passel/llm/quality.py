@@ -8,8 +8,9 @@ above. That share replaces the global one as the prior of the site's documents.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,9 @@ TRAINING_ROWS = 20_000
 BROADCAST_SITES = 100_000
 # Posterior probability of good quality from which a document is kept.
 KEEP_FROM = 0.5
-# Bytes of text whose features are counted at once.
-BLOCK = 1 << 22
+# Characters that are counted at once.
+SLICE = 1 << 22
+BLANK = re.compile(r"\s")
 
 # Kinds of bytes: other, lower case, upper case, digit, blank, line end, stop or comma, bar, exclamation mark, other sign, lead of two bytes.
 _KIND = np.zeros(256, np.uint8)
@@ -35,46 +37,42 @@ KINDS = 10
 FEATURES = ["log_bytes", "upper", "digit", "mark", "bar", "shout", "sign", "other", "word_bytes", "line_words", "repeated", "distinct", "most_frequent"]
 
 
-def features(texts: list[str]) -> np.ndarray:
-    """One row of numbers for each text; shares do not depend on its length."""
-    encoded = [t.encode() for t in texts]
-    lengths = np.array([len(e) for e in encoded])
-    data = np.frombuffer(b"".join(encoded), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    counts = np.bincount(owner * KINDS + _KIND[data], minlength=len(texts) * KINDS).reshape(-1, KINDS).astype(np.float64)
-    # Accented capitals of the Latin supplement: the second byte after 0xC3 is below 0x9F.
-    capital = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F)) if len(data) else np.empty(0, int)
-    accented = np.bincount(owner[capital], minlength=len(texts))
-    rows = np.zeros((len(texts), len(FEATURES)))
-    size = np.maximum(lengths, 1)
-    letters = np.maximum(counts[:, 1] + counts[:, 2] + counts[:, 0] / 2, 1)
-    rows[:, 0] = np.log1p(lengths)
-    rows[:, 1] = (counts[:, 2] + accented) / letters
-    for column, kind in enumerate((3, 6, 7, 8, 9, 0), 2):
-        rows[:, column] = counts[:, kind] / size
-    for i, text in enumerate(texts):
-        words = text.split()
-        if words:
-            n, distinct = len(words), Counter(words)
-            rows[i, 8] = min(lengths[i] / n, 50)
-            rows[i, 9] = math.log(n / (counts[i, 5] + 1) + 1)
-            rows[i, 10] = sum(a == b for a, b in zip(words, words[1:])) / n
-            # As many distinct words as expected of a text of this length, or fewer.
-            rows[i, 11] = math.log(len(distinct)) / math.log(n + 1)
-            rows[i, 12] = max(distinct.values()) / n
-    return rows
-
-
-def _blocks(texts: pa.Array) -> Iterator[list[str]]:
-    block, size = [], 0
-    for text in texts:
-        block.append(text.as_py() or "")
-        size += len(block[-1])
-        if size >= BLOCK:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def _slices(text: str) -> Iterator[str]:
+    """A text in pieces of about ``SLICE`` characters, cut at white space."""
+    start = 0
+    while start < len(text):
+        blank = BLANK.search(text, start + SLICE)
+        end = blank.start() if blank else len(text)
+        yield text[start:end]
+        start = end
+
+
+def _numbers(text: str) -> list[float]:
+    counts, size, accented, repeated, last = np.zeros(KINDS), 0, 0, 0, None
+    words: Counter[str] = Counter()
+    for piece in _slices(text):
+        data = np.frombuffer(piece.encode(), np.uint8)
+        size += len(data)
+        counts += np.bincount(_KIND[data], minlength=KINDS)
+        # Accented capitals of the Latin supplement: the second byte after 0xC3 is below 0x9F.
+        accented += int(((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F)).sum())
+        own = piece.split()
+        words.update(own)
+        repeated += sum(a == b for a, b in zip([last, *own], own))
+        last = own[-1] if own else last
+    letters = max(counts[1] + counts[2] + counts[0] / 2, 1)
+    shares = [counts[kind] / max(size, 1) for kind in (3, 6, 7, 8, 9, 0)]
+    row = [math.log1p(size), (counts[2] + accented) / letters, *shares]
+    if not (n := words.total()):
+        return row + [0.0] * 5
+    # Fewer distinct words than a text of this length has, and more of the most frequent one, speak of repetition.
+    variety = math.log(len(words)) / math.log(n + 1)
+    return row + [min(size / n, 50), math.log(n / (counts[5] + 1) + 1), repeated / n, variety, max(words.values()) / n]
+
+
+def features(texts: Iterable[str]) -> np.ndarray:
+    """One row of numbers for each text, most of them shares of its bytes or words."""
+    return np.array([_numbers(t) for t in texts]).reshape(-1, len(FEATURES))
 
 
 class Classifier:
@@ -117,7 +115,7 @@ def fit_classifier(
 
     @F.arrow_udf("array<double>")
     def numbers(texts: pa.Array) -> pa.Array:
-        return pa.array([row for block in _blocks(texts) for row in features(block).tolist()], pa.list_(pa.float64()))
+        return pa.array(features(t.as_py() or "" for t in texts).tolist(), pa.list_(pa.float64()))
 
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text"))
     # The chosen rows are bounded by the parameter.
@@ -183,7 +181,7 @@ def score_quality(
 
     @F.arrow_udf("double")
     def log_odds(texts: pa.Array) -> pa.Array:
-        return pa.array(np.concatenate([np.empty(0), *(classifier.log_odds(features(b)) for b in _blocks(texts))]))
+        return pa.array(classifier.log_odds(features(t.as_py() or "" for t in texts)))
 
     # A null path must meet itself in the join.
     path = F.coalesce(F.concat(F.lit("/"), of_row(path_col).cast("string")), F.lit(""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,28 +21,46 @@ RADIUS = 2
 SEED = 42
 # Shingles whose bits are counted at once.
 BLOCK = 1 << 15
-
-
-def _shingle_hashes(words: list[bytes], size: int) -> Iterator[np.ndarray]:
-    """The hashes of all runs of ``size`` words, repeats included, in blocks."""
+# Bytes of a text that are split into words at once.
+SLICE = 1 << 22
+BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _word_runs(data: bytes, carried: int) -> Iterator[list[bytes]]:
+    """The words of a text, in runs that begin with the last ``carried`` words of the run before."""
+    last, start = [], 0
+    while start < len(data):
+        blank = BLANK.search(data, start + SLICE)
+        end = blank.start() if blank else len(data)
+        words = last + data[start:end].split()
+        if len(words) > carried or end == len(data):
+            yield words
+            last = words[len(words) - carried :]
+        else:
+            last = words
+        start = end
+
+
+def _shingle_hashes(data: bytes, size: int) -> Iterator[np.ndarray]:
+    """The hashes of all runs of ``size`` words, repeats included, in blocks; of all words, if they are fewer."""
     digest = xxhash.xxh64_intdigest
-    last = max(1, len(words) - size + 1)
-    for start in range(0, last, BLOCK):
-        block = words[start : min(start + BLOCK, last) + size - 1]
-        line = b" ".join(block)
-        ends = np.cumsum([len(w) + 1 for w in block])
-        begins = [0, *ends[:-1].tolist()]
-        stops = (ends[min(size, len(block)) - 1 :] - 1).tolist()
-        yield np.fromiter((digest(line[a:b], SEED) for a, b in zip(begins, stops)), "<u8", len(stops))
+    for number, words in enumerate(_word_runs(data, size - 1)):
+        last = len(words) - size + 1
+        # Too few words are one shingle, unless they are the end of a longer text.
+        last = 1 if last < 1 and number == 0 and words else last
+        for start in range(0, last, BLOCK):
+            block = words[start : min(start + BLOCK, last) + size - 1]
+            line = b" ".join(block)
+            ends = np.cumsum([len(w) + 1 for w in block])
+            begins = [0, *ends[:-1].tolist()]
+            stops = (ends[min(size, len(block)) - 1 :] - 1).tolist()
+            yield np.fromiter((digest(line[a:b], SEED) for a, b in zip(begins, stops)), "<u8", len(stops))
 
 
 def fingerprint(text: str, shingle_words: int = SHINGLE_WORDS) -> int:
     """The SimHash of a text: the bits that over half of its shingle hashes have; 0 without words."""
-    words = text.encode().translate(_LOWER).split()
-    if not words:
-        return 0
     counts, total = np.zeros(BITS, np.int64), 0
-    for hashes in _shingle_hashes(words, shingle_words):
+    for hashes in _shingle_hashes(text.encode().translate(_LOWER), shingle_words):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(hashes)
     return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")

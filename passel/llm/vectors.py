@@ -36,22 +36,22 @@ def search_parts(
     """``query_id``, ``rank``, ``vec_id`` and ``score`` of the ``k`` best vectors of each query, ties to smaller ids.
 
     ``find(ids, matrix, query_ids, query_matrix)`` gives the query ids, vector ids and scores of the best of
-    one part. Parts are chosen by the hash of an id; a part is searched by one block of queries at a time, so that no
-    task holds more than ``part_rows`` vectors and ``BLOCK_QUERIES`` queries. No pair of a query and a vector
-    is a row: every part gives up to ``k`` for each query.
+    one part. Parts are chosen by the hash of a row's place in the table, so copies of one row spread too; a part is
+    searched by one block of queries at a time, so that no task holds more than about ``part_rows`` vectors and
+    ``BLOCK_QUERIES`` queries. No pair of a query and a vector is a row: every part gives up to ``k`` for each query.
     """
     n, width = vectors.agg(F.count("*"), F.max(F.size("vector"))).first()
     parts, blocks = -(-n // part_rows) or 1, -(-queries.count() // BLOCK_QUERIES) or 1
     width = width or 0
 
-    def part_of(count: int, seed: int) -> Column:
-        return F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int")
+    def one_of(value: Column, count: int) -> Column:
+        return F.pmod(F.xxhash64(value), F.lit(count)).cast("int")
 
     def each(count: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    corpus = vectors.select("*", part_of(parts, 1).alias("part"), each(blocks).alias("block"))
-    asked = queries.select("*", part_of(blocks, 2).alias("block"), each(parts).alias("part"))
+    corpus = vectors.select("*", one_of(F.monotonically_increasing_id(), parts).alias("part"), each(blocks).alias("block"))
+    asked = queries.select("*", one_of(F.col("vec_id"), blocks).alias("block"), each(parts).alias("part"))
 
     def local(own: pa.Table, ask: pa.Table) -> pa.Table:
         if not len(own) or not len(ask):

@@ -50,6 +50,13 @@ def test_features_do_not_depend_on_neighbours():
         assert np.array_equal(features([text])[0], row)
 
 
+def test_features_of_slices(monkeypatch):
+    texts = ["one one two\n two É!! | " * 40, "a", " " * 50]
+    whole = features(texts)
+    monkeypatch.setattr("passel.llm.quality.SLICE", 5)
+    assert np.allclose(features(texts), whole)
+
+
 def test_classifier_without_two_classes():
     rows = np.ones((4, 3))
     assert Classifier(rows, np.ones(4)).log_odds(rows)[0] == pytest.approx(math.log(5))

@@ -117,6 +117,16 @@ def test_fingerprint(text):
     assert fingerprint(text) == fingerprint_by_hand(text)
 
 
+@pytest.mark.parametrize("slice_bytes", [1, 7, 30])
+def test_fingerprint_of_slices(monkeypatch, slice_bytes):
+    """A long text is read in slices; shingles across their ends are not lost."""
+    monkeypatch.setattr("passel.llm.simhash.SLICE", slice_bytes)
+    chance = random.Random(slice_bytes)
+    for n in [0, 1, 2, 3, 4, 5, 50]:
+        text = " ".join(chance.choice(["a", "bb", "Ccc", "ü" * 9, ""]) for _ in range(n)) + " " * (n % 3)
+        assert fingerprint(text) == fingerprint_by_hand(text), text
+
+
 def test_groups_equal_all_pairs(spark, tables):
     docs = spark.read.parquet(f"{tables}/documents.parquet")
     own = {r.doc_id: fingerprint_by_hand(r.text) for r in docs.collect()}
