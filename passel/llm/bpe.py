@@ -30,7 +30,7 @@ WORD_END = "</w>"
 # Texts are encoded in slices of about so many characters, cut at white space.
 SLICE_CHARS = 1 << 20
 # Chunks that a worker remembers twice over, about.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 # Texts whose ids are held as Python numbers at once.
 AT_ONCE = 1024
 # Words up to this many bytes are merged together, longer ones each with a heap.
@@ -79,7 +79,9 @@ class FragmentEncoder:
         self.joined = self._joined_pairs()
         self.special = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
-        library = Tokenizer.from_str(spec)
+        # The library's rules for odd characters, without its vocabulary.
+        rules = model | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}
+        library = Tokenizer.from_str(json.dumps(rules))
         self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         names = {i: t for t, i in (self.vocabulary | self.special).items()}
         self.names = [names.get(i, "") for i in range(max(names) + 1)]

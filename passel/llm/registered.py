@@ -17,7 +17,7 @@ from passel.llm.quality import fit_classifier, score_quality
 from passel.llm.simhash import simhash_groups
 from passel.llm.srs import near_topk
 from passel.llm.suffix_dedup import drop_repeated_strings
-from passel.llm.tables import checkpoint, delete, shared_folder, table
+from passel.llm.tables import checkpoint, delete, shared_folder, short_batches, table
 from passel.llm.warc import read_archives, write_archives
 
 VOCABULARY = "word_bpe_49k.json"
@@ -27,8 +27,14 @@ ORACLE = {}
 
 
 def query(function):
-    QUERIES[function.__name__] = function
-    return function
+    """Register a query under its name; whole texts go to Python in short batches."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        short_batches(spark)
+        return function(spark, folder)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 @query

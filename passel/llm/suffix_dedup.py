@@ -38,12 +38,12 @@ SPAN = LENGTH - GRAM + 1
 # Texts are hashed in blocks of about so many bytes.
 BLOCK = 1 << 18
 # Records of a range.
-RANGE_RECORDS = 1 << 18
+RANGE_RECORDS = 1 << 17
 # Windows of a block, and the bytes that they all have.
 OFFSETS = 8
 CORE = LENGTH - OFFSETS + 1
 # Stretches that a worker hands over at once.
-FETCHED_AT_ONCE = 1 << 14
+FETCHED_AT_ONCE = 1 << 13
 
 COPY, REP, FIRST, LAST = range(4)
 IN_FIRST, IN_LAST, HEAD, MULTI = 1, 2, 4, 8
@@ -379,21 +379,23 @@ def _merged(spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())])))
 
 
-@F.arrow_udf(T.BinaryType())
-def _kept(texts: pa.Array, ranges: pa.Array) -> pa.Array:
-    out = []
+def _remaining(texts: pa.Array, ranges: pa.Array) -> Iterator[bytes]:
     for text, row in zip(texts, ranges):
         data = _opened(text)
         if row.is_valid:
             low, high = row.values.field("low").to_pylist(), row.values.field("high").to_pylist()
             data = b"".join(data[a:b] for a, b in zip([0, *high], [*low, len(data)]))
-        out.append(data)
-    return pa.array(out, pa.binary())
+        yield data
+
+
+@F.arrow_udf(T.BinaryType())
+def _kept(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+    return pa.array(_remaining(texts, ranges), pa.binary())
 
 
 @F.arrow_udf(T.StringType())
-def _decoded(kept: pa.Array) -> pa.Array:
-    return pa.array([k.as_py().decode("utf-8", "ignore") for k in kept], pa.string())
+def _kept_text(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+    return pa.array((kept.decode("utf-8", "ignore") for kept in _remaining(texts, ranges)), pa.string())
 
 
 def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -421,9 +423,11 @@ def drop_repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = slim.join(ranges, "doc", "left").select(
         ROW,
         F.col("size").cast("long").alias("size"),
+        # What is not asked for of these two is not made.
         _kept("pressed", "ranges").alias("kept"),
+        _kept_text("pressed", "ranges").alias("text"),
         F.coalesce(F.aggregate("ranges", nothing, lambda total, r: total + r["high"] - r["low"]), nothing).alias("removed"),
         F.coalesce(F.size("ranges").cast("long"), nothing).alias("spans"),
     )
     new = {"kept": "kept", "n_bytes": "size", "n_removed": "removed", "n_spans": "spans"}
-    return released(kept, docs.columns, **{text_col: _decoded("kept")}, **{name: F.col(c) for name, c in new.items()})
+    return released(kept, docs.columns, **{text_col: F.col("text")}, **{name: F.col(c) for name, c in new.items()})

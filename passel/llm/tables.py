@@ -59,3 +59,10 @@ def delete(spark: SparkSession, folder: str) -> None:
     """Remove a folder that an operator wrote and has read."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let at most ``rows`` rows go to Python at once, as whole texts are long; a setting of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
