@@ -51,6 +51,8 @@ def drop_repeated_lines(
     text = F.coalesce(of_row(text_col), F.lit(""))
     # Rows that share an id are told apart by their text.
     rows = held(docs).select(ROW, of_row(id_col).alias("id"), F.xxhash64(text).alias("version"))
+    # Another spelling of the key: the join then shuffles both sides, which lets a frequent line be split.
+    same = F.substring("key", 1, 16)
     keys = F.transform(F.split(text, "\n", -1), lambda line: _key_hash(line, min_chars))
     held_by = (
         rows.where("id is not null")
@@ -58,6 +60,8 @@ def drop_repeated_lines(
         .where("key is not null")
         .groupBy("key", "id", "version")
         .agg(F.collect_set("pos").alias("at"))
+        # The join below asks for this of one branch; asked of both, they keep one shuffle.
+        .where(same.isNotNull())
     )
     # The sum keeps the positions in this branch too, so both use one shuffle of the lines.
     n_docs = F.when(F.min("id") != F.max("id"), F.lit(2)).otherwise(1) if min_docs == 2 else F.count_distinct("id")
@@ -65,10 +69,10 @@ def drop_repeated_lines(
         held_by.groupBy("key")
         .agg(n_docs.alias("docs"), F.min("id").alias("keeper"), F.sum(F.size("at")).alias("lines"))
         .where((F.col("docs") >= min_docs) & (F.col("lines") > 1))
-        .select("key", "keeper")
+        .select(same.alias("same"), "keeper")
     )
     dropped = (
-        held_by.join(repeated, "key")
+        held_by.join(repeated, same == F.col("same"))
         .where("id <> keeper")
         .groupBy("id", "version")
         .agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("dropped"))
