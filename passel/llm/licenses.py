@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -81,6 +82,15 @@ VARIANTS = 60
 # A family needs this calibrated probability, and this share of a template's words in order.
 LEAST_PROBABILITY = 0.5
 LEAST_SIMILARITY = 0.8
+# Words that tell licences apart. A passage must have those of its template, and none of the others in
+# the middle of what it shares with it.
+MARKS = set(
+    "apache 2.0 www.apache.org license-2.0 mit gnu gpl lesser bsd mozilla cc by by-nc by-sa attribution attribution-noncommercial "
+    "attribution-sharealike cc0".split()
+)
+QUALIFIERS = set("affero lesser noncommercial sharealike noderivs noderivatives nc nd sa".split())
+# Longer gaps hold something else, such as another licence.
+GAP_WORDS = 3
 WORD = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
 
 
@@ -108,6 +118,20 @@ def similarity(words: list[str], template: list[str]) -> float:
     return sum(b.size for b in blocks) / len(template)
 
 
+def marked(words: list[str], template: list[str], blocks: list) -> bool:
+    """Whether words that agree with a template in ``blocks`` have its marks and no other qualifier between them."""
+    matched = {w for b in blocks for w in words[b.a : b.a + b.size]}
+    for one, two in zip(blocks, blocks[1:]):
+        gap = words[one.a + one.size : two.a]
+        if len(gap) > GAP_WORDS:
+            continue
+        matched.update(w[1:] for w in gap if w.startswith("v"))
+        before = words[one.a + one.size - 1]
+        if any(w in QUALIFIERS or w.startswith(("by-", "attribution-")) for w in gap if w not in template) or (before == "gnu" and gap[:1] == ["library"]):
+            return False
+    return MARKS.intersection(template) <= matched
+
+
 class LicenceModel:
     """Multinomial logistic regression over sparse word n-grams, with a temperature that calibrates it."""
 
@@ -126,6 +150,7 @@ class LicenceModel:
         chance.shuffle(rows)
         grams = sorted({g for words, _ in rows for g in ngrams(words, self.known)})
         self.index = {g: i for i, g in enumerate(grams)}
+        self.anchors = self._anchors(Counter(w for words in plain for w in words))
         y = np.array([self.families.index(f) for _, f in rows])
         held = np.arange(len(rows)) % 5 == 0
         features = [self.features(words) for words, _ in rows]
@@ -133,6 +158,22 @@ class LicenceModel:
         self._fit([f for f, h in zip(features, held) if not h], y[~held])
         self._calibrate([f for f, h in zip(features, held) if h], y[held])
 
+    def _anchors(self, seen: Counter) -> dict[str, list[tuple[str, list[str]]]]:
+        """For each anchor the templates that it stands for. A passage that passes has an anchor of its template: a
+        mark, or one of its rarest words, so many that without all of them too few are left."""
+        out = {}
+        for family, templates in self.templates.items():
+            for template in templates:
+                names = sorted(w for w in MARKS.intersection(template) if w[0].isalpha())
+                rare = sorted(set(template), key=lambda w: (seen[w], -len(w), w))
+                missing = int(len(template) * (1 - LEAST_SIMILARITY) + 1e-9) + 1
+                while not names or (not MARKS.intersection(names) and sum(template.count(w) for w in names) < missing):
+                    names.append(rare.pop(0))
+                chosen = [min(names, key=lambda w: (seen[w], w))] if MARKS.intersection(names) else names
+                for word in chosen:
+                    out.setdefault(word, []).append((family, template))
+        return out
+
     @staticmethod
     def _varied(template: list[str], others: list[str], chance: random.Random) -> list[str]:
         """A template with a word lost or spoilt now and then, and other words around it."""
@@ -192,17 +233,64 @@ class LicenceModel:
         """The family of the template that is most like a paragraph."""
         return max(((f, self.compare(words, f)) for f in self.templates), key=lambda b: b[1])
 
-    def scan(self, text: str) -> Iterator[tuple[int, str, float, float]]:
-        """Number, family, probability and template similarity of the paragraphs that look like a licence."""
-        grams = self.index.keys()
-        for number, paragraph in enumerate(text.split("\n")):
-            words = words_of(paragraph)
+    def passages(self, words: list[str]) -> Iterator[tuple[int, int, str, float, float]]:
+        """First and last place, family, probability and similarity of the passages of a paragraph that agree with a
+        template. Around each anchor, up to twice the template's words before and behind it are compared."""
+        done = {}
+        for place, word in enumerate(words):
+            for family, template in self.anchors.get(word, ()):
+                key = id(template)
+                low = max(done.get(key, 0), place - 2 * len(template))
+                if place < low:
+                    continue
+                near = words[low : place + 2 * len(template)]
+                blocks = SequenceMatcher(None, near, template, autojunk=False).get_matching_blocks()[:-1]
+                share = sum(b.size for b in blocks) / len(template)
+                if share < LEAST_SIMILARITY or not marked(near, template, blocks):
+                    continue
+                first, last = blocks[0].a, blocks[-1].a + blocks[-1].size
+                if last - first > 2 * len(template) + 2:
+                    continue
+                found, p = self.classify([w for b in blocks for w in near[b.a : b.a + b.size]])
+                if found == family and p >= LEAST_PROBABILITY:
+                    done[key] = low + last
+                    yield low + first, low + last - 1, family, p, share
+
+    def _paragraph(self, lines: list[tuple[int, list[str]]]) -> Iterator[tuple[int, str, float, float]]:
+        """Findings of consecutive lines: passages across their ends, and single lines that look like a licence."""
+        grams, hits, covered = self.index.keys(), {}, set()
+        if any(not self.anchors.keys().isdisjoint(words) for _, words in lines):
+            place = [number for number, words in lines for _ in words]
+            for first, last, family, p, share in self.passages([w for _, words in lines for w in words]):
+                key = place[first], family
+                hits[key] = max(hits.get(key, (0.0, 0.0)), (share, p))
+                covered.update((number, family) for number in range(place[first], place[last] + 1))
+        for number, words in lines:
             # Without any feature only the bias counts, which speaks for unknown.
             if grams.isdisjoint(words):
                 continue
             family, p = self.classify(words)
             if family != UNKNOWN and p >= LEAST_PROBABILITY:
-                yield number, family, p, self.compare(words, family)
+                share = self.compare(words, family)
+                if (number, family) in hits:
+                    hits[number, family] = max(hits[number, family], (share, p))
+                elif (number, family) not in covered or share >= LEAST_SIMILARITY:
+                    hits[number, family] = share, p
+        for (number, family), (share, p) in sorted(hits.items()):
+            yield number, family, p, share
+
+    def scan(self, text: str) -> Iterator[tuple[int, str, float, float]]:
+        """First line, family, probability and template similarity of what looks like a licence, by paragraphs: runs
+        of lines with words."""
+        lines = []
+        for number, line in enumerate(text.split("\n")):
+            words = words_of(line)
+            if words:
+                lines.append((number, words))
+            elif lines:
+                yield from self._paragraph(lines)
+                lines = []
+        yield from self._paragraph(lines)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
@@ -225,12 +313,13 @@ FOUND_TYPE = pa.list_(
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph that the classifier gives to a licence family.
+    """One row per licence statement: a passage of a paragraph and the family that the classifier gives it.
 
-    ``doc_id``, ``paragraph`` (its number among the lines of the text, from 0), ``family``, ``probability`` and
-    ``similarity`` with the family's nearest template; ``confirmed`` if that is at least ``LEAST_SIMILARITY``. Every
-    paragraph of the whole text is classified; null and empty texts have none. A repeated row gives its
-    paragraphs again; a null id stays null.
+    Paragraphs are runs of lines with words; a statement may be wrapped over several lines, and a line may hold
+    several. ``doc_id``, ``paragraph`` (the number of the line that the statement begins in, from 0), ``family``,
+    ``probability`` and ``similarity`` with the family's nearest template; ``confirmed`` if that is at least
+    ``LEAST_SIMILARITY``. The whole text is scanned; null and empty texts have none. A repeated row gives its
+    statements again; a null id stays null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
