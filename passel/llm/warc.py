@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -20,6 +21,10 @@ SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest
 # Shorter payloads are always written out.
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 2000
+# Uncompressed bytes after which a gzipped file is closed.
+FILE_BYTES = 1 << 26
+# The records of a gzipped file are parted by an empty member, which readers of gzip pass over.
+EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 # A header that has not ended after so many bytes is damaged.
 HEADER_BYTES = 1 << 16
 
@@ -28,6 +33,8 @@ STEP = 1 << 16
 HANDED_OVER = 1 << 22
 NUMBERS = ("x-page-id", "x-refers-to-page-id", "http:content-length")
 
+MEMBERS = pa.schema([("file", pa.int64()), ("value", pa.binary())])
+
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
 MEMBER = b"\x1f\x8b\x08"
 
@@ -89,6 +96,31 @@ def record_text() -> Column:
     return F.when(F.col("refers_to").isNull(), response).otherwise(_record("revisit", [*fields, *points], http))
 
 
+def _members(records: DataFrame, file_bytes: int) -> DataFrame:
+    """Each record as a gzip member, and the number of the file that it goes to: a task begins another one before
+    the records of a file pass ``file_bytes`` bytes."""
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, size = 0, 0
+        for batch in batches:
+            files, members, held = [], [], 0
+            for text in batch.column("value"):
+                data = text.as_buffer().to_pybytes() + RECORD_END.encode()
+                if size and size + len(data) > file_bytes:
+                    number, size = number + 1, 0
+                size += len(data)
+                files.append(number)
+                members.append(gzip.compress(data, 6, mtime=0))
+                held += len(members[-1])
+                if held > HANDED_OVER:
+                    yield pa.RecordBatch.from_pydict({"file": files, "value": members}, schema=MEMBERS)
+                    files, members, held = [], [], 0
+            if files:
+                yield pa.RecordBatch.from_pydict({"file": files, "value": members}, schema=MEMBERS)
+
+    return records.mapInArrow(written, "file long, value binary")
+
+
 def write_archives(
     pages: DataFrame,
     folder: str,
@@ -98,16 +130,26 @@ def write_archives(
     least_bytes: int = REVISIT_BYTES,
     compression: str = "gzip",
     records_per_file: int = RECORDS_PER_FILE,
+    file_bytes: int = FILE_BYTES,
 ) -> None:
     """Write one record per row to WARC files of at most ``records_per_file`` records; other columns are left out.
 
-    The line separator of Spark's text writer is the end of a record. Null payloads are empty. Of rows with one payload
+    With ``gzip`` each record is a member of its own, so that damage costs no later record, and a file holds at most
+    ``file_bytes`` bytes of records before compression, or a single record. The members are written as they are by
+    Spark's text writer, whose line separator is an empty member. With any other compression the separator is the end
+    of a record, and only the records of a file are bounded. Null payloads are empty. Of rows with one payload
     of at least ``least_bytes`` bytes, that of the largest id holds it and those of smaller ids are revisits of it;
     equal rows of the largest id all hold it. A row without an id holds its payload and is never referred to.
     """
     records = with_revisits(pages, id_col, url_col, payload_col, least_bytes).select(record_text().alias("value"))
-    writer = records.write.option("lineSep", RECORD_END).option("maxRecordsPerFile", records_per_file)
-    writer.option("compression", compression).text(folder)
+    if compression == "gzip":
+        # A binary value as text keeps its bytes; the separator's are spelled in Latin-1.
+        members = _members(records, file_bytes).select("file", F.col("value").cast("string").alias("value"))
+        writer = members.write.partitionBy("file").option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1"))
+        compression = "none"
+    else:
+        writer = records.write.option("lineSep", RECORD_END)
+    writer.option("maxRecordsPerFile", records_per_file).option("compression", compression).text(folder)
 
 
 # ---- reading
@@ -115,7 +157,10 @@ def write_archives(
 
 @dataclass
 class Part:
-    """A record, or a gap of bytes where ``kind`` is ``gap``; places count from the start of the member's content."""
+    """A record, or a gap of bytes where ``kind`` is ``gap``; places count from the start of the member's content.
+
+    The compressed bytes of a broken member that were passed over have member 0: their places are those of the file.
+    """
 
     kind: str
     member: int
@@ -139,8 +184,8 @@ def _member_at(data: bytes, at: int) -> int:
     return len(data)
 
 
-def _inflated(data: bytes, at: int) -> tuple[bytes, int, bool]:
-    """What the member at ``at`` holds, where it ends, and whether it was whole."""
+def _inflated(data: bytes, at: int) -> tuple[bytes, int, bool, int]:
+    """What the member at ``at`` holds, where it ends, whether it was whole, and up to where it was inflated."""
     inflate, out, place, step = zlib.decompressobj(31), [], at, STEP
     while place < len(data) and not inflate.eof:
         before = inflate.copy()
@@ -153,8 +198,11 @@ def _inflated(data: bytes, at: int) -> tuple[bytes, int, bool]:
             # Nearer to the damage in smaller steps.
             inflate, step = before, step // 16
     if inflate.eof:
-        return b"".join(out), min(place, len(data)) - len(inflate.unused_data), True
-    return b"".join(out), _member_at(data, at + 1), False
+        end = min(place, len(data)) - len(inflate.unused_data)
+        return b"".join(out), end, True, end
+    end = _member_at(data, at + 1)
+    # Damage may be noticed behind the next member only.
+    return b"".join(out), end, False, min(place, end)
 
 
 def _headers(data: bytes, start: int, end: int) -> dict[str, str]:
@@ -218,12 +266,13 @@ def salvage(data: bytes) -> Iterator[Part]:
     """
     at = 0
     while at < len(data):
-        if data.startswith(MEMBER, at) and any((inflated := _inflated(data, at))[::2]):
+        if data.startswith(MEMBER, at) and any((inflated := _inflated(data, at))[:3:2]):
             # A member that holds something, or one that is whole and empty.
-            content, end, whole = inflated
+            content, end, whole, good = inflated
             yield from _plain(content, at)
             if not whole:
-                yield Part("gap", at, len(content), len(content), reason=f"member broken, {end - at} bytes passed over")
+                # The places of this gap are those of the file.
+                yield Part("gap", 0, good, end, reason=f"member at {at} broken, {end - good} bytes passed over")
             at = end
             continue
         part = _record_at(data, at, 0)
@@ -287,7 +336,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Every record below ``folder``, and every gap with its ``reason``: the quarantine log.
 
     ``payload_bytes`` and ``payload_digest`` are taken from the bytes that were read; a revisit has them from its
-    header. A file is read as a whole, which ``records_per_file`` bounds when it is written.
+    header. A file is read as a whole, which ``records_per_file`` and ``file_bytes`` bound when it is written.
     """
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
     return files.mapInArrow(_read, PARTS_DDL)

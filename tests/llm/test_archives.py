@@ -116,3 +116,54 @@ def test_broken_member_gives_what_it_held(archives):
 
 def test_no_bytes():
     assert [*salvage(b"")] == [] and [p.kind for p in salvage(b"nothing here")] == ["gap"]
+
+
+@pytest.fixture(scope="module")
+def own_form(spark, tmp_path_factory):
+    """A gzipped file as the writer makes it."""
+    chance = random.Random(1)
+    texts = ["".join(chance.choice("abcdefgh <>é") for _ in range(chance.randrange(2000))) for _ in range(30)]
+    folder = written(spark, tmp_path_factory.mktemp("warc"), [(i, "u", t) for i, t in enumerate(texts)])
+    (file,) = glob.glob(f"{folder}/**/part-*", recursive=True)
+    with open(file, "rb") as opened:
+        return opened.read()
+
+
+def test_written_form_is_a_member_for_each_record(own_form):
+    parts = [*salvage(own_form)]
+    assert len(parts) == 30 and len({p.member for p in parts}) == 30
+    whole = gzip.decompress(own_form)
+    assert len([*salvage(whole)]) == 30
+
+
+def test_later_records_survive_damage_of_the_written_form(own_form):
+    chance, whole = random.Random(5), {*ids(salvage(own_form))}
+    for _ in range(60):
+        at = chance.randrange(len(own_form))
+        spoilt = bytearray(own_form)
+        spoilt[at] ^= chance.randrange(1, 256)
+        parts = [*salvage(bytes(spoilt))]
+        assert len({*ids(parts)} & whole) >= 28
+        # Places of a broken member are places of the file, within the damaged record.
+        for p in parts:
+            if "broken" in p.reason:
+                assert p.member == 0 and 0 < p.start <= p.end <= len(own_form) and str(p.end - p.start) in p.reason
+        assert len({*ids(salvage(own_form[:at] + own_form[at + 50 :]))} & whole) >= 27
+
+
+def test_the_range_of_a_broken_member(archives):
+    """The bytes from the damage to the next member, not an empty range."""
+    first = gzip.compress(random.Random(2).randbytes(200000))
+    data = first[:150000] + archives["members"]
+    (gap,) = [p for p in salvage(data) if "broken" in p.reason]
+    assert gap.end == 150000 and 100000 < gap.start <= gap.end
+
+
+def test_files_are_bounded_by_bytes(spark, tmp_path):
+    rows = [(i, "u", f"{i} " * 2000) for i in range(20)]
+    found = read_archives(spark, written(spark, tmp_path, rows, file_bytes=30000)).collect()
+    assert sorted(r.page_id for r in found) == list(range(20))
+    files = {}
+    for r in found:
+        files[r.archive] = files.get(r.archive, 0) + r.end - r.start
+    assert len(files) > 3 and max(files.values()) <= 30000
