@@ -25,7 +25,7 @@ RECORDS_PER_FILE = 2000
 FILE_BYTES = 1 << 26
 # The records of a gzipped file are parted by an empty member, which readers of gzip pass over.
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
-# A header that has not ended after so many bytes is damaged.
+# A header is mostly shorter; the end of a longer one is sought up to the next version line.
 HEADER_BYTES = 1 << 16
 
 # Bytes that are inflated at once, and payload bytes that a worker hands over at once.
@@ -220,6 +220,10 @@ def _record_at(data: bytes, at: int, member: int) -> Part:
     if not version:
         return gap("no version line")
     stop = data.find(b"\r\n\r\n", version.end(), version.end() + HEADER_BYTES)
+    if stop < 0:
+        # Each byte is searched once only: up to the next version line.
+        following = VERSION_LINE.search(data, version.end())
+        stop = data.find(b"\r\n\r\n", version.end(), following.start() if following else len(data))
     if stop < 0:
         return gap("header without an end")
     fields = _headers(data, version.end(), stop)

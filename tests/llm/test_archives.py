@@ -167,3 +167,12 @@ def test_files_are_bounded_by_bytes(spark, tmp_path):
     for r in found:
         files[r.archive] = files.get(r.archive, 0) + r.end - r.start
     assert len(files) > 3 and max(files.values()) <= 30000
+
+
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_a_very_long_url(spark, tmp_path, compression):
+    """A header far longer than usual is read whole, and a spoilt one costs its record only."""
+    url = "data:text/html;base64," + "QUJD" * 50000
+    folder = written(spark, tmp_path, [(1, "u", "a"), (2, url, "b" * 50), (3, "v", "c")], compression)
+    rows = {r.page_id: r for r in read_archives(spark, folder).collect()}
+    assert sorted(rows) == [1, 2, 3] and rows[2].target_uri == url and bytes(rows[2].payload) == b"b" * 50
