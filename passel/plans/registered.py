@@ -537,13 +537,13 @@ def topk_ivf_trained(spark: SparkSession, folder: str) -> DataFrame:
 
 @registered
 def topk_nonfinite(spark: SparkSession, folder: str) -> DataFrame:
-    """A corpus with null, infinite and undefined vectors between the others, in one partition; the rest is found."""
+    """A corpus with null, infinite and undefined vectors between the others; the rest is found."""
     spoilt = F.when(F.col("vec_id") % 7 == 0, F.lit(float("nan"))).when(F.col("vec_id") % 7 == 1, F.lit(float("inf")))
     bad = F.array_prepend(F.slice("embedding", 2, 1 << 30), spoilt.cast("float"))
     rows = table(spark, folder, "embeddings")
     vector = F.when(F.col("vec_id") % 7 < 2, bad).when(F.col("vec_id") % 7 > 2, F.col("embedding"))
     key = F.col("vec_id").cast("string")
-    searched = rows.select(ids.build_uid(key, F.lit(None)).alias("uid"), key.alias("id"), vector.alias("embedding")).coalesce(1)
+    searched = rows.select(ids.build_uid(key, F.lit(None)).alias("uid"), key.alias("id"), vector.alias("embedding"))
     asked = label_queries(spark, folder)
     found = [
         search(asked, searched, K, metric="cosine").withColumn("how", F.lit("exact")),

@@ -171,6 +171,22 @@ def test_one_bad_vector_costs_no_other(spark, corpus, queries, metric, strategy)
     assert got == want and (strategy == "lsh" or all(len(uids) == 10 for uids in got.values()))
 
 
+@pytest.mark.parametrize("strategy", ["exact", "sharded", "fanout"])
+def test_bad_vectors_within_one_batch(spark, corpus, queries, strategy):
+    """Null, infinite and undefined vectors between the others of a single partition."""
+    bad = {0: [float("nan")] * 8, 1: [float("inf")] * 8, 2: None}
+    rows = [(r[0], bad[i % 7] if i % 7 in bad else r[1], *r[2:]) for i, r in enumerate(corpus[0])]
+    frame = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    assert by_query(search(queries[1], frame, 10, strategy=strategy)) == brute(queries[0], [r for i, r in enumerate(rows) if i % 7 not in bad], 10)
+
+
+def test_bad_vectors_query_reads_in_many_tasks(spark, tables):
+    """The scan's own partitions do the work of the registered query."""
+    from passel.plans.registered import topk_nonfinite
+
+    assert "Coalesce 1" not in topk_nonfinite(spark, tables)._jdf.queryExecution().toString()
+
+
 def test_trained_cells_do_not_depend_on_partitions(corpus):
     from passel.operators.ann import train_cells
 
