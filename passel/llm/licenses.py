@@ -229,6 +229,14 @@ class LicenceModel:
     def compare(self, words: list[str], family: str) -> float:
         return max(similarity(words, t) for t in self.templates[family])
 
+    def names(self, words: list[str], family: str) -> bool:
+        """Whether a paragraph agrees with a template of the family and has what tells it apart."""
+        for template in self.templates[family]:
+            blocks = SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks()[:-1]
+            if sum(b.size for b in blocks) / len(template) >= LEAST_SIMILARITY and marked(words, template, blocks):
+                return True
+        return False
+
     def best(self, words: list[str]) -> tuple[str, float]:
         """The family of the template that is most like a paragraph."""
         return max(((f, self.compare(words, f)) for f in self.templates), key=lambda b: b[1])
@@ -272,6 +280,9 @@ class LicenceModel:
             family, p = self.classify(words)
             if family != UNKNOWN and p >= LEAST_PROBABILITY:
                 share = self.compare(words, family)
+                # So like a template, but with the name or version of another licence.
+                if share >= LEAST_SIMILARITY and not self.names(words, family):
+                    continue
                 if (number, family) in hits:
                     hits[number, family] = max(hits[number, family], (share, p))
                 elif (number, family) not in covered or share >= LEAST_SIMILARITY:
@@ -316,7 +327,8 @@ def scan_licences(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id",
     """One row per licence statement: a passage of a paragraph and the family that the classifier gives it.
 
     Paragraphs are runs of lines with words; a statement may be wrapped over several lines, and a line may hold
-    several. ``doc_id``, ``paragraph`` (the number of the line that the statement begins in, from 0), ``family``,
+    several. What agrees with a template except for the words that tell licences apart (Affero, ND, another version) is
+    of an unknown licence and has no row. ``doc_id``, ``paragraph`` (the number of the line that the statement begins in, from 0), ``family``,
     ``probability`` and ``similarity`` with the family's nearest template; ``confirmed`` if that is at least
     ``LEAST_SIMILARITY``. The whole text is scanned; null and empty texts have none. A repeated row gives its
     statements again; a null id stays null.
