@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passel.llm.grams import PIECES, PIECES_TYPE, buckets, chained, opened, part_bits, pieces, word_keys
-from passel.llm.tables import checkpoint
+from passel.llm.grams import PIECES, PIECES_TYPE, buckets, chained, opened, packed, part_bits, pieces, unpacked, word_keys
+from passel.llm.tables import checkpoint, delete, stored
+from passel.session import broadcast_if_small
 
 MOST_WORDS = 5
 THRESHOLD = 100
@@ -23,10 +24,10 @@ SALTS = 32
 _MARKS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes(46 if b in _MARKS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-STATE = "bucket long, lang string, n long, words array<string>, seq array<int>, phrases array<struct<words:array<string>,a:long>>"
+STATE = "bucket long, lang string, n long, words array<string>, size long, seq binary, phrases array<struct<words:array<string>,a:long>>"
 _PHRASES = pa.list_(pa.struct([("words", pa.list_(pa.string())), ("a", pa.int64())]))
 STATE_TYPE = pa.schema([
-    ("bucket", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string())), ("seq", pa.list_(pa.int32())), ("phrases", _PHRASES),
+    ("bucket", pa.int64()), ("lang", pa.string()), ("n", pa.int64()), ("words", pa.list_(pa.string())), ("size", pa.int64()), ("seq", pa.binary()), ("phrases", _PHRASES),
 ])
 ANSWERS = "bucket long, first int, at binary, counts binary, own binary"
 ANSWERS_TYPE = pa.schema([("bucket", pa.int64()), ("first", pa.int32()), ("at", pa.binary()), ("counts", pa.binary()), ("own", pa.binary())])
@@ -53,7 +54,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([(number << 16) + k], pa.int64()), pa.array([lang], pa.string()), pa.array([int((seq >= 0).sum())], pa.int64()),
-                    _array([0, len(kept)], kept.cast(pa.string(), safe=False)), _array([0, len(seq)], pa.array(seq)), pa.array([None], _PHRASES),
+                    _array([0, len(kept)], kept.cast(pa.string(), safe=False)), pa.array([len(seq)], pa.int64()), pa.array([packed(seq)], pa.binary()),
+                    pa.array([None], _PHRASES),
                 ],
                 schema=STATE_TYPE,
             )
@@ -84,7 +86,7 @@ def _of_state(row: dict, order: int):
     lang = row["lang"].encode()
     vocabulary = row["words"].values if isinstance(row["words"], pa.ListScalar) else row["words"]
     keys = word_keys(vocabulary, lang + b"\x00")
-    seq = row["seq"].values.to_numpy() if row["seq"].is_valid else np.zeros(0, np.int32)
+    seq = unpacked(row["seq"].as_py())
     return seq, vocabulary, _windows(seq, keys, order)
 
 
@@ -189,7 +191,8 @@ def _receiver(order: int, most: int):
         kept = vocabulary.take(pa.array(used))
         return pa.Table.from_arrays(
             [
-                state["bucket"], state["lang"], state["n"], _array([0, len(kept)], kept), _array([0, len(seq)], pa.array(number[seq], pa.int32())),
+                state["bucket"], state["lang"], state["n"], _array([0, len(kept)], kept), pa.array([len(seq)], pa.int64()),
+                pa.array([packed(number[seq])], pa.binary()),
                 pa.array([phrases], _PHRASES),
             ],
             schema=STATE_TYPE,
@@ -209,22 +212,22 @@ def frequent_phrases(
     ones be. One bucket of those that hold a phrase names its words.
     """
     lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
-    state = checkpoint(docs.select(lang.alias("lang"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_split, STATE))
+    spark = docs.sparkSession
+    state, path = stored(docs.select(lang.alias("lang"), F.col(f"`{text_col}`").alias("text")).mapInArrow(_split, STATE))
     totals = checkpoint(state.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"))
-    found = []
+    phrases = None
     for order in range(1, most_words + 1):
-        tokens = state.agg(F.sum(F.size("seq"))).first()[0] or 0
-        bits = part_bits(tokens)
+        bits = part_bits(state.agg(F.sum("size")).first()[0] or 0)
         sent = state.select("bucket", "lang", "words", "seq").mapInArrow(_sender(order, bits), PIECES)
         answers = sent.groupBy("part").applyInArrow(_counter(threshold), ANSWERS)
-        state = checkpoint(
-            state.drop("phrases").groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_receiver(order, most_words), STATE)
-        )
-        found.append(state.select("lang", F.explode("phrases").alias("p")).select("lang", "p.*"))
-    phrases = found[0]
-    for more in found[1:]:
-        phrases = phrases.unionByName(more)
-    return checkpoint(phrases), totals
+        runs = state.drop("phrases").groupBy("bucket").cogroup(answers.groupBy("bucket"))
+        before = path
+        state, path = stored(runs.applyInArrow(_receiver(order, most_words), STATE))
+        delete(spark, before)
+        found = checkpoint(state.select("lang", F.explode("phrases").alias("p")).select("lang", "p.*"))
+        phrases = found if phrases is None else phrases.unionByName(found)
+    delete(spark, path)
+    return phrases, totals
 
 
 def _joined(words: Column) -> Column:
@@ -257,7 +260,7 @@ def collocations(
     tails = parts.select("lang", F.col("phrase").alias("tail"), F.col("a").alias("r"))
     wide = "decimal(19,0)"
     score = F.expr(f"(cast(a AS {wide}) * cast(n AS {wide}) * 1000) div (cast(l AS {wide}) * cast(r AS {wide}))")
-    scored = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).join(totals, "lang").withColumn("score", score)
+    scored = cuts.join(heads, ["lang", "head"]).join(tails, ["lang", "tail"]).join(broadcast_if_small(totals), "lang").withColumn("score", score)
     lowest = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     spans = named.where("size(words) > 2").select("lang", "words", F.col("a").alias("around")).select(
         "lang", "around", "words", F.explode(F.sequence(F.lit(2), F.size("words") - 1)).alias("size")

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import TaskContext
 
 # Text that a bucket gathers; a longer text is a bucket of its own.
@@ -70,13 +71,24 @@ def chained(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def planes(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, the bytes of each weight together: the high ones are zeros, which compress away."""
-    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from -1 on, or sorted keys as differences, compressed with the bytes of each weight together."""
+    rising = values.dtype == np.uint64
+    values = np.diff(values, prepend=np.uint64(0)) if rising else (values + 1).astype("<u4")
+    return zstandard.compress(values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes(), 1)
 
 
-def unplaned(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return _unpacked(data, "<u4").astype(np.int32) - np.int32(1)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, "<u8"), dtype=np.uint64)
 
 
 def part_bits(tokens: int, part_tokens: int = PART_TOKENS) -> int:
@@ -95,8 +107,8 @@ def pieces(bucket: int, keys: np.ndarray, counts: np.ndarray, bits: int, series:
             pa.array(np.full(len(spans), bucket), pa.int64()),
             pa.array(found + (series << bits), pa.int32()),
             pa.array(first, pa.int32()),
-            pa.array([planes(keys[a:b]) for a, b in spans], pa.binary()),
-            pa.array([counts[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary()),
+            pa.array([packed(keys[a:b]) for a, b in spans], pa.binary()),
+            pa.array([packed(counts[a:b]) for a, b in spans], pa.binary()),
         ],
         schema=PIECES_TYPE,
     )
@@ -104,7 +116,5 @@ def pieces(bucket: int, keys: np.ndarray, counts: np.ndarray, bits: int, series:
 
 def opened(table: pa.Table) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
     """(bucket, first, keys, counts) of each row of ``PIECES``, by bucket."""
-    rows = [
-        (r["bucket"], r["first"], unplaned(r["keys"]), np.frombuffer(r["counts"], "<i4").astype(np.int64)) for r in table.to_pylist()
-    ]
+    rows = [(r["bucket"], r["first"], unpacked_keys(r["keys"]), unpacked(r["counts"]).astype(np.int64)) for r in table.to_pylist()]
     return sorted(rows, key=lambda r: r[:2])

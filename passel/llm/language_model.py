@@ -10,8 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passel.llm.grams import PIECES, PIECES_TYPE, buckets, chained, opened, part_bits, pieces, word_keys, words
-from passel.llm.tables import checkpoint
+from passel.llm.grams import PIECES, PIECES_TYPE, buckets, chained, opened, packed, part_bits, pieces, unpacked, word_keys, words
+from passel.llm.tables import checkpoint, delete, stored
 
 ORDER = 2
 # Numbers of the marks before and behind a text, and their keys; no word holds a blank.
@@ -22,9 +22,9 @@ STRETCH = 2048
 # Counts are summed up in bins of a factor of two.
 BINS = 64
 
-STATE = "bucket long, tokens long, keys array<long>, seq array<int>, sizes array<int>, ids array<long>, held array<boolean>"
+STATE = "bucket long, tokens long, keys array<long>, seq binary, sizes array<int>, ids array<long>, held array<boolean>"
 STATE_TYPE = pa.schema([
-    ("bucket", pa.int64()), ("tokens", pa.int64()), ("keys", pa.list_(pa.int64())), ("seq", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())),
+    ("bucket", pa.int64()), ("tokens", pa.int64()), ("keys", pa.list_(pa.int64())), ("seq", pa.binary()), ("sizes", pa.list_(pa.int32())),
     ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
 ])
 # An answer to a bucket, or (bucket null) how many n-grams have a count of a bin, and the counts' sum.
@@ -48,16 +48,21 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for number, table in buckets(batches):
         flat, sizes = words(table["text"].combine_chunks())
         coded = flat.dictionary_encode()
+        vocabulary, coded_words = coded.dictionary, coded.indices.to_numpy()
+        # Frequent words get small numbers, which take less room.
+        often = np.argsort(-np.bincount(coded_words, minlength=len(vocabulary)), kind="stable")
+        renamed = np.empty(len(often), np.int32)
+        renamed[often] = np.arange(FIRST_WORD, FIRST_WORD + len(often))
         ends = np.cumsum(sizes + 2)
         seq = np.empty(int(ends[-1]), np.int32)
         inner = np.ones(len(seq), bool)
         inner[ends - 1] = inner[ends - sizes - 2] = False
-        seq[inner] = coded.indices.to_numpy() + FIRST_WORD
+        seq[inner] = renamed[coded_words]
         seq[ends - 1], seq[ends - sizes - 2] = END, BEGIN
-        keys = np.concatenate([_MARKS, word_keys(coded.dictionary)]).view(np.int64)
+        keys = np.concatenate([_MARKS, word_keys(vocabulary.take(pa.array(often)))]).view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array([number], pa.int64()), pa.array([len(seq) - len(sizes)], pa.int64()), _whole(pa.array(keys)), _whole(pa.array(seq)),
+                pa.array([number], pa.int64()), pa.array([len(seq) - len(sizes)], pa.int64()), _whole(pa.array(keys)), pa.array([packed(seq)], pa.binary()),
                 _whole(pa.array(sizes + 2, pa.int32())), _whole(table["doc_id"].combine_chunks()), _whole(table["held"].combine_chunks()),
             ],
             schema=STATE_TYPE,
@@ -68,8 +73,8 @@ class Grams:
     """The n-grams of a bucket: for each length the number of the one that ends at each token (-1: none of one text),
     numbered in the order of their keys, with keys and one place of each."""
 
-    def __init__(self, row: dict[str, pa.ListScalar], order: int):
-        self.seq = row["seq"].values.to_numpy()
+    def __init__(self, row: dict[str, pa.Scalar], order: int):
+        self.seq = unpacked(row["seq"].as_py())
         self.sizes = row["sizes"].values.to_numpy().astype(np.int64)
         self.held = row["held"].values.to_numpy(zero_copy_only=False).astype(bool)
         word_key = row["keys"].values.to_numpy().view(np.uint64)
@@ -279,10 +284,10 @@ def score_texts(
     rows = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(held_out, F.lit(False)).alias("held")
     )
-    state = checkpoint(rows.mapInArrow(_coded, STATE))
+    state, path = stored(rows.mapInArrow(_coded, STATE))
     bits = part_bits(state.agg(F.sum("tokens")).first()[0] or 0)
     sent = state.mapInArrow(_sender(order, bits), PIECES)
-    answers = checkpoint(sent.groupBy("part").applyInArrow(_counter(bits), ANSWERS))
+    answers, told_path = stored(sent.groupBy("part").applyInArrow(_counter(bits), ANSWERS))
     # At most BINS rows for each length.
     bins = answers.where("bucket is null").groupBy("series", "bin").agg(F.sum("types").alias("types"), F.sum("mass").alias("mass")).collect()
     of = [[(b.types, b.mass) for b in bins if b.series == n] for n in range(order)]
@@ -290,5 +295,7 @@ def score_texts(
     tokens, types = sum(m for _, m in of[0]), sum(t for t, _ in of[0])
     strengths = [concentration(of[n - 1], once[n] / max(1, sum(m for _, m in of[n]))) for n in range(1, order)]
     told = answers.where("bucket is not null").select("bucket", "series", "first", "at", "counts")
-    scored = state.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_scorer(order, strengths, tokens, types), SCORES)
+    scored = checkpoint(state.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(_scorer(order, strengths, tokens, types), SCORES))
+    for read in (path, told_path):
+        delete(docs.sparkSession, read)
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """The DataFrame as Parquet in the shared folder, and where it lies, so that it can be deleted when it has been read."""
+    path = f"{shared_folder(df.sparkSession)}/passel-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def held(df: DataFrame) -> DataFrame:
     """The table with its rows in one struct column."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from passel.llm import grams, language_model
 from passel.llm.collocations import collocations, frequent_candidates
-from passel.llm.grams import buckets, planes, unplaned, words
+from passel.llm.grams import buckets, packed, unpacked, unpacked_keys, words
 from passel.llm.language_model import STRETCH, Automaton, Grams, concentration, score_texts
 from passel.llm.registered import QUERIES
 
@@ -30,8 +30,11 @@ def docs_of(spark, rows):
 
 def test_keys_come_back():
     keys = np.unique(np.random.default_rng(3).integers(0, 1 << 64, 5000, dtype=np.uint64))
-    assert (unplaned(planes(keys)) == keys).all()
-    assert len(unplaned(planes(keys[:0]))) == 0
+    for part in (keys, keys[:1], keys[:0]):
+        assert (unpacked_keys(packed(part)) == part).all()
+    numbers = np.array([-1, 5, 0, 1 << 20, -1])
+    for part in (numbers, numbers[:0]):
+        assert (unpacked(packed(part)) == part).all()
 
 
 def test_words_of_all_blanks():
@@ -229,7 +232,7 @@ def test_arcs_of_a_state_sum_to_one():
     keys = np.random.default_rng(1).integers(0, 1 << 62, vocabulary)
     seq = np.concatenate([[0, *t, 1] for t in texts]).astype(np.int32)
     row = {
-        "seq": pa.scalar(seq.tolist(), pa.list_(pa.int32())), "sizes": pa.scalar([len(t) + 2 for t in texts], pa.list_(pa.int32())),
+        "seq": pa.scalar(packed(seq), pa.binary()), "sizes": pa.scalar([len(t) + 2 for t in texts], pa.list_(pa.int32())),
         "held": pa.scalar([False] * 3, pa.list_(pa.bool_())), "keys": pa.scalar(keys.tolist(), pa.list_(pa.int64())),
     }
     bucket = Grams(row, 3)
