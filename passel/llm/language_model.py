@@ -19,6 +19,8 @@ BEGIN, END, FIRST_WORD = 0, 1, 2
 _MARKS = word_keys(pa.array([" begin", " end"]))
 # Tokens of a text that are read at once beside others; the state at a later stretch is that after the words before it.
 STRETCH = 2048
+# Text of a bucket: a task needs about 25 times its memory.
+TEXT_BYTES = 8 << 20
 # Counts are summed up in bins of a factor of two.
 BINS = 64
 
@@ -45,7 +47,7 @@ def _whole(values: pa.Array) -> pa.Array:
 
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Buckets as word numbers: each text with a mark before and one behind."""
-    for number, table in buckets(batches):
+    for number, table in buckets(batches, TEXT_BYTES):
         flat, sizes = words(table["text"].combine_chunks())
         coded = flat.dictionary_encode()
         vocabulary, coded_words = coded.dictionary, coded.indices.to_numpy()
@@ -79,23 +81,23 @@ class Grams:
         self.held = row["held"].values.to_numpy(zero_copy_only=False).astype(bool)
         word_key = row["keys"].values.to_numpy().view(np.uint64)
         self.begins = np.cumsum(self.sizes) - self.sizes
-        self.depth = np.arange(len(self.seq)) - np.repeat(self.begins, self.sizes)
+        self.depth = np.arange(len(self.seq), dtype=np.int32) - np.repeat(self.begins, self.sizes).astype(np.int32)
         self.learned = np.repeat(~self.held, self.sizes)
         self.at, self.keys, self.one = [], [], []
         for n in range(order):
             there = np.flatnonzero(self.depth >= n)
             code = self.seq[there].astype(np.int64)
             if n:
-                code += self.at[n - 1][there - 1] * len(word_key)
+                code += self.at[n - 1][there - 1].astype(np.int64) * len(word_key)
             _, one, code = np.unique(code, return_index=True, return_inverse=True)
             one = there[one]
             keys = word_key[self.seq[one]]
             if n:
                 keys = chained(self.keys[n - 1][self.at[n - 1][one - 1]], keys)
             by_key = np.argsort(keys, kind="stable")
-            place = np.empty(len(by_key), np.int64)
+            place = np.empty(len(by_key), np.int32)
             place[by_key] = np.arange(len(by_key))
-            at = np.full(len(self.seq), -1)
+            at = np.full(len(self.seq), -1, np.int32)
             at[there] = place[code]
             self.at.append(at)
             self.keys.append(keys[by_key])
