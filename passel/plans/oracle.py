@@ -436,14 +436,16 @@ cells{r + 1} AS (
     return ",".join(parts)
 
 
-ORACLE["topk_ivf_trained"] = f"""
-WITH {VECTORS}, {trained_cells(16, 2)},
+ASSIGNED = """
 assigned AS (
   SELECT * FROM (
     SELECT corpus.*, cell, row_number() OVER (PARTITION BY vec_id ORDER BY round(list_cosine_similarity(v, c), 11) DESC, cell) AS place
     FROM corpus CROSS JOIN cells2
   ) WHERE place = 1
-),
+)"""
+
+ORACLE["topk_ivf_trained"] = f"""
+WITH {VECTORS}, {trained_cells(16, 2)}, {ASSIGNED},
 probes AS (
   SELECT * FROM (
     SELECT qid, q, cell, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(q, c), 11) DESC, cell) AS place
@@ -455,6 +457,76 @@ near_scored AS (SELECT qid, {IP} AS score, a.uid FROM probes p JOIN assigned a O
 SELECT {HITS} FROM hits
 """
 
+# Sampled queries, their exact hits without themselves, and for each number of probes the recall and the share scored.
+CURVE = f"""
+sampled AS (
+  SELECT uid AS own, v AS q, row_number() OVER (ORDER BY sha1(uid || ':q42'), v) - 1 AS qid FROM corpus
+  QUALIFY qid < 256
+), sample_scored AS (
+  SELECT qid, a.cell, row_number() OVER (PARTITION BY qid ORDER BY {IP} DESC, a.uid) AS rank
+  FROM sampled CROSS JOIN assigned a WHERE a.uid <> own
+), sample_probes AS (
+  SELECT qid, cell, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(q, c), 11) DESC, cell) AS nprobe
+  FROM sampled CROSS JOIN cells2
+), found AS (
+  SELECT nprobe, count(rank) AS hits FROM sample_probes p LEFT JOIN sample_scored s ON s.qid = p.qid AND s.cell = p.cell AND rank <= 10
+  GROUP BY nprobe
+), read AS (
+  SELECT nprobe, sum(n) AS n FROM sample_probes JOIN (SELECT cell, count(*) AS n FROM assigned GROUP BY cell) USING (cell) GROUP BY nprobe
+), curve AS (
+  SELECT nprobe, sum(hits) OVER (ORDER BY nprobe) / sum(hits) OVER () AS recall, sum(n) OVER (ORDER BY nprobe) / sum(n) OVER () AS share_read
+  FROM found JOIN read USING (nprobe)
+)"""
+
+ORACLE["topk_exact_cells"] = ORACLE["topk_exact_l2"]
+
+ORACLE["probe_calibration"] = f"""
+WITH {VECTORS}, {trained_cells(16, 2)}, {ASSIGNED}, {CURVE}
+SELECT CAST(asked AS DOUBLE) AS recall_asked, CAST(nprobe AS INTEGER) AS nprobe, round(recall, 6) AS recall, round(share_read, 6) AS share_read
+FROM (SELECT unnest([0.5, 0.8, 0.9, 0.95, 1.0]) AS asked) JOIN curve ON recall >= asked
+QUALIFY row_number() OVER (PARTITION BY asked ORDER BY nprobe) = 1
+"""
+
+ORACLE["topk_ivf_calibrated"] = f"""
+WITH {VECTORS}, {trained_cells(16, 2)}, {ASSIGNED}, {CURVE},
+probes AS (
+  SELECT * FROM (
+    SELECT qid, q, cell, row_number() OVER (PARTITION BY qid ORDER BY round(list_cosine_similarity(q, c), 11) DESC, cell) AS place
+    FROM queries CROSS JOIN cells2
+  ) WHERE place <= (SELECT min(nprobe) FROM curve WHERE recall >= 0.95)
+),
+near_scored AS (SELECT qid, {IP} AS score, a.uid FROM probes p JOIN assigned a ON p.cell = a.cell),
+{ranked("hits", "near_scored", 10)}
+SELECT {HITS} FROM hits
+"""
+
+ORACLE["topk_lsh_stored"] = f"""
+WITH {VECTORS},
+directions AS (
+  SELECT t, b, i, (CAST('0x' || substr(md5('42:' || (t * 8 + b) || ':' || (i - 1)), 1, 8) AS BIGINT) % 2001 - 1000) / CAST(1000 AS DOUBLE) AS a
+  FROM (SELECT unnest(range(0, 8)) AS t) CROSS JOIN (SELECT unnest(range(0, 8)) AS b) CROSS JOIN (SELECT unnest(range(1, 65)) AS i)
+),
+filed AS (
+  SELECT vec_id, t, CAST(sum(CASE WHEN p > 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS code FROM (
+    SELECT vec_id, t, b, round(sum(x * a), 9) AS p
+    FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM corpus) JOIN directions USING (i) GROUP BY ALL
+  ) GROUP BY ALL
+),
+asked AS (
+  SELECT qid, t, b, round(sum(x * a), 9) AS p
+  FROM (SELECT qid, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM queries) JOIN directions USING (i) GROUP BY ALL
+),
+costs AS (
+  SELECT qid, t, code, round(sum(CASE WHEN (p > 0) <> ((code >> b) & 1 = 1) THEN p * p ELSE 0 END), 9) AS cost
+  FROM asked CROSS JOIN (SELECT unnest(range(0, 256)) AS code) GROUP BY ALL
+),
+probes AS (SELECT qid, t, code FROM costs QUALIFY row_number() OVER (PARTITION BY qid ORDER BY cost, t, code) <= 240),
+candidates AS (SELECT DISTINCT qid, vec_id FROM probes JOIN filed USING (t, code)),
+near_scored AS (SELECT qid, {IP} AS score, uid FROM candidates JOIN queries USING (qid) JOIN corpus USING (vec_id)),
+{ranked("hits", "near_scored", 10)}
+SELECT {HITS} FROM hits
+"""
+
 HASHED = """
 directions AS (
   SELECT t, i, (CAST('0x' || substr(md5('42:' || t || ':' || (i - 1)), 1, 8) AS BIGINT) % 2001 - 1000) / CAST(1000 AS DOUBLE) AS a

@@ -19,7 +19,18 @@ from passel.operators import ann, corpus, evaluate, hits, latency, metadata, val
 from passel.operators.chunk import chunk_documents
 from passel.operators.documents import clean_documents
 from passel.operators.search import encode_queries, search, search_many, search_one
-from passel.plans.corpus import embed_passages, passages, search_by_cell, store_by_cell
+from passel.operators.cells import probes_for
+from passel.operators.hashing import HashTables
+from passel.plans.corpus import (
+    calibrate,
+    embed_passages,
+    exact_by_cell,
+    passages,
+    search_by_cell,
+    search_in_tables,
+    store_by_cell,
+    store_in_tables,
+)
 from passel.plans.retrieval import run_summary
 from passel.session import checkpoint, materialise, scratch_path, spread
 from passel.sources import documents as raw
@@ -34,6 +45,8 @@ N_SHARDS = 8
 WANTED_SOURCE = "\tSource3\u00a0"
 DIGITS = 6
 TRAINING_ROUNDS = 2
+VECTOR_DIM = 64
+RECALLS = (0.5, 0.8, 0.9, 0.95, 1.0)
 BACKENDS = ("click", "error", "purchase", "signup", "view")
 SINGLE_QUERY = "The of and that"
 SINGLE, MULTI = "wiki", "multidomain"
@@ -561,11 +574,46 @@ def topk_ivf_stored(spark: SparkSession, folder: str) -> DataFrame:
         return checkpoint(rounded_hits(search_by_cell(label_queries(spark, folder), path, K, nprobe=4)))
 
 
+@registered
+def topk_exact_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact search by distance, over stored cells whose extents say which can hold a hit."""
+    with scratch_path(spark) as path:
+        store_by_cell(vector_corpus(spark, folder), path, n_cells=16, rounds=TRAINING_ROUNDS)
+        return checkpoint(rounded_hits(exact_by_cell(label_queries(spark, folder), path, K, metric="l2").hits))
+
+
+@registered
+def probe_calibration(spark: SparkSession, folder: str) -> DataFrame:
+    """How many of the stored cells a recall needs, measured on a sample of the corpus, and the share that is read then."""
+    with scratch_path(spark) as path:
+        store_by_cell(vector_corpus(spark, folder), path, n_cells=16, rounds=TRAINING_ROUNDS)
+        chosen = probes_for(calibrate(vector_corpus(spark, folder), path, K), RECALLS)
+        return checkpoint(chosen.withColumns({c: F.round(c, DIGITS) for c in ("recall", "share_read")}))
+
+
+@registered
+def topk_ivf_calibrated(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored cells, as many of them probed as a recall of 0.95 took in the calibration."""
+    with scratch_path(spark) as path:
+        store_by_cell(vector_corpus(spark, folder), path, n_cells=16, rounds=TRAINING_ROUNDS)
+        calibrate(vector_corpus(spark, folder), path, K)
+        return checkpoint(rounded_hits(search_by_cell(label_queries(spark, folder), path, K, recall=0.95)))
+
+
 @registered
 def topk_lsh(spark: SparkSession, folder: str) -> DataFrame:
     return rounded_hits(vector_search(spark, folder, strategy="lsh"))
 
 
+@registered
+def topk_lsh_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Eight stored hash tables; the 240 likeliest of their 2048 buckets are probed."""
+    with scratch_path(spark) as path:
+        tables = HashTables(VECTOR_DIM)
+        store_in_tables(vector_corpus(spark, folder), path, tables)
+        return checkpoint(rounded_hits(search_in_tables(label_queries(spark, folder), path, tables, K)))
+
+
 @registered
 def search_text(spark: SparkSession, folder: str) -> DataFrame:
     """The whole way from raw documents and text queries to ranked passages."""
