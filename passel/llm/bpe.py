@@ -48,6 +48,8 @@ BEYOND = re.compile("[\x1c-\x1f\u0530-\U0010ffff]")
 NUMBERS = "\\d\u00b2\u00b3\u00b9\u00bc\u00bd\u00be"
 WORDS = re.compile(f"'(?:[stdm]|re|ve|ll)|[^\\W_{NUMBERS}]+|[{NUMBERS}]|(?:[^\\w\\s]|_)+")
 SPACE = re.compile("[ \t\n\r]")
+# Signs that often end a chunk and are words of their own.
+MARKS = ".,;:!?"
 
 
 @cache
@@ -198,8 +200,8 @@ class FragmentEncoder:
                     heapq.heappush(heap, (r, left))
         return [p for p in parts if p >= 0]
 
-    def _learn(self, chunks: set[str | bytes]) -> list[str | bytes]:
-        """Encode chunks that are not known; gives those that are too long to be remembered."""
+    def _learn(self, chunks: list[str | bytes]) -> list[str | bytes]:
+        """Encode distinct chunks that are not known; gives those that are too long to be remembered."""
         known, older = self.known, self.older
         # A bytes chunk is a word as the library splits it; other chunks may hold several words.
         words, several, long = set(), {}, []
@@ -208,9 +210,14 @@ class FragmentEncoder:
                 known[chunk] = ids
             elif isinstance(chunk, bytes) or chunk.isalpha():
                 words.add(chunk)
+            elif chunk[-1:] in MARKS and (head := chunk[:-1]).isalpha():
+                several[chunk] = (head, chunk[-1])
+                if head not in known:
+                    words.add(head)
             else:
                 several[chunk] = own = WORDS.findall(chunk)
                 words.update(w for w in own if w not in known)
+        words.update(m for m in MARKS if m not in known)
         short, data = [], []
         for word in words:
             own = word if isinstance(word, bytes) else word.encode()
@@ -223,20 +230,44 @@ class FragmentEncoder:
         known.update(zip(short, self.encode_words(data)))
         for chunk, own in several.items():
             if chunk not in known:
-                known[chunk] = b"".join(map(known.__getitem__, own))
+                known[chunk] = known[own[0]] + known[own[1]] if len(own) == 2 else b"".join(map(known.__getitem__, own))
                 if len(chunk) > SHORT:
                     long.append(chunk)
         return long
 
-    def _chunks(self, text: str) -> list[str | bytes]:
-        """What stands between blanks in a text without special tokens; its words are encoded on their own."""
+    def _prepared(self, text: str) -> str | list[bytes]:
+        """A text without special tokens in lower case, its words between blanks; or its words, by the library's rules."""
         if BEYOND.search(text):
             pieces = self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))
             return [bytes(map(self.letters.__getitem__, piece)) for piece, _ in pieces]
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        # The final sigma is no case of its own here.
-        return text.replace("\u03a3", "\u03c3").lower().split()
+        if not text.isascii():
+            if not unicodedata.is_normalized("NFC", text):
+                text = unicodedata.normalize("NFC", text)
+            # The final sigma is no case of its own here; two blanks are not ASCII.
+            text = text.replace("\u03a3", "\u03c3").replace("\x85", " ").replace("\xa0", " ")
+        return text.lower()
+
+    def _ids(self, chunks: pa.Array, sizes: np.ndarray) -> list[bytes]:
+        """The ids of runs of ``sizes`` chunks. Each distinct chunk is looked up once, and its ids are taken by number."""
+        coded = chunks.dictionary_encode()
+        distinct = _strings(coded.dictionary)
+        found = [*map(self.known.get, distinct)]
+        missing = _places_of_none(found)
+        long = self._learn([distinct[i] for i in missing])
+        for i in missing:
+            found[i] = self.known[distinct[i]]
+        for chunk in long:
+            del self.known[chunk]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // ID.itemsize
+        starts, ids = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(found), ID)
+        number = coded.indices.to_numpy()
+        taken = lengths[number]
+        stops = np.cumsum(taken)
+        at = np.repeat(starts[number] - stops + taken, taken)
+        at += np.arange(len(at))
+        cuts = np.concatenate([[0], stops])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        out = ids[at]
+        return [out[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
     def _sliced(self, text: str) -> Iterator[str | int]:
         """Slices of a text cut at white space, and the ids of the special tokens between them."""
@@ -257,22 +288,25 @@ class FragmentEncoder:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """All ids of some texts. They are encoded in groups of slices, so that many words are merged at once."""
         out: list[list[bytes]] = [[] for _ in texts]
-        group: list[tuple[int, list[str | bytes]]] = []
+        # Texts with the words that the library splits are few; the two kinds are looked up apart.
+        groups: dict[type, list[tuple[int, int, str | list[bytes]]]] = {str: [], list: []}
         size = 0
 
         def finish() -> None:
-            found = [[*map(self.known.get, chunks)] for _, chunks in group]
-            gaps = [_places_of_none(own) for own in found]
-            long = self._learn({chunks[i] for (_, chunks), places in zip(group, gaps) for i in places})
-            for (n, chunks), own, places in zip(group, found, gaps):
-                for i in places:
-                    own[i] = self.known[chunks[i]]
-                out[n].append(b"".join(own))
-            for chunk in long:
-                del self.known[chunk]
+            found: list[tuple[int, int, bytes]] = []
+            if plain := groups[str]:
+                runs = pc.ascii_split_whitespace(pa.array([part for *_, part in plain], pa.string()))
+                ids = self._ids(pc.list_flatten(runs), pc.list_value_length(runs).to_numpy(zero_copy_only=False))
+                found += [(place, n, own) for (place, n, _), own in zip(plain, ids)]
+            if split := groups[list]:
+                ids = self._ids(pa.array([w for *_, part in split for w in part], pa.binary()), np.array([len(part) for *_, part in split]))
+                found += [(place, n, own) for (place, n, _), own in zip(split, ids)]
+            for _, n, own in sorted(found, key=lambda f: f[0]):
+                out[n].append(own)
             if len(self.known) > REMEMBERED:
                 self.older, self.known = self.known, {}
-            group.clear()
+            plain.clear()
+            groups[list].clear()
 
         for n, text in enumerate(texts):
             for part in self._sliced(text):
@@ -280,7 +314,8 @@ class FragmentEncoder:
                     finish()
                     out[n].append(np.array([part], ID).tobytes())
                     continue
-                group.append((n, self._chunks(part)))
+                prepared = self._prepared(part)
+                groups[type(prepared)].append((len(groups[str]) + len(groups[list]), n, prepared))
                 size += len(part)
                 if size >= SLICE_CHARS:
                     finish()
@@ -297,6 +332,14 @@ class FragmentEncoder:
         return " ".join(map(self.names.__getitem__, ids))
 
 
+def _strings(chunks: pa.Array) -> list[str | bytes]:
+    """The values of a column; strings, which hold no blank here, all at once by joining and splitting them."""
+    if not len(chunks) or not pa.types.is_string(chunks.type):
+        return chunks.to_pylist()
+    whole = pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks)
+    return pc.binary_join(whole, " ")[0].as_py().split(" ")
+
+
 def _places_of_none(found: list) -> list[int]:
     places, i = [], -1
     try:
