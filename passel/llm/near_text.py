@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from passel.llm.components import connected_components
 from passel.llm.simhash import _LOWER, _shingle_hashes
-from passel.llm.tables import ROW, checkpoint, held, of_row, released
+from passel.llm.tables import ROW, checkpoint, held, of_row, released, tidy
 
 SHINGLE_WORDS = 5
 # The least Jaccard similarity of two sets of shingles that links them, as a fraction.
@@ -61,6 +61,7 @@ SKETCH_TYPE = pa.struct([("class", pa.int64()), ("n", pa.int32()), ("check", pa.
 
 def _sketcher():
     @F.arrow_udf(SKETCH)
+    @tidy
     def sketched(texts: pa.Array) -> pa.Array:
         rows = []
         for text in texts:
@@ -75,6 +76,7 @@ def _sketcher():
 
 def _shingler():
     @F.arrow_udf("array<long>")
+    @tidy
     def shingled(texts: pa.Array) -> pa.Array:
         return pa.array([shingles(t.as_py() or "").view(np.int64) for t in texts], pa.list_(pa.int64()))
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passel.llm.bpe import AT_ONCE, ID, encoder, vocabulary
-from passel.llm.tables import checkpoint
+from passel.llm.tables import checkpoint, tidy
 
 MAX_TOKENS = 4096
 OPEN_WINDOWS = 16
@@ -122,6 +122,7 @@ def pack_documents(
     """
     spec = vocabulary(docs.sparkSession, path)
 
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = encoder(spec.value)
         packer = Packer(size, n_open)
@@ -137,6 +138,7 @@ def pack_documents(
 
         yield from _batches(emitted(), TaskContext.get().partitionId() << 32)
 
+    @tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns[:5]))]
         rows.sort(key=lambda r: (-r[2], r[0] is None, r[0] or 0, r[1], r[3]))

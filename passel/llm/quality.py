@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passel.llm.tables import ROW, checkpoint, held, of_row, released
+from passel.llm.tables import ROW, checkpoint, held, of_row, released, tidy
 
 # Labelled rows that the classifier is fitted on at most.
 TRAINING_ROWS = 20_000
@@ -114,6 +114,7 @@ def fit_classifier(
     chosen = known.groupBy("doc").agg(F.max("good").alias("good")).orderBy(F.xxhash64("doc"), "doc").limit(rows)
 
     @F.arrow_udf("array<double>")
+    @tidy
     def numbers(texts: pa.Array) -> pa.Array:
         return pa.array(features(t.as_py() or "" for t in texts).tolist(), pa.list_(pa.float64()))
 
@@ -180,6 +181,7 @@ def score_quality(
     """
 
     @F.arrow_udf("double")
+    @tidy
     def log_odds(texts: pa.Array) -> pa.Array:
         return pa.array(classifier.log_odds(features(t.as_py() or "" for t in texts)))
 

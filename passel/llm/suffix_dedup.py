@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from passel.llm.tables import ROW, checkpoint, delete, held, of_row, released, shared_folder
+from passel.llm.tables import ROW, checkpoint, delete, held, of_row, released, shared_folder, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -134,6 +134,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np
         yield texts, np.array(ids, np.int64), np.array(starts, np.int64)
 
 
+@tidy
 def _emit_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for texts, ids, starts in _blocks(batches):
         k1, k2, owner, at = stretches(texts, np.arange(len(texts)))
@@ -164,6 +165,7 @@ def multikey_order(n: int, key: Callable[[int, np.ndarray], np.ndarray], levels:
     return order, run
 
 
+@tidy
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort the records of one range; tell copies from the first of a class (k1, k2) and say which classes share k1."""
     parts = [b for b in batches if len(b)]
@@ -231,6 +233,7 @@ def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return row, np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+@tidy
 def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One record per block of a stretch: hash of the bytes that its windows share, hash of the whole, document, place."""
     for batch in batches:
@@ -251,6 +254,7 @@ def _emit_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["k1", "k2", "doc", "at"])
 
 
+@tidy
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One record per window of an open block, keyed by the hashes of its first and its last 64 bytes."""
     for batch in batches:
@@ -281,6 +285,7 @@ def _opened(value: pa.Scalar) -> bytes:
     return zstandard.ZstdDecompressor().decompress(value.as_buffer())
 
 
+@tidy
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the stretches that are asked for, document by document."""
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,3 +77,33 @@ def short_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
         spark.conf.set(key, str(rows))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker lives on between tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Not every C library has it.
+        pass
+
+
+def tidy(task: Callable) -> Callable:
+    """A task on batches, or on one column, that gives its memory back at the end."""
+
+    @wraps(task)
+    def on_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    @wraps(task)
+    def on_column(column: pa.Array) -> pa.Array:
+        try:
+            return task(column)
+        finally:
+            give_back()
+
+    return on_batches if "batches" in task.__annotations__ else on_column
