@@ -11,7 +11,7 @@ from passel.llm.near_text import drop_near_texts
 from passel.llm.packing import pack_documents
 from passel.llm.quality import fit_classifier, score_quality
 from passel.llm.suffix_dedup import drop_repeated_strings
-from passel.llm.tables import checkpoint, short_batches, table
+from passel.llm.tables import delete, short_batches, stored, table
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -65,10 +65,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage reads what the one before has written to the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage; each stage reads the Parquet that the one before has written to the shared folder."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            docs = checkpoint(docs)
+            docs, path = stored(docs)
+            if before:
+                delete(spark, before)
+            before = path
     return docs
