@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import html
 from collections.abc import Sequence
+from html.entities import html5
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The patterns each collection is cleaned with and the lengths kept.
 CITATION_NUMBER_OR_EDIT = r"\[\d+\]|\[edit\]"
@@ -28,22 +27,61 @@ _URL_UNICODE = r"(?U)http[^\s\x1c-\x1f]+|www[^\s\x1c-\x1f]+"
 _OTHER_ENTITY = f"&(?!(?:{'|'.join(COMMON_ENTITIES)});)[#A-Za-z]"
 
 
-@F.arrow_udf(T.StringType())
-def _decode_entities(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+# What stands for an entity: a decimal or hexadecimal number, or a name, with or without its semicolon.
+_ENTITY = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+# Names that need no semicolon, the longest first, so that the longest of those that fit is found.
+_BARE_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+_PAIR, _BETWEEN = "\x01", "\x02"
+_NAMED = _BETWEEN.join(f"{name}{_PAIR}{value}" for name, value in html5.items())
+# Numbers below 256 by the standard's rules: some stand for other characters, some for none.
+_LOW = 256
+_LOW_NUMBERS = [html.unescape(f"&#{n};") for n in range(_LOW)]
+_REPLACEMENT = "\ufffd"
+
+
+def _character(number: Column) -> Column:
+    """The character of a code point from 256 on, by its UTF-16 code units."""
+    units = F.when(number < 0x10000, F.lpad(F.hex(number), 4, "0")).otherwise(
+        F.concat(F.hex(0xD800 + F.shiftright(number - 0x10000, 10)), F.hex(0xDC00 + (number - 0x10000).bitwiseAND(F.lit(0x3FF))))
+    )
+    return F.decode(F.unhex(units), "UTF-16BE")
+
+
+def _numeric_entity(entity: Column) -> Column:
+    digits = F.regexp_extract(entity, "[0-9a-fA-F]+", 0)
+    significant = F.regexp_replace(digits, "^0+(?=.)", "")
+    hexadecimal = F.substring(entity, 3, 1).isin("x", "X")
+    # Nine digits are beyond the last code point in either base.
+    number = F.when(F.length(significant) < 9, F.when(hexadecimal, F.conv(significant, 16, 10)).otherwise(significant).cast("bigint"))
+    beyond = number.isNull() | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
+    nothing = number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    low = F.get(F.array(*[F.lit(c) for c in _LOW_NUMBERS]), number.cast("int"))
+    return F.when(beyond, _REPLACEMENT).when(number < _LOW, low).when(nothing, "").otherwise(_character(number))
+
+
+def _named_entity(entity: Column) -> Column:
+    names = F.str_to_map(F.lit(_NAMED), F.lit(_BETWEEN), F.lit(_PAIR))
+    bare = F.regexp_extract(entity, f"^&({_BARE_NAMES})", 1)
+    shortened = F.concat(F.element_at(names, bare), F.substring(entity, F.length(bare) + 2, F.length(entity)))
+    return F.coalesce(F.try_element_at(names, F.substring(entity, 2, F.length(entity))), F.when(bare != "", shortened), entity)
 
 
 def unescape_html(text: Column) -> Column:
-    """Decode named, decimal and hexadecimal entities.
+    """Decode named, decimal and hexadecimal entities, with or without a semicolon, as the HTML standard does.
 
-    The common ones are replaced natively, the ampersand last so that nothing is decoded twice. Only
-    texts with others travel to Python; the rest are passed as null.
+    Where a text has only the common ones, they are replaced one after the other, the ampersand last so that nothing
+    is decoded twice. Others are cut out, decoded one by one and put back between what stood around them.
     """
-    native = text
+    common = text
     for entity, plain in COMMON_ENTITIES.items():
-        native = F.replace(native, F.lit(f"&{entity};"), F.lit(plain))
-    others = F.when(text.rlike(_OTHER_ENTITY), text)
-    return F.coalesce(_decode_entities(others), F.when(text.contains("&"), native).otherwise(text))
+        common = F.replace(common, F.lit(f"&{entity};"), F.lit(plain))
+    around = F.split(text, _ENTITY, -1)
+    decoded = F.transform(
+        F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(0)),
+        lambda e: F.when(F.substring(e, 2, 1) == "#", _numeric_entity(e)).otherwise(_named_entity(e)),
+    )
+    whole = F.array_join(F.flatten(F.zip_with(around, decoded, lambda a, d: F.array(a, F.coalesce(d, F.lit(""))))), "")
+    return F.when(text.rlike(_OTHER_ENTITY), whole).when(text.contains("&"), common).otherwise(text)
 
 
 def strip(text: Column) -> Column:

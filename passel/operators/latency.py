@@ -19,6 +19,8 @@ SUMMARY_DECIMALS = 2
 TOTAL_DECIMALS = 1
 
 SKETCH_ACCURACY = 10_000
+# Items a KLL sketch keeps at its largest level; ranks are then off by about 0.4 % of the values.
+SKETCH_ITEMS = 800
 
 
 def _same_keys(n: int, left: str, right: str) -> Column:
@@ -117,6 +119,41 @@ def _bracketed_counts(rows: DataFrame, group: list[str], fractions: list[float],
     return listed.groupBy(*group, "_n", "_total", "_e.i", "_e.v").agg(F.count("*").alias("_c"))
 
 
+def run_sketches(df: DataFrame, keys: Sequence[str], value: str, items: int = SKETCH_ITEMS) -> DataFrame:
+    """``n``, ``total`` and a KLL ``sketch`` of the values of each group, to be stored beside the group's log.
+
+    Sketches of a few kilobytes take the place of the log in every later rollup. Nulls and values that are not
+    numbers are left out.
+    """
+    known = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
+    return df.withColumn("_v", known).groupBy(*keys).agg(
+        F.count("_v").alias("n"),
+        F.coalesce(F.sum("_v"), F.lit(0.0)).alias("total"),
+        F.kll_sketch_agg_double("_v", F.lit(items)).alias("sketch"),
+    )
+
+
+def merge_sketches(sketches: DataFrame, keys: Sequence[str], items: int = SKETCH_ITEMS) -> DataFrame:
+    """Stored sketches of finer groups merged into those of coarser ones; merging may go on upward in any order."""
+    return sketches.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch", F.lit(items)).alias("sketch")
+    )
+
+
+def sketch_percentiles(
+    sketches: DataFrame, keys: Sequence[str], percentiles: Mapping[str, float] = PERCENTILES
+) -> DataFrame:
+    """Percentiles read off sketches, close to the exact ones in rank; a group without values gives 0.
+
+    :func:`exact_percentiles` stays the way to exact figures.
+    """
+    found = [
+        F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", F.lit(p / 100.0))).otherwise(F.lit(0.0)).alias(name)
+        for name, p in percentiles.items()
+    ]
+    return sketches.select(*keys, "n", *found)
+
+
 def throughput(n: Column, total_ms: Column) -> Column:
     """Queries per second; 0 when no time has passed."""
     return F.when(total_ms > 0, n / (total_ms / 1000.0)).otherwise(0.0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passel.functions.text import strip
@@ -29,6 +29,42 @@ def check_alignment(meta: DataFrame, vectors: DataFrame, key: str = "uid") -> Da
     return found.withColumn("aligned", aligned)
 
 
+# Buckets whose checksums are compared; a difference costs a full comparison of its bucket.
+CHECKSUM_BUCKETS = 4096
+
+
+def check_alignment_by_sums(meta: DataFrame, vectors: DataFrame, key: str = "uid", n_buckets: int = CHECKSUM_BUCKETS) -> DataFrame:
+    """The findings of :func:`check_alignment`; sides that agree shuffle a row a bucket and task instead of their keys.
+
+    Keys fall into hash buckets. Each side sums up two 64-bit hashes of its keys per bucket, in any order and before the
+    shuffle. Only the keys of buckets whose counts or sums differ are stacked and grouped. Different keys of equal
+    sums would have to agree in 128 bits.
+    """
+
+    def bucket(of: str) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(n_buckets)).cast("int")
+
+    def sums(side: DataFrame) -> DataFrame:
+        keyed = side.select(F.col(key).alias("_key"))
+        wide = [F.sum(F.xxhash64("_key", F.lit(seed)).cast("decimal(20,0)")) for seed in (1, 2)]
+        return keyed.groupBy(bucket("_key").alias("_bucket")).agg(F.count("*").alias("_n"), F.struct(*wide).alias("_sums"))
+
+    one, two = (sums(side).select("_bucket", F.col("_n").alias(f"_n{i}"), F.col("_sums").alias(f"_s{i}")) for i, side in enumerate((meta, vectors)))
+    # At most n_buckets rows.
+    compared = one.join(two, "_bucket", "full").select(
+        "_bucket", F.coalesce("_n0", F.lit(0)).alias("m"), F.coalesce("_n1", F.lit(0)).alias("v"), (~F.col("_s0").eqNullSafe(F.col("_s1"))).alias("differs")
+    ).collect()
+    totals = sum(r.m for r in compared), sum(r.v for r in compared)
+    unlike = [r["_bucket"] for r in compared if r.differs]
+    counts = [F.lit(t).cast("bigint").alias(n) for t, n in zip(totals, ("n_meta", "n_vectors"))]
+    if not unlike:
+        none = [F.lit(0).cast("bigint").alias(n) for n in ("meta_only", "vector_only")]
+        return meta.sparkSession.range(1).select(*counts, *none, F.lit(totals[0] == totals[1]).alias("aligned"))
+    sides = [side.select(key).where(bucket(key).isin(unlike)) if len(unlike) < n_buckets else side.select(key) for side in (meta, vectors)]
+    found = check_alignment(*sides, key)
+    return found.select(*counts, "meta_only", "vector_only", "aligned")
+
+
 def check_shards(counts: DataFrame, n_total: int) -> DataFrame:
     """Do the shard sizes add up to the corpus, and is any shard empty?
 
@@ -106,6 +142,24 @@ def uid_uniqueness(df: DataFrame, shard: str = "shard", uid: str = "uid") -> Dat
     )
 
 
+def uid_sketches(df: DataFrame, shard: str = "shard", uid: str = "uid", bits: int = 12) -> DataFrame:
+    """Rows and a HyperLogLog ``sketch`` of the uids of each shard, to be stored beside it; 2^bits registers each."""
+    return df.groupBy(F.col(shard).cast("int").alias("shard")).agg(
+        F.count("*").alias("n_rows"), F.hll_sketch_agg(F.col(uid).cast("string"), F.lit(bits)).alias("sketch")
+    )
+
+
+def uid_estimates(sketches: DataFrame) -> DataFrame:
+    """``shard, n_rows, distinct_uids`` estimated from stored sketches, and with a null shard those of their union.
+
+    The relative error is about 1.04 / 2^(bits / 2), 1.6 % by default. No uid is read, so shards can be added one by
+    one; :func:`uid_uniqueness` has the exact figures.
+    """
+    whole = sketches.agg(F.sum("n_rows").alias("n_rows"), F.hll_union_agg("sketch").alias("sketch"))
+    both = sketches.unionByName(whole.withColumn("shard", F.lit(None).cast("int")))
+    return both.select("shard", "n_rows", F.hll_sketch_estimate("sketch").alias("distinct_uids"))
+
+
 def check_queries(queries: DataFrame, dim: int | None = None, text: str = "query", embedding: str = "embedding") -> DataFrame:
     """The rejected queries with a reason; an empty result means all can be searched."""
     reason = F.when(F.col(text).isNull() | (strip(F.col(text)) == ""), "blank text")

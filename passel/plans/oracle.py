@@ -831,3 +831,24 @@ FROM cells GROUP BY shard
 UNION ALL
 SELECT NULL, CAST(sum(n) AS BIGINT), count(uid), count(*) FILTER (n > 1), count(*) FILTER (shards > 1) FROM per_uid
 """
+
+ORACLE["check_alignment_sums"] = ORACLE["check_alignment"]
+
+ORACLE["uid_estimates"] = f"""
+WITH exact AS ({ORACLE["uid_uniqueness"]})
+SELECT shard, n_rows, distinct_uids, TRUE AS near FROM exact
+"""
+
+ORACLE["latency_sketches"] = """
+SELECT event_type, count(value) AS n, TRUE AS p50_ms_near, TRUE AS p90_ms_near FROM events GROUP BY event_type
+"""
+
+ORACLE["run_folder_report"] = f"""
+WITH {SUMMARIES}, gaps AS (
+  SELECT size, round(max(multi - single), 6) AS largest_gap FROM (
+    SELECT backend, size, max(p50_ms) FILTER (domain = 'wiki') AS single, max(p50_ms) FILTER (domain = 'multidomain') AS multi
+    FROM summaries GROUP BY backend, size
+  ) GROUP BY size
+)
+SELECT domain, size, {_PIVOTED}, any_value(largest_gap) AS largest_gap FROM summaries JOIN gaps USING (size) GROUP BY domain, size
+"""

@@ -752,7 +752,7 @@ def run_summary_round_trip(spark: SparkSession, folder: str) -> DataFrame:
             run = figures.where(keep).withColumn("index_key", F.lit("vectors"))
             run = run.withColumn("run_id", runs.run_id(F.lit(started).cast("timestamp"), F.lit("abc")))
             runs.append_summary(run, path)
-        latest = runs.read_latest_run(spark, path, "vectors")
+        latest = runs.read_latest_run(spark, path, "vectors", figures.schema)
         return checkpoint(latest.select("backend", "n_queries", "avg_ms", "p50_ms", F.col("run_id").cast("string").alias("run_id")))
 
 
@@ -856,6 +856,41 @@ def domain_gap(spark: SparkSession, folder: str) -> DataFrame:
     return gap.withColumns({c: F.round(c, DIGITS) for c in ("gap", "ratio")})
 
 
+@registered
+def run_folder_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Summaries written as a file for each run in nested folders, found there by name, and put side by side."""
+    named = parsed_runs(spark, folder)
+    figures = latency_figures(named, ["domain", "backend", "size"])
+    size = F.concat((F.col("size") / 1000).cast("int").cast("string"), F.lit("k"))
+    name = F.concat(F.concat_ws("_", "domain", "backend", F.lit("llm"), size), F.lit(ids.RUN_SUFFIX))
+    with scratch_path(spark) as path:
+        runs.write_run_summaries(figures.select(name.alias("file_name"), "n_queries", "avg_ms", "p50_ms", "p90_ms", "qps"), path)
+        found = runs.require_run_sizes(runs.read_run_summaries(spark, path))
+        pivoted = latency.summary_pivot(found, "retrieval_p50_ms", BACKENDS)
+        gaps = latency.domain_gap(found, SINGLE, MULTI, "retrieval_p50_ms").groupBy("size").agg(F.round(F.max("gap"), DIGITS).alias("largest_gap"))
+        return checkpoint(pivoted.join(gaps, "size"))
+
+
+@registered
+def latency_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Sketches stored for each day, merged to one for each backend, and how their percentiles rank in the raw log."""
+    events = table(spark, folder, "events")
+    with scratch_path(spark) as path:
+        daily = events.withColumn("day", F.to_date("ts"))
+        latency.run_sketches(daily, ["event_type", "day"], "value").write.parquet(path)
+        merged = latency.merge_sketches(spark.read.parquet(path), ["event_type"])
+        found = materialise(latency.sketch_percentiles(merged, ["event_type"]))
+    below = {c: F.count_if(F.col("value") < F.col(c)).alias(f"_b_{c}") for c in latency.PERCENTILES}
+    upto = {c: F.count_if(F.col("value") <= F.col(c)).alias(f"_u_{c}") for c in latency.PERCENTILES}
+    ranked = events.join(F.broadcast(found), "event_type").groupBy("event_type", "n").agg(*below.values(), *upto.values())
+    slack = F.greatest(F.lit(1.0), 0.02 * F.col("n"))
+    near = [
+        ((F.col(f"_b_{c}") <= p / 100.0 * F.col("n") + slack) & (F.col(f"_u_{c}") >= p / 100.0 * F.col("n") - slack)).alias(f"{c}_near")
+        for c, p in latency.PERCENTILES.items()
+    ]
+    return ranked.select("event_type", "n", *near)
+
+
 @registered
 def system_comparison(spark: SparkSession, folder: str) -> DataFrame:
     summaries = materialise(run_summaries(spark, folder)).where((F.col("domain") == MULTI) & (F.col("size") == 50000))
@@ -890,6 +925,14 @@ def check_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return validate.check_alignment(docs, labels)
 
 
+@registered
+def check_alignment_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by checksums of buckets; only those that differ are compared key by key."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("uid"))
+    labels = table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("uid"))
+    return validate.check_alignment_by_sums(docs, labels)
+
+
 @registered
 def check_shards(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -920,3 +963,16 @@ def uid_uniqueness(spark: SparkSession, folder: str) -> DataFrame:
     """The text hash as uid, so that copied documents repeat within and across shards."""
     docs = corpus.hash_shards(table(spark, folder, "documents").select("doc_id", F.sha1("text").alias("uid")), N_SHARDS, "doc_id")
     return validate.uid_uniqueness(docs)
+
+
+@registered
+def uid_estimates(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct uids from stored sketches of the shards: within 8 % of the exact number, for each shard and for all."""
+    docs = corpus.hash_shards(table(spark, folder, "documents").select("doc_id", F.sha1("text").alias("uid")), N_SHARDS, "doc_id")
+    exact = validate.uid_uniqueness(docs).select("shard", F.col("distinct_uids").alias("exact"))
+    with scratch_path(spark) as path:
+        validate.uid_sketches(docs).write.parquet(path)
+        found = validate.uid_estimates(spark.read.parquet(path)).withColumnRenamed("shard", "of")
+        both = found.join(exact, F.col("of").eqNullSafe(F.col("shard")))
+        near = F.abs(F.col("distinct_uids") - F.col("exact")) <= 0.08 * F.col("exact")
+        return checkpoint(both.select("shard", "n_rows", F.col("exact").alias("distinct_uids"), near.alias("near")))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from passel.functions.ids import RUN_SUFFIX, parse_run_name
 from passel.schema import HIT_LOG_COLUMNS, MERGED_HIT_COLUMNS, RUN_SUMMARY
@@ -58,8 +61,30 @@ def run_id(started: Column | None = None, fingerprint: Column | None = None) ->
 
 
 def append_summary(summary: DataFrame, folder: str) -> None:
-    """Append run records under ``index_key=…/run_id=…``."""
-    summary.write.mode("append").partitionBy("index_key", "run_id").json(folder)
+    """Add run records under ``index_key=…/run_id=…``; a run that is written again replaces itself and no other."""
+    writer = summary.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("index_key", "run_id").json(folder)
+
+
+def write_run_summaries(summaries: DataFrame, folder: str, file_name: str = "file_name") -> None:
+    """One ``<name>_bench_summary.json`` for each run, below a folder of its domain, named by the column ``file_name``.
+
+    The rows of a run, one, are written by its task; afterwards each file gets its name. The driver handles as many
+    names as there are runs.
+    """
+    spark = summaries.sparkSession
+    staged = f"{folder}/_staged"
+    summaries.repartition(F.col(file_name)).write.mode("overwrite").partitionBy(file_name).json(staged)
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path_of(staged).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for run in files.listStatus(path_of(staged)):
+        if run.isDirectory():
+            name = unquote(run.getPath().getName().split("=", 1)[1])
+            target = path_of(f"{folder}/{name.split('_', 1)[0]}")
+            files.mkdirs(target)
+            part = next(f.getPath() for f in files.listStatus(run.getPath()) if f.getPath().getName().startswith("part-"))
+            files.rename(part, path_of(target, name))
+    files.delete(path_of(staged), True)
 
 
 def write_hits(hits: DataFrame, path: str, form: str = "jsonl") -> None:
@@ -90,14 +115,30 @@ def latest_run(log: DataFrame, key: str, started: str) -> DataFrame:
     return log.join(newest, same, "left_semi")
 
 
-def read_latest_run(spark: SparkSession, folder: str, index_key: str) -> DataFrame:
-    """The newest run of an index in a folder written by :func:`append_summary`.
+def _folders(spark: SparkSession, path: str, column: str) -> dict[str, str]:
+    """The partition folders of a column below a path: value and full path."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path_of(path)):
+        return {}
+    found = [f.getPath() for f in files.listStatus(path_of(path)) if f.isDirectory()]
+    named = [(p.getName().split("=", 1), p.toString()) for p in found if "=" in p.getName()]
+    return {unquote(name[1]): full for name, full in named if name[0] == column}
+
+
+def read_latest_run(spark: SparkSession, folder: str, index_key: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """The newest run of an index in a folder written by :func:`append_summary`, with its ``index_key`` and ``run_id``.
 
-    Only partition values are compared; the files of older runs stay unread.
+    The folder's listing tells which run is the newest, and no file of an older one is opened. Without a ``schema``, such
+    as ``RUN_SUMMARY``, it is inferred from the newest run alone.
     """
-    runs = spark.read.json(folder).where(F.col("index_key") == index_key)
-    newest = runs.agg(F.max(F.col("run_id").cast("string")).alias("_newest"))
-    return runs.join(newest, F.col("run_id").cast("string") == F.col("_newest"), "left_semi")
+    runs = _folders(spark, _folders(spark, folder, "index_key").get(index_key, f"{folder}/index_key={index_key}"), "run_id")
+    if not runs:
+        raise FileNotFoundError(f"no run of {index_key!r} in {folder}")
+    newest = max(runs)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    rows = reader.json(runs[newest]).drop("index_key", "run_id")
+    return rows.withColumns({"index_key": F.lit(index_key), "run_id": F.lit(newest)})
 
 
 def read_hits(spark: SparkSession, path: str, form: str = "jsonl") -> DataFrame:
