@@ -43,4 +43,4 @@ def test_cleaning_needs_no_python_worker(spark):
     text = F.format_string("a &eacute; b %d", F.col("id")).alias("text")
     docs = spark.range(3).select(text)
     plan = docs.select(unescape_html(F.col("text")).alias("t"))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    assert "EvalPython" not in plan and "PythonUDF" not in plan
