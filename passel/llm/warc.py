@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
 import gzip
 import hashlib
 import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +40,13 @@ MEMBERS = pa.schema([("file", pa.int64()), ("value", pa.binary())])
 
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
 MEMBER = b"\x1f\x8b\x08"
+HEADER_LINE = re.compile(rb"\r?\n")
+# Lengths of more digits are longer than any file; identifiers have 64 bits.
+LENGTH = re.compile(r"[0-9]{1,18}")
+IDENTIFIER = re.compile(r"-?[0-9]{1,19}")
+BLANKS = " \t"
+# Digests that a reader can check; of any other a claim is taken as it is.
+DIGESTS = ("md5", "sha1", "sha256", "sha512")
 
 
 # ---- writing
@@ -78,7 +88,16 @@ def _field(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value.cast("string"))
 
 
-def record_text() -> Column:
+def _record_id(page_id: Column, digest: Column) -> Column:
+    """A name that follows from the page and its payload, so that a revisit can tell that of its original."""
+    name = F.sha1(F.concat_ws(":", page_id.cast("string"), digest).cast("binary"))
+    parts = [F.substring(name, start, length) for start, length in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+    # Version 5, variant 8: a name made of a SHA-1.
+    uuid = F.concat(parts[0], F.lit("-"), parts[1], F.lit("-5"), parts[2], F.lit("-8"), parts[3], F.lit("-"), parts[4])
+    return F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))
+
+
+def record_text(date: str) -> Column:
     """A page with its digest as a response record, or as a revisit that has the HTTP header without the payload."""
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{EOL}Content-Type: text/html; charset=utf-8{EOL}"),
@@ -86,12 +105,18 @@ def record_text() -> Column:
         F.lit(RECORD_END),
     )
     fields = [
+        _field("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
+        F.lit(f"WARC-Date: {date}"),
         _field("WARC-Target-URI", F.regexp_replace("url", "[\r\n]", "")),
         _field("X-Page-Id", F.col("page_id")),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
         F.lit("Content-Type: application/http; msgtype=response"),
     ]
-    points = [F.lit(f"WARC-Profile: {SAME_PAYLOAD}"), _field("X-Refers-To-Page-Id", F.col("refers_to"))]
+    points = [
+        F.lit(f"WARC-Profile: {SAME_PAYLOAD}"),
+        _field("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("digest"))),
+        _field("X-Refers-To-Page-Id", F.col("refers_to")),
+    ]
     response = _record("response", fields, F.concat(http, F.col("payload")))
     return F.when(F.col("refers_to").isNull(), response).otherwise(_record("revisit", [*fields, *points], http))
 
@@ -131,6 +156,7 @@ def write_archives(
     compression: str = "gzip",
     records_per_file: int = RECORDS_PER_FILE,
     file_bytes: int = FILE_BYTES,
+    date: str | None = None,
 ) -> None:
     """Write one record per row to WARC files of at most ``records_per_file`` records; other columns are left out.
 
@@ -139,9 +165,12 @@ def write_archives(
     Spark's text writer, whose line separator is an empty member. With any other compression the separator is the end
     of a record, and only the records of a file are bounded. Null payloads are empty. Of rows with one payload
     of at least ``least_bytes`` bytes, that of the largest id holds it and those of smaller ids are revisits of it;
-    equal rows of the largest id all hold it. A row without an id holds its payload and is never referred to.
+    equal rows of the largest id all hold it. A row without an id holds its payload and is never referred to. Line
+    ends are left out of urls. ``date`` is the time of the records as ``2025-01-31T00:00:00Z``, by default the
+    present; equal rows have equal record names.
     """
-    records = with_revisits(pages, id_col, url_col, payload_col, least_bytes).select(record_text().alias("value"))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    records = with_revisits(pages, id_col, url_col, payload_col, least_bytes).select(record_text(date).alias("value"))
     if compression == "gzip":
         # A binary value as text keeps its bytes; the separator's are spelled in Latin-1.
         members = _members(records, file_bytes).select("file", F.col("value").cast("string").alias("value"))
@@ -206,8 +235,27 @@ def _inflated(data: bytes, at: int) -> tuple[bytes, int, bool, int]:
 
 
 def _headers(data: bytes, start: int, end: int) -> dict[str, str]:
-    lines = data[start:end].decode("utf-8", "replace").splitlines()
-    return {k.strip().lower(): v.strip() for k, colon, v in (line.partition(":") for line in lines) if colon}
+    """The fields of a header. Only line feeds end a line: values may hold other characters that some take for line ends."""
+    lines = (line.decode("utf-8", "replace").partition(":") for line in HEADER_LINE.split(data[start:end]))
+    return {name.strip(BLANKS).lower(): value.strip(BLANKS) for name, colon, value in lines if colon}
+
+
+def _digest(claim: str) -> tuple[str, str]:
+    """Name and lower-case hex digits of a digest such as ``sha1:...``, written in hex or in base 32."""
+    name, colon, value = claim.rpartition(":")
+    name, value = name.strip(BLANKS).lower() if colon else "sha1", value.strip(BLANKS)
+    if name in DIGESTS and len(value) != 2 * hashlib.new(name).digest_size:
+        try:
+            value = base64.b32decode(value.upper() + "=" * (-len(value) % 8)).hex()
+        except (binascii.Error, ValueError):
+            # Not base 32 either: it equals no digest.
+            pass
+    return name, value.lower()
+
+
+def _is_claimed(claim: str, payload: bytes) -> bool:
+    name, value = _digest(claim)
+    return name not in DIGESTS or hashlib.new(name, payload).hexdigest() == value
 
 
 def _record_at(data: bytes, at: int, member: int) -> Part:
@@ -227,7 +275,7 @@ def _record_at(data: bytes, at: int, member: int) -> Part:
     if stop < 0:
         return gap("header without an end")
     fields = _headers(data, version.end(), stop)
-    if not fields.get("content-length", "").isdecimal():
+    if not LENGTH.fullmatch(fields.get("content-length", "")):
         return gap("no content length")
     start = stop + 4
     end = start + int(fields["content-length"])
@@ -237,8 +285,8 @@ def _record_at(data: bytes, at: int, member: int) -> Part:
     http, _, payload = block.partition(b"\r\n\r\n") if "http" in fields.get("content-type", "") else (b"", b"", block)
     if http:
         fields |= {f"http:{k}": v for k, v in _headers(http, 0, len(http)).items()}
-    kind, claimed = fields.get("warc-type", ""), fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind != "revisit" and claimed and claimed != hashlib.sha1(payload).hexdigest():
+    kind, claimed = fields.get("warc-type", ""), fields.get("warc-payload-digest", "")
+    if kind != "revisit" and claimed and not _is_claimed(claimed, payload):
         return gap("payload of another digest", end + 4)
     return Part(kind, member, at, end + 4, fields, payload)
 
@@ -308,16 +356,21 @@ PARTS_DDL = (
 )
 
 
+def _number(value: str) -> int | None:
+    """A whole number of 64 bits, or nothing."""
+    number = int(value) if IDENTIFIER.fullmatch(value) else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
+
+
 def _row(archive: str, part: Part) -> tuple:
     fields = part.fields
-    number = {k: int(v) if (v := fields.get(k, "")).lstrip("-").isdecimal() else None for k in NUMBERS}
-    revisit = part.kind == "revisit"
+    own, other, claimed_size = (_number(fields.get(k, "")) for k in NUMBERS)
     if part.kind == "gap":
         size, digest = None, None
+    elif part.kind == "revisit":
+        size, digest = claimed_size, _digest(fields.get("warc-payload-digest", ""))[1] or None
     else:
-        size = number["http:content-length"] if revisit else len(part.payload)
-        digest = fields.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else hashlib.sha1(part.payload).hexdigest()
-    own, other = number["x-page-id"], number["x-refers-to-page-id"]
+        size, digest = len(part.payload), hashlib.sha1(part.payload).hexdigest()
     place = (archive, part.member, part.start, part.end, part.kind)
     return *place, own, fields.get("warc-target-uri"), part.payload, size, digest, other, part.reason or None
 

@@ -1,13 +1,16 @@
 """Archives written and read back, whole and damaged."""
 
+import base64
 import glob
 import gzip
 import hashlib
 import random
+import uuid
 
+import pyarrow as pa
 import pytest
 
-from passel.llm.warc import read_archives, salvage, write_archives
+from passel.llm.warc import PARTS, _row, read_archives, salvage, write_archives
 
 PAGES = "page_id long, url string, html string, payload string, digest string"
 
@@ -176,3 +179,69 @@ def test_a_very_long_url(spark, tmp_path, compression):
     folder = written(spark, tmp_path, [(1, "u", "a"), (2, url, "b" * 50), (3, "v", "c")], compression)
     rows = {r.page_id: r for r in read_archives(spark, folder).collect()}
     assert sorted(rows) == [1, 2, 3] and rows[2].target_uri == url and bytes(rows[2].payload) == b"b" * 50
+
+
+@pytest.mark.parametrize("mark", ["\u2028", "\u0085", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\u2029"])
+def test_a_url_forges_no_field(spark, tmp_path, mark):
+    """Characters that some take for line ends are part of the url."""
+    url = f"http://a/{mark}WARC-Type: revisit{mark}X-Refers-To-Page-Id: 9{mark}"
+    (row,) = read_archives(spark, written(spark, tmp_path, [(1, url, "a" * 2000)])).collect()
+    assert (row.record_type, row.refers_to, row.target_uri, row.payload_bytes) == ("response", None, url, 2000)
+
+
+def record(*fields, block=b"abc", length=None):
+    lines = ["WARC/1.1", *fields, f"Content-Length: {len(block) if length is None else length}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_lengths_and_identifiers_of_any_size():
+    good = record("WARC-Type: response", "X-Page-Id: 7")
+    for length in ("9" * 5000, "9" * 18, "-1", "\u0663", "1_0", "+3", ""):
+        parts = [*salvage(record("WARC-Type: response", length=length) + good)]
+        assert [p.kind for p in parts] == ["gap", "response"], length
+    for number, want in (("9" * 19, None), ("9" * 5000, None), (str(2**63 - 1), 2**63 - 1), (str(-(2**63)), -(2**63)), ("--5", None), ("5-", None)):
+        (part,) = salvage(record("WARC-Type: response", f"X-Page-Id: {number}"))
+        assert _row("a", part)[5] == want
+
+
+def test_digests_of_other_archives():
+    """Base 32 and hex of either case, other digests, and those that no reader knows."""
+    raw = hashlib.sha1(b"abc").digest()
+    claims = [
+        "sha1:" + base64.b32encode(raw).decode(), "SHA1:" + base64.b32encode(raw).decode().lower(), "sha1:" + raw.hex().upper(), raw.hex(),
+        "sha256:" + hashlib.sha256(b"abc").hexdigest(), "md5:" + hashlib.md5(b"abc").hexdigest(), "crc32c:00",
+    ]
+    for claim in claims:
+        (part,) = salvage(record("WARC-Type: response", f"WARC-Payload-Digest: {claim}"))
+        assert part.kind == "response" and _row("a", part)[9] == raw.hex(), claim
+    for claim in ("sha1:" + base64.b32encode(hashlib.sha1(b"x").digest()).decode(), "sha1:!!", "sha1:é", "md5:" + raw.hex()):
+        (part,) = salvage(record("WARC-Type: response", f"WARC-Payload-Digest: {claim}"))
+        assert part.reason == "payload of another digest", claim
+    (part,) = salvage(record("WARC-Type: revisit", "WARC-Payload-Digest: sha1:" + base64.b32encode(raw).decode()))
+    assert _row("a", part)[9] == raw.hex()
+
+
+def test_mandatory_fields(spark, tmp_path):
+    """Every record has a name and a time; a revisit names the record that it refers to."""
+    folder = written(spark, tmp_path, ROWS, "none", date="2025-01-31T00:00:00Z")
+    (file,) = glob.glob(f"{folder}/part-*")
+    with open(file, "rb") as opened:
+        parts = [*salvage(opened.read())]
+    assert all(p.fields["warc-date"] == "2025-01-31T00:00:00Z" for p in parts)
+    names = {(p.fields["warc-record-id"]): p.fields.get("x-page-id") for p in parts}
+    assert len(names) == len(ROWS) - 1 and all(uuid.UUID(n.strip("<>").removeprefix("urn:uuid:")).version == 5 for n in names)
+    revisits = [p for p in parts if p.kind == "revisit"]
+    assert revisits and all(names[p.fields["warc-refers-to"]] == p.fields["x-refers-to-page-id"] for p in revisits)
+
+
+@pytest.mark.parametrize("form", ["plain", "one member", "members"])
+def test_no_damage_raises(archives, form):
+    """Any bytes end in records and gaps, and every part makes a row."""
+    data, chance = archives[form], random.Random(9)
+    for _ in range(60):
+        spoilt = bytearray(data)
+        for _ in range(chance.randrange(1, 40)):
+            at = chance.randrange(len(spoilt))
+            spoilt[at : at + chance.randrange(3)] = chance.randbytes(chance.randrange(4))
+        rows = [_row("a", p) for p in salvage(bytes(spoilt))]
+        assert rows and pa.Table.from_pylist([dict(zip(PARTS.names, r)) for r in rows], schema=PARTS)
