@@ -2,9 +2,13 @@
 
 import random
 from collections import Counter, defaultdict
+from math import comb
 
+import pytest
+
+from passel.llm import near_text
 from passel.llm.line_dedup import drop_repeated_lines
-from passel.llm.near_text import drop_near_texts, near_text_groups
+from passel.llm.near_text import drop_near_texts, key_shape, near_text_groups
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -90,3 +94,61 @@ def test_edge_rows(spark):
     assert kept.columns == frame.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([4, 2, 2, None], key=repr)
     assert drop_near_texts(frame.limit(0)).count() == 0
+
+
+def test_keys_grow_with_the_corpus():
+    """Buckets keep few unrelated texts and pairs at a similarity of 0.8 are found as often, at any size."""
+    assert key_shape(0) == key_shape(5_000_000) == (10, 24)
+    for n in (10**7, 10**9, 10**11):
+        tables, bits = key_shape(n)
+        meets = sum(comb(bits, d) * 0.1515**d * 0.8485 ** (bits - d) for d in range(3))
+        assert (bits + 1) * n / 2**bits <= 8 and 1 - (1 - meets) ** tables >= 0.958
+
+
+@pytest.mark.parametrize("n_texts", [10**7, 10**10])
+def test_longer_keys_find_near_copies(spark, n_texts):
+    chance = random.Random(6)
+    texts = {}
+    for k in range(100):
+        words = [f"w{chance.randrange(5000)}" for _ in range(300)]
+        texts |= {2 * k: " ".join(words), 2 * k + 1: changed(words, 0.015, chance)}
+    got = {r.doc_id: r.component_id for r in near_text_groups(spark.createDataFrame([(i, t, "x") for i, t in texts.items()], DOCS), n_texts=n_texts).collect()}
+    near = [(a, b) for a, b, _ in similar_pairs(texts)]
+    assert len(near) > 80 and sum(got[a] == got[b] for a, b in near) >= 0.96 * len(near)
+    assert all(c in (i, i - 1) for i, c in got.items())
+
+
+@pytest.mark.parametrize("back, block", [(8, 64), (1, 7), (2, 1024)])
+def test_buckets_of_many_unrelated_texts(spark, monkeypatch, back, block):
+    """With keys of four bits a bucket holds a good part of all texts: no pair is lost for that."""
+    monkeypatch.setattr(near_text, "key_shape", lambda n: (4, 4))
+    chance = random.Random(7)
+    texts = {}
+    for k in range(120):
+        words = [f"w{chance.randrange(5000)}" for _ in range(200)]
+        texts |= {3 * k + c: " ".join(words) if c == 1 else changed(words, 0.012, chance) for c in range(3)}
+    frame = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], DOCS)
+    got = {r.doc_id: r.component_id for r in near_text_groups(frame, back=back, block=block).collect()}
+    assert got == components(texts, similar_pairs(texts))
+
+
+def test_a_crowded_group_with_strangers(spark):
+    """Near copies of one text, most of them below 0.8 of one another, in buckets far above what is compared at first."""
+    chance = random.Random(8)
+    words = [f"w{chance.randrange(5000)}" for _ in range(300)]
+    texts = {0: " ".join(words)} | {i: changed(words, 0.03, chance) for i in range(1, 200)}
+    frame = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], DOCS)
+    want = components(texts, similar_pairs(texts))
+    results = []
+    for back, block in ((8, 1024), (1, 16)):
+        results.append({r.doc_id: r.component_id for r in near_text_groups(frame, back=back, block=block).collect()})
+    assert results[0] == results[1]
+    assert all(want[i] == want[c] for i, c in results[0].items())
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long, 1, 2, 3, 4), (2, long + " end", 1, 2, 3, 4), (3, "a b c d e f", None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, class long, n int, check long, variant long")
+    kept = drop_near_texts(frame)
+    assert kept.columns == frame.columns and sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]
