@@ -72,6 +72,17 @@ def attach_by_position(meta: DataFrame, vectors: DataFrame, row_index: str = "ro
     return meta.join(vectors, row_index)
 
 
+def store_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> DataFrame:
+    """Store a table below ``path`` in buckets of its key, known to the catalog as ``name``.
+
+    Joins and groupings on the key of two tables with equally many buckets need no shuffle. Rows are shuffled once, when
+    they are written, to one file for each bucket, so the key should be one that spreads: an identifier or a row number.
+    """
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", path).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def discover_shards(spark: SparkSession, path: str) -> DataFrame:
     """The shards found at a path with their row counts, in shard order."""
     return read_shards(spark, path).groupBy("shard").agg(F.count("*").alias("n")).orderBy("shard")

@@ -209,3 +209,24 @@ def test_intermediate_tables_can_be_dropped(tmp_path):
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=200)
     assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, tmp_path):
+    """Vectors and metadata stored in buckets of the row number are aligned where they lie, as are their counts."""
+    vectors = spark.range(500).selectExpr("id as row_index", "array(cast(id as float)) as embedding")
+    meta = spark.range(480).selectExpr("id * 2 as row_index", "concat('u', id) as uid")
+    want = sorted(map(tuple, corpus.attach_by_position(meta, vectors).collect()))
+    key, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    try:
+        one = corpus.store_bucketed(meta, "bucketed_meta", f"{tmp_path}/meta", "row_index", 4)
+        two = corpus.store_bucketed(vectors, "bucketed_vectors", f"{tmp_path}/vectors", "row_index", 4)
+        joined = corpus.attach_by_position(one, two)
+        for frame in (joined, joined.groupBy("row_index").count()):
+            plan = frame._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and "SortMergeJoin" in plan, plan
+        assert sorted(map(tuple, joined.collect())) == want and len(want) == 250
+    finally:
+        spark.conf.set(key, before)
+        for name in ("bucketed_meta", "bucketed_vectors"):
+            spark.sql(f"drop table if exists {name}")
