@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passel.llm.tables import ROW, checkpoint, held, of_row, released, tidy
+from passel.llm.tables import ROW, checkpoint, released, stored, tidy
 
 # Labelled rows that the classifier is fitted on at most.
 TRAINING_ROWS = 20_000
@@ -165,6 +165,12 @@ def site_priors(scored: DataFrame) -> tuple[DataFrame, float, int]:
     return paths.join(above, F.col("host") == F.col("of")).select("host", "path", "host_prior", prior.alias("prior")), share, n_paths
 
 
+def site_of_url(url: Column) -> tuple[Column, Column]:
+    """Host, in lower case, and first part of the path of a url; a host of null where it can't be read."""
+    host, path = F.lower(F.try_parse_url(url, F.lit("HOST"))), F.try_parse_url(url, F.lit("PATH"))
+    return host, F.regexp_extract(path, "^/([^/]*)", 1)
+
+
 def score_quality(
     docs: DataFrame,
     classifier: Classifier,
@@ -172,12 +178,19 @@ def score_quality(
     path_col: str = "lang",
     text_col: str = "text",
     keep_from: float = KEEP_FROM,
+    url_col: str | None = None,
+    columns: list[str] | None = None,
 ) -> DataFrame:
-    """All rows and columns with ``p_text``, the classifier's probability of good quality, ``prior``, that of the site,
+    """All rows with ``p_text``, the classifier's probability of good quality, ``prior``, that of the site,
     ``p_good``, the posterior probability, and ``keep``.
 
-    A null text is empty. Rows without a host have the global prior; a null path is a path of its own. Input columns
-    called like the new ones are replaced.
+    ``columns`` are the input columns handed on, by default all. The site is ``host_col`` and ``path_col``, or host and
+    first part of the path of ``url_col`` where that is given. Texts are read once: the columns handed on are stored
+    with the odds of the text, in the shared folder, and the priors come from there.
+
+    A null text is empty. Rows without a host have the global prior; a null path is a path of its own. Repeated rows
+    are scored each, and count each for their site; an empty table gives an empty one. Input columns called like the
+    new ones are replaced.
     """
 
     @F.arrow_udf("double")
@@ -185,13 +198,19 @@ def score_quality(
     def log_odds(texts: pa.Array) -> pa.Array:
         return pa.array(classifier.log_odds(features(t.as_py() or "" for t in texts)))
 
+    columns = docs.columns if columns is None else columns
+    if url_col is None:
+        host, path = F.col(f"`{host_col}`").cast("string"), F.col(f"`{path_col}`").cast("string")
+    else:
+        host, path = site_of_url(F.col(f"`{url_col}`").cast("string"))
     # A null path must meet itself in the join.
-    path = F.coalesce(F.concat(F.lit("/"), of_row(path_col).cast("string")), F.lit(""))
-    rows = held(docs).select(ROW, of_row(host_col).cast("string").alias("host"), path.alias("path"), log_odds(of_row(text_col)).alias("odds"))
+    path = F.coalesce(F.concat(F.lit("/"), path), F.lit(""))
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias(ROW)
+    rows, _ = stored(docs.select(row, host.alias("host"), path.alias("path"), log_odds(F.col(f"`{text_col}`")).alias("odds")))
     p = 1 / (1 + F.exp(-F.col("odds")))
     sites, share, n_sites = site_priors(rows.select("host", "path", p.alias("p")))
     sites = F.broadcast(sites) if n_sites <= BROADCAST_SITES else sites
     prior = F.coalesce("prior", F.lit(share))
     joined = rows.join(sites, ["host", "path"], "left")
     good = 1 / (1 + F.exp(-(F.col("odds") - _logit(F.lit(share)) + _logit(prior))))
-    return released(joined, docs.columns, p_text=p, prior=prior, p_good=good, keep=good >= keep_from)
+    return released(joined, columns, p_text=p, prior=prior, p_good=good, keep=good >= keep_from)

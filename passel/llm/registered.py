@@ -156,7 +156,7 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    scored = score_quality(docs, fit_classifier(docs, table(spark, folder, "labels")))
+    scored = score_quality(docs, fit_classifier(docs, table(spark, folder, "labels")), columns=["doc_id"])
     return scored.select("doc_id", "p_text", "prior", "p_good", "keep")
 
 
