@@ -1,18 +1,26 @@
-"""Licence statements in texts: a trained paragraph classifier whose findings a comparison with templates confirms."""
+"""Licence statements in texts: a trained paragraph classifier finds them, a comparison with templates confirms them.
+
+Every line and every window of 6, 12 and 24 words of a paragraph is classified. Where the classifier gives a family some
+probability, the words around are compared with that family's templates. What agrees is confirmed; what the classifier
+takes for a licence and no template confirms is reported as unconfirmed, or as unknown where the words that tell
+licences apart are another's.
+"""
 
 from __future__ import annotations
 
 import random
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from passel.llm.tables import tidy
+
 UNKNOWN = "unknown"
 
 # Customary wordings of licence statements, by family.
@@ -56,6 +64,21 @@ TEMPLATES = {
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ],
+    "epl-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+    ],
+    "boost-1.0": [
+        "Distributed under the Boost Software License, Version 1.0.",
+    ],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty.",
+        "Licensed under the zlib license.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+    ],
     "public-domain": [
         "This work has been dedicated to the public domain.",
         "Released under CC0 1.0 Universal.",
@@ -78,7 +101,17 @@ NGRAM = 3
 # Paragraphs of the corpus that the unknown class is fitted on, and the documents that they come from, at most.
 SAMPLE_PARAGRAPHS = 2000
 SAMPLE_DOCS = 300
-VARIANTS = 60
+SAMPLE_WORDS = 24
+VARIANTS = 40
+# Lengths in words of the windows that are classified; they start at every half length. Longer lines have windows only.
+WINDOWS = (6, 12, 24)
+LINE_WORDS = 64
+# Words of a paragraph that are classified at once, a multiple of all starts.
+BLOCK_WORDS = 12 * 1024
+# The probability from which a window is compared with a family's templates, and that from which one that no family is
+# sure of is reported as unknown.
+LEAST_CHANCE = 0.05
+LEAST_DOUBT = 0.25
 # A family needs this calibrated probability, and this share of a template's words in order.
 LEAST_PROBABILITY = 0.5
 LEAST_SIMILARITY = 0.8
@@ -86,7 +119,7 @@ LEAST_SIMILARITY = 0.8
 # the middle of what it shares with it.
 MARKS = set(
     "apache 2.0 www.apache.org license-2.0 mit gnu gpl lesser bsd mozilla cc by by-nc by-sa attribution attribution-noncommercial "
-    "attribution-sharealike cc0".split()
+    "attribution-sharealike cc0 eclipse boost 1.0 zlib unlicense".split()
 )
 QUALIFIERS = set("affero lesser noncommercial sharealike noderivs noderivatives nc nd sa".split())
 # Longer gaps hold something else, such as another licence.
@@ -132,8 +165,20 @@ def marked(words: list[str], template: list[str], blocks: list) -> bool:
     return MARKS.intersection(template) <= matched
 
 
+class Finding(NamedTuple):
+    """Line that a statement begins in, family or unknown, the likeliest family, the classifier's probabilities of it and
+    of the unknown class, and the similarity with the family's nearest template (0 if unknown)."""
+
+    paragraph: int
+    family: str
+    nearest: str
+    probability: float
+    unknown: float
+    similarity: float
+
+
 class LicenceModel:
-    """Multinomial logistic regression over sparse word n-grams, with a temperature that calibrates it."""
+    """Multinomial logistic regression over counts of sparse word n-grams, with a temperature that calibrates it."""
 
     def __init__(self, others: list[str], seed: int = 5):
         chance = random.Random(seed)
@@ -141,6 +186,9 @@ class LicenceModel:
         self.templates = {f: [words_of(t) for t in ts] for f, ts in TEMPLATES.items()}
         self.known = {w for ts in self.templates.values() for t in ts for w in t}
         rows = [(self._varied(t, others, chance), f) for f, ts in self.templates.items() for t in ts for _ in range(VARIANTS)]
+        # Windows see parts of long statements, too.
+        long = [(t, f) for f, ts in self.templates.items() for t in ts if len(t) > WINDOWS[0]]
+        rows += [(self._part(t, chance), f) for t, f in long for _ in range(VARIANTS // 2)]
         plain = [words_of(o) for o in OTHERS for _ in range(VARIANTS // 4)]
         plain += [w for o in others if (w := words_of(o)) and self.best(w)[1] < LEAST_SIMILARITY / 2]
         # Words of licences out of order are no licence.
@@ -150,29 +198,34 @@ class LicenceModel:
         chance.shuffle(rows)
         grams = sorted({g for words, _ in rows for g in ngrams(words, self.known)})
         self.index = {g: i for i, g in enumerate(grams)}
-        self.anchors = self._anchors(Counter(w for words in plain for w in words))
         y = np.array([self.families.index(f) for _, f in rows])
         held = np.arange(len(rows)) % 5 == 0
         features = [self.features(words) for words, _ in rows]
         self.temperature = 1.0
         self._fit([f for f, h in zip(features, held) if not h], y[~held])
         self._calibrate([f for f, h in zip(features, held) if h], y[held])
+        self._number()
+
+    def _number(self) -> None:
+        """Numbers of words and of their pairs and triples, to score all places of a paragraph at once."""
+        self.word = {w: i for i, w in enumerate(sorted(self.known))}
+        self.table = np.vstack([self.weights, np.zeros(len(self.families))])
+        self.codes = []
+        for n in range(1, NGRAM + 1):
+            own = sorted((self._code([self.word[w] for w in g.split(" ")]), i) for g, i in self.index.items() if g.count(" ") == n - 1)
+            self.codes.append((np.array([c for c, _ in own] or [-1]), np.array([i for _, i in own] or [len(self.index)])))
+
+    def _code(self, numbers: Sequence) -> int | np.ndarray:
+        code = 0
+        for number in numbers:
+            code = code * len(self.word) + number
+        return code
 
-    def _anchors(self, seen: Counter) -> dict[str, list[tuple[str, list[str]]]]:
-        """For each anchor the templates that it stands for. A passage that passes has an anchor of its template: a
-        mark, or one of its rarest words, so many that without all of them too few are left."""
-        out = {}
-        for family, templates in self.templates.items():
-            for template in templates:
-                names = sorted(w for w in MARKS.intersection(template) if w[0].isalpha())
-                rare = sorted(set(template), key=lambda w: (seen[w], -len(w), w))
-                missing = int(len(template) * (1 - LEAST_SIMILARITY) + 1e-9) + 1
-                while not names or (not MARKS.intersection(names) and sum(template.count(w) for w in names) < missing):
-                    names.append(rare.pop(0))
-                chosen = [min(names, key=lambda w: (seen[w], w))] if MARKS.intersection(names) else names
-                for word in chosen:
-                    out.setdefault(word, []).append((family, template))
-        return out
+    @staticmethod
+    def _part(template: list[str], chance: random.Random) -> list[str]:
+        size = chance.randrange(WINDOWS[0], len(template) + 1)
+        start = chance.randrange(len(template) - size + 1)
+        return template[start : start + size]
 
     @staticmethod
     def _varied(template: list[str], others: list[str], chance: random.Random) -> list[str]:
@@ -183,7 +236,7 @@ class LicenceModel:
         return around[:cut][-12:] + words + (around[cut:][:12] if cut else [])
 
     def features(self, words: list[str]) -> list[int]:
-        return sorted({i for g in ngrams(words, self.known) if (i := self.index.get(g)) is not None})
+        return sorted(i for g in ngrams(words, self.known) if (i := self.index.get(g)) is not None)
 
     def _scores(self, features: list[list[int]]) -> np.ndarray:
         out = np.tile(self.bias, (len(features), 1))
@@ -193,19 +246,19 @@ class LicenceModel:
         return out
 
     def _fit(self, features: list[list[int]], y: np.ndarray, rounds: int = 300, rate: float = 2.0, ridge: float = 1e-4) -> None:
-        x = np.zeros((len(features), len(self.index) + 1))
+        x = np.zeros((len(features), len(self.index) + 1), np.float32)
         for row, own in zip(x, features):
-            row[own] = 1
+            np.add.at(row, own, 1)
         x[:, -1] = 1
-        target = np.eye(len(self.families))[y]
-        weights, speed = np.zeros((x.shape[1], len(self.families))), 0.0
+        target = np.eye(len(self.families), dtype=np.float32)[y]
+        weights, speed = np.zeros((x.shape[1], len(self.families)), np.float32), 0.0
         for _ in range(rounds):
             scores = x @ weights
             p = np.exp(scores - scores.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             speed = 0.9 * speed + x.T @ (target - p) / len(x) - ridge * weights
             weights += rate * speed * 0.1
-        self.weights, self.bias = weights[:-1], weights[-1]
+        self.weights, self.bias = weights[:-1].astype(float), weights[-1].astype(float)
 
     def _calibrate(self, features: list[list[int]], y: np.ndarray) -> None:
         """The temperature of least log loss on rows that were held out."""
@@ -217,129 +270,201 @@ class LicenceModel:
 
         self.temperature = min((0.25 * 1.25**i for i in range(16)), key=loss)
 
+    def _chances(self, scores: np.ndarray) -> np.ndarray:
+        scores = scores / self.temperature
+        p = np.exp(scores - scores.max(axis=-1, keepdims=True))
+        return p / p.sum(axis=-1, keepdims=True)
+
     def classify(self, words: list[str]) -> tuple[str, float]:
         """The likeliest family and its probability; unknown where no known word stands."""
-        own = self.features(words)
-        scores = (self.bias + self.weights[own].sum(axis=0) if own else self.bias) / self.temperature
-        p = np.exp(scores - scores.max())
-        p /= p.sum()
+        p = self._chances(self._scores([self.features(words)])[0])
         best = int(np.argmax(p))
         return self.families[best], float(p[best])
 
+    def window_chances(self, words: list[str], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The probabilities of all families for windows of ``words``: what ``classify`` works out for each of them."""
+        numbers = np.array([self.word.get(w, -1) for w in words])
+        scores = np.tile(self.bias, (len(starts), 1))
+        for n, (codes, rows) in enumerate(self.codes):
+            if len(numbers) <= n:
+                break
+            parts = [numbers[i : len(numbers) - n + i] for i in range(n + 1)]
+            code = self._code(parts)
+            at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+            hit = codes[at] == code
+            for part in parts:
+                hit &= part >= 0
+            (places,) = np.nonzero(hit)
+            sums = np.zeros((len(places) + 1, len(self.families)))
+            np.cumsum(self.table[rows[at[places]]], axis=0, out=sums[1:])
+            # Grams that begin and end in the window.
+            scores += sums[np.searchsorted(places, np.maximum(ends - n, starts))] - sums[np.searchsorted(places, starts)]
+        return self._chances(scores)
+
     def compare(self, words: list[str], family: str) -> float:
         return max(similarity(words, t) for t in self.templates[family])
 
-    def names(self, words: list[str], family: str) -> bool:
-        """Whether a paragraph agrees with a template of the family and has what tells it apart."""
-        for template in self.templates[family]:
-            blocks = SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks()[:-1]
-            if sum(b.size for b in blocks) / len(template) >= LEAST_SIMILARITY and marked(words, template, blocks):
-                return True
-        return False
-
     def best(self, words: list[str]) -> tuple[str, float]:
         """The family of the template that is most like a paragraph."""
         return max(((f, self.compare(words, f)) for f in self.templates), key=lambda b: b[1])
 
-    def passages(self, words: list[str]) -> Iterator[tuple[int, int, str, float, float]]:
-        """First and last place, family, probability and similarity of the passages of a paragraph that agree with a
-        template. Around each anchor, up to twice the template's words before and behind it are compared."""
-        done = {}
-        for place, word in enumerate(words):
-            for family, template in self.anchors.get(word, ()):
-                key = id(template)
-                low = max(done.get(key, 0), place - 2 * len(template))
-                if place < low:
-                    continue
-                near = words[low : place + 2 * len(template)]
-                blocks = SequenceMatcher(None, near, template, autojunk=False).get_matching_blocks()[:-1]
-                share = sum(b.size for b in blocks) / len(template)
-                if share < LEAST_SIMILARITY or not marked(near, template, blocks):
-                    continue
-                first, last = blocks[0].a, blocks[-1].a + blocks[-1].size
-                if last - first > 2 * len(template) + 2:
-                    continue
-                found, p = self.classify([w for b in blocks for w in near[b.a : b.a + b.size]])
-                if found == family and p >= LEAST_PROBABILITY:
-                    done[key] = low + last
-                    yield low + first, low + last - 1, family, p, share
-
-    def _paragraph(self, lines: list[tuple[int, list[str]]]) -> Iterator[tuple[int, str, float, float]]:
-        """Findings of consecutive lines: passages across their ends, and single lines that look like a licence."""
-        grams, hits, covered = self.index.keys(), {}, set()
-        if any(not self.anchors.keys().isdisjoint(words) for _, words in lines):
-            place = [number for number, words in lines for _ in words]
-            for first, last, family, p, share in self.passages([w for _, words in lines for w in words]):
-                key = place[first], family
-                hits[key] = max(hits.get(key, (0.0, 0.0)), (share, p))
-                covered.update((number, family) for number in range(place[first], place[last] + 1))
-        for number, words in lines:
-            # Without any feature only the bias counts, which speaks for unknown.
-            if grams.isdisjoint(words):
-                continue
-            family, p = self.classify(words)
-            if family != UNKNOWN and p >= LEAST_PROBABILITY:
-                share = self.compare(words, family)
-                # So like a template, but with the name or version of another licence.
-                if share >= LEAST_SIMILARITY and not self.names(words, family):
-                    continue
-                if (number, family) in hits:
-                    hits[number, family] = max(hits[number, family], (share, p))
-                elif (number, family) not in covered or share >= LEAST_SIMILARITY:
-                    hits[number, family] = share, p
-        for (number, family), (share, p) in sorted(hits.items()):
-            yield number, family, p, share
+    def passage(self, words: list[str], start: int, end: int, template: list[str]) -> tuple[int, int, float, list[str], bool] | None:
+        """First place, end, similarity and common words of what agrees with a template in or around a window, and
+        whether it has the words that tell the licence apart."""
+        low = max(start - len(template), 0)
+        near = words[low : end + len(template)]
+        least = LEAST_SIMILARITY * len(template) - 1e-9
+        have = set(near)
+        if sum(w in have for w in template) < least:
+            return None
+        blocks = SequenceMatcher(None, near, template, autojunk=False).get_matching_blocks()[:-1]
+        if sum(b.size for b in blocks) < least:
+            return None
+        first, last = blocks[0].a, blocks[-1].a + blocks[-1].size
+        if last - first > 2 * len(template) + 2:
+            return None
+        common = [w for b in blocks for w in near[b.a : b.a + b.size]]
+        return low + first, low + last, len(common) / len(template), common, marked(near, template, blocks)
 
-    def scan(self, text: str) -> Iterator[tuple[int, str, float, float]]:
-        """First line, family, probability and template similarity of what looks like a licence, by paragraphs: runs
-        of lines with words."""
+    @staticmethod
+    def _windows(lines: list[tuple[int, list[str]]], n: int) -> np.ndarray:
+        """Starts and ends of the lines and windows of a paragraph of ``n`` words, in order."""
+        spans, at = [], 0
+        for _, own in lines:
+            if len(own) <= LINE_WORDS:
+                spans.append((at, at + len(own)))
+            at += len(own)
+        for size in WINDOWS:
+            spans += [(at, min(at + size, n)) for at in range(0, max(n - size, 0) + size // 2, size // 2) if at < n]
+        return np.array(sorted(set(spans)))
+
+    def _paragraph(self, lines: list[tuple[int, list[str]]]) -> Iterator[Finding]:
+        """Findings of consecutive lines: confirmed passages first, then other windows taken for a licence."""
+        words = [w for _, own in lines for w in own]
+        if self.known.isdisjoint(words):
+            return
+        windows = self._windows(lines, len(words))
+        cuts = np.searchsorted(windows[:, 0], np.arange(0, len(words), BLOCK_WORDS))
+        suspects = []
+        for block, (one, two) in enumerate(zip(cuts, [*cuts[1:], len(windows)])):
+            base, own = block * BLOCK_WORDS, windows[one:two]
+            chances = self.window_chances(words[base : base + BLOCK_WORDS + LINE_WORDS], own[:, 0] - base, own[:, 1] - base)
+            (rows,) = np.nonzero(chances[:, :-1].max(axis=1) >= LEAST_CHANCE)
+            suspects += [(*own[i].tolist(), chances[i]) for i in rows]
+        place = np.repeat([number for number, _ in lines], [len(own) for _, own in lines]) if suspects else []
+        passages, refused = self._compared(words, suspects)
+        for first, _, family, p, unknown, share in passages:
+            yield Finding(int(place[first]), family, family, p, unknown, share)
+        yield from self._doubtful(words, place, suspects, refused, [(first, last) for first, last, *_ in passages])
+
+    def _compared(self, words: list[str], suspects: list[tuple[int, int, np.ndarray]]) -> tuple[list[tuple], set[tuple[int, int]]]:
+        """Passages that a template and the classifier give the same family, of those that overlap the most similar;
+        and the places of passages like a template that have the name or version of another licence."""
+        found, refused = {}, set()
+        for start, end, chances in suspects:
+            for number in np.nonzero(chances[:-1] >= LEAST_CHANCE)[0]:
+                family = self.families[number]
+                for template in self.templates[family]:
+                    if not (hit := self.passage(words, start, end, template)):
+                        continue
+                    first, last, share, common, named = hit
+                    if not named:
+                        refused.add((first, last))
+                        continue
+                    p = self._chances(self._scores([self.features(common)])[0])
+                    if p.argmax() == number and p[number] >= LEAST_PROBABILITY:
+                        own = (first, last, family)
+                        found[own] = max(found.get(own, (0.0,)), (share, float(p[number]), float(p[-1])))
+        kept = []
+        for (first, last, family), (share, p, unknown) in sorted(found.items(), key=lambda f: (-f[1][0], f[0])):
+            if all(family != k[2] or last <= k[0] or first >= k[1] for k in kept):
+                kept.append((first, last, family, p, unknown, share))
+        return sorted(kept), refused
+
+    def _doubtful(
+        self, words: list[str], place: Sequence, suspects: list, refused: set[tuple[int, int]], covered: list[tuple[int, int]]
+    ) -> Iterator[Finding]:
+        """What the classifier takes for a licence outside of confirmed passages: refused passages, the longest first,
+        then the surest windows; of those that overlap, one."""
+        taken = list(covered)
+        passages = [(s, e, self._chances(self._scores([self.features(words[s:e])])[0]), True) for s, e in sorted(refused, key=lambda r: (r[0] - r[1], r))]
+        windows = [(s, e, c, False) for s, e, c in suspects if c[:-1].max() >= LEAST_DOUBT and e - s >= 3]
+        for start, end, chances, other in passages + sorted(windows, key=lambda w: (-w[2][:-1].max(), w[:2])):
+            if any(start < last and end > first for first, last in taken):
+                continue
+            taken.append((start, end))
+            number = int(chances[:-1].argmax())
+            nearest, p = self.families[number], float(chances[number])
+            share = self.compare(words[start:end], nearest)
+            sure = not other and p >= LEAST_PROBABILITY and share < LEAST_SIMILARITY
+            yield Finding(int(place[start]), nearest if sure else UNKNOWN, nearest, p, float(chances[-1]), share if sure else 0.0)
+
+    def findings(self, text: str) -> Iterator[Finding]:
+        """What looks like a licence, by paragraphs: runs of lines with words."""
         lines = []
         for number, line in enumerate(text.split("\n")):
             words = words_of(line)
             if words:
                 lines.append((number, words))
             elif lines:
-                yield from self._paragraph(lines)
+                yield from sorted(self._paragraph(lines))
                 lines = []
-        yield from self._paragraph(lines)
+        if lines:
+            yield from sorted(self._paragraph(lines))
+
+    def scan(self, text: str) -> Iterator[tuple[int, str, float, float]]:
+        """First line, family, probability and template similarity of the findings."""
+        for found in self.findings(text):
+            yield found.paragraph, found.family, found.probability, found.similarity
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> LicenceModel:
-    """Fit on variants of the templates, and for the unknown class on paragraphs of up to ``sample_docs`` documents.
+    """Fit on variants of the templates, and for the unknown class on runs of words of up to ``sample_docs`` documents.
 
-    The documents are chosen by the hash of their id. Paragraphs that are half like a template are left out.
+    The documents are chosen by the hash of their id, and of their lines at most ``SAMPLE_PARAGRAPHS`` runs of up to
+    ``SAMPLE_WORDS`` words by their own. Runs that are half like a template are left out.
     """
     ids = docs.select(F.col(f"`{id_col}`").alias("doc")).dropna().orderBy(F.xxhash64("doc"), "doc").limit(sample_docs)
     texts = docs.select(F.col(f"`{id_col}`").alias("doc"), F.col(f"`{text_col}`").alias("text")).dropna()
-    # Bounded by the parameters.
-    lines = texts.join(F.broadcast(ids), "doc", "left_semi").select(F.explode(F.split("text", "\n")).alias("line"))
-    rows = lines.where("length(line) > 0").orderBy(F.xxhash64("line"), "line").limit(SAMPLE_PARAGRAPHS).collect()
-    return LicenceModel([r.line for r in rows])
+    # Bounded by the parameters: no run has more than about forty characters a word.
+    run = rf"(?:\S{{1,40}}[ \t]{{0,4}}){{1,{SAMPLE_WORDS}}}"
+    runs = texts.join(F.broadcast(ids), "doc", "left_semi").select(F.explode(F.regexp_extract_all("text", F.lit(run), F.lit(0))).alias("run"))
+    rows = runs.orderBy(F.xxhash64("run"), "run").limit(SAMPLE_PARAGRAPHS).collect()
+    return LicenceModel([r.run for r in rows])
 
 
-FOUND = "array<struct<paragraph:int,family:string,probability:double,similarity:double>>"
+FOUND = "array<struct<paragraph:int,family:string,nearest:string,probability:double,unknown:double,similarity:double>>"
 FOUND_TYPE = pa.list_(
-    pa.struct([("paragraph", pa.int32()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())])
+    pa.struct(
+        [
+            ("paragraph", pa.int32()),
+            ("family", pa.string()),
+            ("nearest", pa.string()),
+            ("probability", pa.float64()),
+            ("unknown", pa.float64()),
+            ("similarity", pa.float64()),
+        ]
+    )
 )
 
 
 def scan_licences(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per licence statement: a passage of a paragraph and the family that the classifier gives it.
+    """One row per licence statement: a passage of a paragraph that the classifier takes for a licence.
 
     Paragraphs are runs of lines with words; a statement may be wrapped over several lines, and a line may hold
-    several. What agrees with a template except for the words that tell licences apart (Affero, ND, another version) is
-    of an unknown licence and has no row. ``doc_id``, ``paragraph`` (the number of the line that the statement begins in, from 0), ``family``,
-    ``probability`` and ``similarity`` with the family's nearest template; ``confirmed`` if that is at least
-    ``LEAST_SIMILARITY``. The whole text is scanned; null and empty texts have none. A repeated row gives its
-    statements again; a null id stays null.
+    several. ``doc_id``, ``paragraph`` (the number of the line that the statement begins in, from 0), ``family``,
+    ``nearest`` (the likeliest family), ``probability`` (of that one), ``unknown`` (the probability of the unknown class)
+    and ``similarity`` with the family's nearest template; ``confirmed`` if that is at least ``LEAST_SIMILARITY``. What
+    agrees with a template except for the words that tell licences apart (Affero, ND, another version), and what no
+    family has half of the probability of, is of family ``unknown``. The whole text is scanned; null and empty texts
+    have no row. A repeated row gives its statements again; a null id stays null.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(FOUND)
+    @tidy
     def found(texts: pa.Array) -> pa.Array:
-        names = ("paragraph", "family", "probability", "similarity")
-        scans = ([dict(zip(names, hit)) for hit in shared.value.scan(t.as_py() or "")] for t in texts)
-        return pa.array(scans, FOUND_TYPE)
+        return pa.array(([f._asdict() for f in shared.value.findings(t.as_py() or "")] for t in texts), FOUND_TYPE)
 
     hits = docs.select(F.col(f"`{id_col}`").alias("doc_id"), found(F.col(f"`{text_col}`")).alias("hits"))
     return hits.select("doc_id", F.inline("hits")).withColumn("confirmed", F.col("similarity") >= LEAST_SIMILARITY)
