@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from difflib import SequenceMatcher
 from typing import NamedTuple
 
@@ -283,23 +283,28 @@ class LicenceModel:
 
     def window_chances(self, words: list[str], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The probabilities of all families for windows of ``words``: what ``classify`` works out for each of them."""
-        numbers = np.array([self.word.get(w, -1) for w in words])
+        return self._chances(self._window_scores(words, starts, ends))
+
+    def _window_scores(self, words: list[str], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        numbers = np.fromiter((self.word.get(w, -1) for w in words), np.int64, len(words))
         scores = np.tile(self.bias, (len(starts), 1))
         for n, (codes, rows) in enumerate(self.codes):
-            if len(numbers) <= n:
-                break
-            parts = [numbers[i : len(numbers) - n + i] for i in range(n + 1)]
-            code = self._code(parts)
+            # Places where a run of n + 1 known words begins.
+            known = numbers >= 0
+            for i in range(1, n + 1):
+                known = known[:-1] & (numbers[i:] >= 0)
+            (places,) = np.nonzero(known)
+            code = self._code([numbers[places + i] for i in range(n + 1)])
             at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
             hit = codes[at] == code
-            for part in parts:
-                hit &= part >= 0
-            (places,) = np.nonzero(hit)
+            places, at = places[hit], at[hit]
             sums = np.zeros((len(places) + 1, len(self.families)))
-            np.cumsum(self.table[rows[at[places]]], axis=0, out=sums[1:])
+            np.cumsum(self.table[rows[at]], axis=0, out=sums[1:])
             # Grams that begin and end in the window.
-            scores += sums[np.searchsorted(places, np.maximum(ends - n, starts))] - sums[np.searchsorted(places, starts)]
-        return self._chances(scores)
+            low, high = np.searchsorted(places, starts), np.searchsorted(places, np.maximum(ends - n, starts))
+            (some,) = np.nonzero(low < high)
+            scores[some] += sums[high[some]] - sums[low[some]]
+        return scores
 
     def compare(self, words: list[str], family: str) -> float:
         return max(similarity(words, t) for t in self.templates[family])
@@ -327,31 +332,45 @@ class LicenceModel:
         return low + first, low + last, len(common) / len(template), common, marked(near, template, blocks)
 
     @staticmethod
-    def _windows(lines: list[tuple[int, list[str]]], n: int) -> np.ndarray:
-        """Starts and ends of the lines and windows of a paragraph of ``n`` words, in order."""
-        spans, at = [], 0
-        for _, own in lines:
-            if len(own) <= LINE_WORDS:
-                spans.append((at, at + len(own)))
-            at += len(own)
+    def _windows(paragraphs: list[list[tuple[int, list[str]]]]) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the lines and windows of paragraphs whose words are put one behind the other, by start."""
+        lines = np.array([len(own) for lines in paragraphs for _, own in lines])
+        n = np.array([sum(len(own) for _, own in lines) for lines in paragraphs])
+        base = np.cumsum(n) - n
+        short = lines <= LINE_WORDS
+        starts, sizes = [(np.cumsum(lines) - lines)[short]], [lines[short]]
         for size in WINDOWS:
-            spans += [(at, min(at + size, n)) for at in range(0, max(n - size, 0) + size // 2, size // 2) if at < n]
-        return np.array(sorted(set(spans)))
-
-    def _paragraph(self, lines: list[tuple[int, list[str]]]) -> Iterator[Finding]:
-        """Findings of consecutive lines: confirmed passages first, then other windows taken for a licence."""
-        words = [w for _, own in lines for w in own]
-        if self.known.isdisjoint(words):
-            return
-        windows = self._windows(lines, len(words))
-        cuts = np.searchsorted(windows[:, 0], np.arange(0, len(words), BLOCK_WORDS))
-        suspects = []
-        for block, (one, two) in enumerate(zip(cuts, [*cuts[1:], len(windows)])):
-            base, own = block * BLOCK_WORDS, windows[one:two]
-            chances = self.window_chances(words[base : base + BLOCK_WORDS + LINE_WORDS], own[:, 0] - base, own[:, 1] - base)
-            (rows,) = np.nonzero(chances[:, :-1].max(axis=1) >= LEAST_CHANCE)
-            suspects += [(*own[i].tolist(), chances[i]) for i in rows]
-        place = np.repeat([number for number, _ in lines], [len(own) for _, own in lines]) if suspects else []
+            count = -(-np.maximum(n - size, 0) // (size // 2)) + 1
+            own = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            starts.append(np.repeat(base, count) + own * (size // 2))
+            sizes.append(np.minimum(size, np.repeat(base + n, count) - starts[-1]))
+        codes = np.unique(np.concatenate(starts) * (LINE_WORDS + 1) + np.concatenate(sizes))
+        return codes // (LINE_WORDS + 1), codes // (LINE_WORDS + 1) + codes % (LINE_WORDS + 1)
+
+    def _paragraphs(self, paragraphs: list[list[tuple[int, list[str]]]]) -> Iterator[list[Finding]]:
+        """The findings of each of some paragraphs, which are classified together."""
+        texts = [[w for _, own in lines for w in own] for lines in paragraphs]
+        words = [w for own in texts for w in own]
+        starts, ends = self._windows(paragraphs)
+        cuts = np.searchsorted(starts, np.arange(0, len(words), BLOCK_WORDS))
+        suspects = [[] for _ in paragraphs]
+        base = np.cumsum([len(own) for own in texts]) - [len(own) for own in texts]
+        for block, (one, two) in enumerate(zip(cuts, [*cuts[1:], len(starts)])):
+            low = block * BLOCK_WORDS
+            scores = self._window_scores(words[low : low + BLOCK_WORDS + LINE_WORDS], starts[one:two] - low, ends[one:two] - low)
+            # A family of at least this chance is not much less likely than the unknown class.
+            (rows,) = np.nonzero(scores[:, :-1].max(axis=1) - scores[:, -1] >= self.temperature * np.log(LEAST_CHANCE))
+            chances = self._chances(scores[rows])
+            owners = np.searchsorted(base, starts[one:two][rows], side="right") - 1
+            for start, end, owner, own in zip(starts[one:two][rows].tolist(), ends[one:two][rows].tolist(), owners.tolist(), chances):
+                if own[:-1].max() >= LEAST_CHANCE:
+                    suspects[owner].append((start - int(base[owner]), end - int(base[owner]), own))
+        for lines, own, doubts in zip(paragraphs, texts, suspects):
+            yield sorted(self._statements(lines, own, doubts)) if doubts else []
+
+    def _statements(self, lines: list[tuple[int, list[str]]], words: list[str], suspects: list) -> Iterator[Finding]:
+        """Confirmed passages of a paragraph, then what else is taken for a licence."""
+        place = np.repeat([number for number, _ in lines], [len(own) for _, own in lines])
         passages, refused = self._compared(words, suspects)
         for first, _, family, p, unknown, share in passages:
             yield Finding(int(place[first]), family, family, p, unknown, share)
@@ -375,9 +394,10 @@ class LicenceModel:
                     if p.argmax() == number and p[number] >= LEAST_PROBABILITY:
                         own = (first, last, family)
                         found[own] = max(found.get(own, (0.0,)), (share, float(p[number]), float(p[-1])))
-        kept = []
+        kept, taken = [], {}
         for (first, last, family), (share, p, unknown) in sorted(found.items(), key=lambda f: (-f[1][0], f[0])):
-            if all(family != k[2] or last <= k[0] or first >= k[1] for k in kept):
+            if taken.setdefault(family, set()).isdisjoint(range(first, last)):
+                taken[family].update(range(first, last))
                 kept.append((first, last, family, p, unknown, share))
         return sorted(kept), refused
 
@@ -386,31 +406,47 @@ class LicenceModel:
     ) -> Iterator[Finding]:
         """What the classifier takes for a licence outside of confirmed passages: refused passages, the longest first,
         then the surest windows; of those that overlap, one."""
-        taken = list(covered)
+        taken = {i for first, last in covered for i in range(first, last)}
         passages = [(s, e, self._chances(self._scores([self.features(words[s:e])])[0]), True) for s, e in sorted(refused, key=lambda r: (r[0] - r[1], r))]
         windows = [(s, e, c, False) for s, e, c in suspects if c[:-1].max() >= LEAST_DOUBT and e - s >= 3]
         for start, end, chances, other in passages + sorted(windows, key=lambda w: (-w[2][:-1].max(), w[:2])):
-            if any(start < last and end > first for first, last in taken):
+            if not taken.isdisjoint(range(start, end)):
                 continue
-            taken.append((start, end))
+            taken.update(range(start, end))
             number = int(chances[:-1].argmax())
             nearest, p = self.families[number], float(chances[number])
             share = self.compare(words[start:end], nearest)
             sure = not other and p >= LEAST_PROBABILITY and share < LEAST_SIMILARITY
             yield Finding(int(place[start]), nearest if sure else UNKNOWN, nearest, p, float(chances[-1]), share if sure else 0.0)
 
-    def findings(self, text: str) -> Iterator[Finding]:
-        """What looks like a licence, by paragraphs: runs of lines with words."""
-        lines = []
-        for number, line in enumerate(text.split("\n")):
-            words = words_of(line)
-            if words:
-                lines.append((number, words))
-            elif lines:
-                yield from sorted(self._paragraph(lines))
-                lines = []
-        if lines:
-            yield from sorted(self._paragraph(lines))
+    def findings_of(self, texts: Iterable[str]) -> list[list[Finding]]:
+        """For each text what looks like a licence, by paragraphs: runs of lines with words."""
+        found, waiting, size = [], [], 0
+
+        def classified() -> None:
+            for (number, _), own in zip(waiting, self._paragraphs([lines for _, lines in waiting])):
+                found[number].extend(own)
+            waiting.clear()
+
+        for number, text in enumerate(texts):
+            found.append([])
+            lines = []
+            for place, line in enumerate([*text.split("\n"), ""]):
+                if words := words_of(line):
+                    lines.append((place, words))
+                    size += len(words)
+                elif lines:
+                    waiting.append((number, lines))
+                    lines = []
+                    if size >= BLOCK_WORDS:
+                        classified()
+                        size = 0
+        if waiting:
+            classified()
+        return found
+
+    def findings(self, text: str) -> list[Finding]:
+        return self.findings_of([text])[0]
 
     def scan(self, text: str) -> Iterator[tuple[int, str, float, float]]:
         """First line, family, probability and template similarity of the findings."""
@@ -464,7 +500,8 @@ def scan_licences(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id",
     @F.arrow_udf(FOUND)
     @tidy
     def found(texts: pa.Array) -> pa.Array:
-        return pa.array(([f._asdict() for f in shared.value.findings(t.as_py() or "")] for t in texts), FOUND_TYPE)
+        found = shared.value.findings_of(t.as_py() or "" for t in texts)
+        return pa.array([[f._asdict() for f in own] for own in found], FOUND_TYPE)
 
     hits = docs.select(F.col(f"`{id_col}`").alias("doc_id"), found(F.col(f"`{text_col}`")).alias("hits"))
     return hits.select("doc_id", F.inline("hits")).withColumn("confirmed", F.col("similarity") >= LEAST_SIMILARITY)
