@@ -26,31 +26,46 @@ def _as_documents(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, with the prior of their source and language, takes for good."""
+    """Documents that the classifier, with the prior of their source and language, takes for good.
+
+    Null texts are empty; repeated rows and rows without an id are judged like any other. An empty table stays empty.
+    """
     short_batches(spark)
     classifier = fit_classifier(docs, table(spark, sf_dir, "labels"))
     return score_quality(docs, classifier).where("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents share stay in the one of the smallest id."""
+    """Lines that several documents share stay in the one of the smallest id.
+
+    Null texts become empty; rows without an id lose no lines; rows of one id are one document.
+    """
     return _as_documents(drop_repeated_lines(docs), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are similar by 0.8 or more."""
+    """One document of each group whose five-word shingles are similar by 0.8 or more.
+
+    Texts without words are one group; rows without an id stay, as do equal rows of the id that stays.
+    """
     short_batches(spark)
     return drop_near_texts(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 100 bytes stay where they start first."""
+    """Strings of 100 bytes stay where they start first.
+
+    Null texts become empty; rows without an id stay whole; equal rows are one document.
+    """
     short_batches(spark)
     return _as_documents(drop_repeated_strings(docs), docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens.
+
+    Every row has a piece, a null or empty text one of the end token alone.
+    """
     short_batches(spark)
     return pack_documents(docs, public_tokenizers.path(VOCABULARY))
 
