@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passel.llm.tables import checkpoint
+from passel.llm.tables import delete, stored
 
 
 def _least(pairs: DataFrame) -> DataFrame:
@@ -31,21 +31,46 @@ def _small_star(links: DataFrame) -> DataFrame:
     return linked.unionByName(least.select("u", F.col("least").alias("v"))).distinct()
 
 
+def _unsettled(links: DataFrame) -> int:
+    """How many nodes are neither a centre only nor hang on one centre only; the centre is the smaller end."""
+    ends = F.array(
+        F.struct(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")),
+        F.struct(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")),
+    )
+    roles = links.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.hangs").alias("hangs"), F.max("e.holds").alias("holds"))
+    return roles.where("hangs + holds > 1").count()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """``node`` and ``component``, the smallest node that the node reaches, for every node of the links (u, v).
 
-    Large and small stars alternate until each node hangs on the smallest of its component. Each round is two
-    joins whose hubs adaptive execution splits, and is stored in the shared folder; its number grows with the
-    logarithm of the largest component. Links of a node to itself and null links are left out.
+    Large and small stars alternate until each node hangs on the smallest of its component, which is looked up before
+    each round: links that are stars already take none. Each round is two joins whose hubs adaptive execution splits,
+    and is stored once in the shared folder, the one before deleted; their number grows with the logarithm of the
+    largest component. Links of a node to itself and null links are left out.
     """
+    spark = links.sparkSession
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    links = checkpoint(links.distinct())
-    before = None
-    while True:
-        state = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-                links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-            )
-        before = state
-        links = checkpoint(_small_star(_large_star(links)))
+    links, path = stored(links.distinct())
+    while _unsettled(links):
+        before = path
+        links, path = stored(_small_star(_large_star(links)))
+        delete(spark, before)
+    return links.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+        links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    )
+
+
+def widened(linked: DataFrame, links: DataFrame) -> DataFrame:
+    """``linked``, the components of some links, with more ``links`` (u, v) between the same or other nodes.
+
+    Only the components that the new links join are walked again, each as one node.
+    """
+    ends = links.select("u", "v")
+    for end in ("u", "v"):
+        own = linked.select(F.col("node").alias(end), F.col("component").alias("own"))
+        ends = ends.join(own, end, "left").withColumn(end, F.coalesce("own", end)).drop("own")
+    joined = connected_components(ends)
+    over = joined.select(F.col("node").alias("component"), F.col("component").alias("over"))
+    moved = linked.join(over, "component", "left").select("node", F.coalesce("over", "component").alias("component"))
+    return stored(moved.unionByName(joined.join(linked, "node", "left_anti")))[0]

@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from passel.llm.components import connected_components
+from passel.llm.components import connected_components, widened
 from passel.llm.simhash import _LOWER, _shingle_hashes
-from passel.llm.tables import ROW, checkpoint, delete, held, of_row, released, stored, tidy
+from passel.llm.tables import ROW, delete, held, of_row, released, stored, tidy
 
 SHINGLE_WORDS = 5
 # The least Jaccard similarity of two sets of shingles that links them, as a fraction.
@@ -191,11 +191,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _set_finder(texts: DataFrame, classes: DataFrame):
-    """A function that stores the sets of shingles of named classes, read from one text of each."""
+    """A function that stores the sets of shingles of named classes, read from one text of each, and says where."""
 
-    def sets_of(named: DataFrame) -> DataFrame:
+    def sets_of(named: DataFrame) -> tuple[DataFrame, str]:
         chosen = classes.join(named, "class").select("class", "first.*")
-        return checkpoint(texts.join(chosen, ["doc_id", "version"]).select("class", _shingler()("text").alias("own")).dropDuplicates(["class"]))
+        return stored(texts.join(chosen, ["doc_id", "version"]).select("class", _shingler()("text").alias("own")).dropDuplicates(["class"]))
 
     return sets_of
 
@@ -219,29 +219,35 @@ def near_text_groups(
     tables, bits = key_shape(docs.count() if n_texts is None else n_texts)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("version"), text.alias("text"))
-    rows = checkpoint(texts.select("doc_id", "version", _sketcher(tables, bits)("text").alias("s")).select("doc_id", "version", "s.*"))
-    classes = rows.where("doc_id is not null").groupBy("class").agg(
-        F.min(F.struct("doc_id", "version")).alias("first"), F.first("n").alias("n"), F.first("check").alias("check"), F.first("keys").alias("keys")
+    rows, _ = stored(texts.select("doc_id", "version", _sketcher(tables, bits)("text").alias("s")).select("doc_id", "version", "s.*"))
+    classes, _ = stored(
+        rows.where("doc_id is not null").groupBy("class").agg(
+            F.min(F.struct("doc_id", "version")).alias("first"), F.first("n").alias("n"), F.first("check").alias("check"), F.first("keys").alias("keys")
+        )
     )
-    met, met_folder = stored(candidates(classes, bits, back))
+    met, *folders = stored(candidates(classes, bits, back))
     pairs, members = met.where("v is not null"), met.where("v is null").select("variant", F.col("u").alias("class"))
     sets_of = _set_finder(texts, classes)
     asked = _ends(pairs)
-    sets = sets_of(asked)
-    links = checkpoint(_confirmed(pairs.where("back = 1"), sets))
-    linked = connected_components(links)
+    sets, folder = sets_of(asked)
+    folders.append(folder)
+    linked = connected_components(_confirmed(pairs.where("back = 1"), sets))
     rest = pairs.where("back > 1")
     for end in ("u", "v"):
         rest = rest.join(linked.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")), end, "left")
-    rest = rest.where("coalesce(u_in, u) <> coalesce(v_in, v)")
-    links = checkpoint(links.unionByName(_confirmed(rest, sets)))
-    linked = connected_components(links)
+    links, folder = stored(_confirmed(rest.where("coalesce(u_in, u) <> coalesce(v_in, v)"), sets))
+    folders.append(folder)
+    if not links.isEmpty():
+        linked = widened(linked, links)
     if not members.isEmpty():
-        more = checkpoint(crowded_pairs(members, classes, linked, block))
+        more, folder = stored(crowded_pairs(members, classes, linked, block))
+        folders.append(folder)
         if not more.isEmpty():
-            sets = sets.unionByName(sets_of(_ends(more).join(asked, "class", "left_anti")))
-            linked = connected_components(links.unionByName(_confirmed(more, sets)))
-    delete(docs.sparkSession, met_folder)
+            others, folder = sets_of(_ends(more).join(asked, "class", "left_anti"))
+            folders.append(folder)
+            linked = widened(linked, _confirmed(more, sets.unionByName(others)))
+    for folder in folders:
+        delete(docs.sparkSession, folder)
     named = classes.select("class", F.col("first.doc_id").alias("first")).join(linked, F.col("class") == F.col("node"), "left")
     named = named.select("class", "first", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))

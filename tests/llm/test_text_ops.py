@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from compare import connect, differences
+from passel.llm import components
 from passel.llm.components import connected_components
 from passel.llm.line_dedup import drop_repeated_lines
 from passel.llm.registered import ORACLE, QUERIES
@@ -165,6 +166,28 @@ def test_components_of_chains_and_stars(spark):
     assert got == {n: c for n, c in want.items() if n in got} and all(want[n] == n for n in want.keys() - got.keys())
 
 
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    def no_round(links):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(components, "_large_star", no_round)
+    links = [(2, 1), (1, 3), (4, 1), (4, 1), (9, 8), (7, 7), (None, 6)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "u long, v long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 8: 8, 9: 8}
+
+
+def test_components_are_widened_by_more_links(spark):
+    chance = random.Random(5)
+    for n in (0, 25, 60):
+        links = [(chance.randrange(100), chance.randrange(100)) for _ in range(40)]
+        more = [(chance.randrange(130), chance.randrange(130)) for _ in range(n)]
+        first, second = (spark.createDataFrame(x, "u long, v long") for x in (links, more))
+        got = [tuple(r) for r in components.widened(connected_components(first), second).collect()]
+        pairs = [p for p in links + more if p[0] != p[1]]
+        want = components_by_hand({x for p in pairs for x in p}, pairs)
+        assert sorted(got) == sorted(want.items())
+
+
 # ---- suffix dedup
 
 
