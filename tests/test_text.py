@@ -1,6 +1,8 @@
 import html
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +107,22 @@ def test_empty_string_counts_as_missing_text(spark):
     assert [r[0] for r in rows.select(text.pick_text(rows.columns)).collect()] == [" ", "p", "c", ""]
 
 
+def test_hashing_encoder_memory_does_not_grow_with_the_batch():
+    def peak(n):
+        texts = pa.array([" ".join(f"w{(i * j) % 997}" for j in range(500)) for i in range(n)] + [None, ""])
+        encode = hashing_encoder().__closure__[0].cell_contents.func
+        tracemalloc.start()
+        try:
+            found = encode(texts)
+            return tracemalloc.get_traced_memory()[1] - found.nbytes, found.to_pylist()
+        finally:
+            tracemalloc.stop()
+
+    small, few = peak(500)
+    large, many = peak(4000)
+    assert large < 2 * small and many[:500] == few[:500] and many[-2:] == few[-2:]
+
+
 def test_hashing_encoder_edge_texts(spark):
     rows = spark.createDataFrame([(0, "a b a"), (1, "b  A a"), (2, ""), (3, None), (4, "ß é")], "i int, t string")
     got = {r[0]: r[1] for r in rows.select("i", hashing_encoder(16)(F.col("t"))).collect()}
